@@ -16,46 +16,65 @@ from ..functions.json import json_has_key, json_is_object, json_text
 from ..functions.text import is_digits, python_timestamp_text, to_decimal, to_int
 from ..params import (CLOSE_ZOOM, DEFAULTS, HOUSEHOLD_RADIUS, MIN_POLYGON_POINTS,
                       PERSON_BASE_RADIUS, ZOOM_STEPS, SurveyParams)
-from .latest import latest_per_key
 
 
-def _latest_with_submission(rows: DataFrame, submissions: DataFrame) -> DataFrame:
-    """Latest row per submission among rows whose submission exists.
+def _order():
+    """Latest first: created_at DESC with NULL first (PostgreSQL DESC), then id DESC."""
+    return F.struct(F.col("created_at").isNull().alias("n"), F.col("created_at").alias("c"),
+                    F.col("id").alias("i"))
 
-    ``answers JOIN submissions ON survey_user_id = id`` only filters (``id`` is a
-    key), and the latest-per-key partition key equals the join key, so taking
-    the latest first and semi-joining after gives the same rows; the latest
-    step then runs its partial per-task limit before any shuffle."""
-    latest = latest_per_key(rows, "survey_user_id")
+
+def household_profile(answers: DataFrame, submissions: DataFrame, params: SurveyParams = DEFAULTS,
+                      parts=("sector", "persons")) -> DataFrame:
+    """One row per household (submission) that has a coordinate answer:
+    (vivienda_id, latitud, longitud, created_at[, sector][, total_personas]).
+
+    The dashboard runs one ``DISTINCT ON`` subquery per attribute and left-joins
+    them.  Here the latest coordinate, sector and persons answers come out of
+    a single ``groupBy(survey_user_id)`` with one ``max_by`` per attribute (the
+    value of the latest row among that attribute's rows): one scan, one
+    shuffle, and map-side partial aggregation, so a submission with a third of
+    all rows ships one partial row per task.  ``answers JOIN submissions`` only
+    filters (``id`` is a key) and is applied last as a semi join on the same key.
+
+    Missing sector stays NULL here (``sector_points`` labels it); missing persons
+    stay NULL (``person_points`` makes it 0)."""
+    q = F.col("survey_question_id")
+    lat = json_text("data", "value", "latitude")
+    lon = json_text("data", "value", "longitude")
+    is_coord = (q == params.coord_qid) & json_is_object("data", "value") & lat.isNotNull() & lon.isNotNull()
+    wanted = q == params.coord_qid
+    cols = [F.col("survey_user_id"), is_coord.alias("_c"), _order().alias("_o"),
+            F.when(is_coord, F.struct(to_decimal(lat, params.on_bad).alias("latitud"),
+                                      to_decimal(lon, params.on_bad).alias("longitud"),
+                                      F.col("created_at"))).alias("_coord")]
+    aggs = [F.max_by("_coord", F.when(F.col("_c"), F.col("_o"))).alias("_coord")]
+    if "sector" in parts:
+        is_s = q.isin(*params.sector_qids)
+        wanted = wanted | is_s
+        sector = F.nullif(F.when(json_is_object("data", "value"), json_text("data", "value", "label"))
+                          .otherwise(json_text("data", "value")), F.lit(""))
+        cols += [is_s.alias("_s"), F.when(is_s, sector).alias("_sector")]
+        aggs.append(F.max_by("_sector", F.when(F.col("_s"), F.col("_o"))).alias("sector"))
+    if "persons" in parts:
+        is_p = q == params.persons_qid
+        wanted = wanted | is_p
+        cols += [is_p.alias("_p"), F.when(is_p, persons_value(params)).alias("_persons")]
+        aggs.append(F.max_by("_persons", F.when(F.col("_p"), F.col("_o"))).alias("total_personas"))
+    per = answers.where(wanted).select(*cols).groupBy("survey_user_id").agg(*aggs) \
+        .where(F.col("_coord").isNotNull())
     subs = submissions.select(F.col("id").alias("survey_user_id"))
-    return latest.join(subs, "survey_user_id", "left_semi")
+    per = per.join(subs, "survey_user_id", "left_semi")
+    extra = [c for c in ("sector", "total_personas") if c in per.columns]
+    return per.select(F.col("survey_user_id").alias("vivienda_id"), "_coord.latitud", "_coord.longitud",
+                      "_coord.created_at", *extra)
 
 
 def coordinate_points(answers: DataFrame, submissions: DataFrame,
                       params: SurveyParams = DEFAULTS) -> DataFrame:
     """Latest coordinate answer per submission: (vivienda_id, latitud, longitud, created_at).
     Only object values with both keys present; numbers as decimal(38,18)."""
-    lat = json_text("data", "value", "latitude")
-    lon = json_text("data", "value", "longitude")
-    rows = (answers.where((F.col("survey_question_id") == params.coord_qid)
-                          & json_is_object("data", "value") & lat.isNotNull() & lon.isNotNull())
-            .select("id", "survey_user_id", "created_at",
-                    to_decimal(lat, params.on_bad).alias("latitud"),
-                    to_decimal(lon, params.on_bad).alias("longitud")))
-    return _latest_with_submission(rows, submissions).select(
-        F.col("survey_user_id").alias("vivienda_id"), "latitud", "longitud", "created_at")
-
-
-def latest_sector(answers: DataFrame, submissions: DataFrame,
-                  params: SurveyParams = DEFAULTS) -> DataFrame:
-    """Latest sector answer per submission: the label of an object value, else the
-    text; empty text is NULL."""
-    sector = F.nullif(F.when(json_is_object("data", "value"), json_text("data", "value", "label"))
-                      .otherwise(json_text("data", "value")), F.lit(""))
-    rows = (answers.where(F.col("survey_question_id").isin(*params.sector_qids))
-            .select("id", "survey_user_id", "created_at", sector.alias("sector")))
-    return _latest_with_submission(rows, submissions).select(
-        F.col("survey_user_id").alias("vivienda_id"), "sector")
+    return household_profile(answers, submissions, params, parts=())
 
 
 def persons_value(params: SurveyParams = DEFAULTS):
@@ -66,46 +85,39 @@ def persons_value(params: SurveyParams = DEFAULTS):
             .when(json_is_object("data", "value") & is_digits(cantidad), to_int(cantidad, params.on_bad)))
 
 
-def latest_persons(answers: DataFrame, submissions: DataFrame,
-                   params: SurveyParams = DEFAULTS) -> DataFrame:
-    rows = (answers.where(F.col("survey_question_id") == params.persons_qid)
-            .select("id", "survey_user_id", "created_at", persons_value(params).alias("total_personas")))
-    return _latest_with_submission(rows, submissions).select(
-        F.col("survey_user_id").alias("vivienda_id"), "total_personas")
-
-
-def sector_points(coords: DataFrame, sectors: DataFrame, params: SurveyParams = DEFAULTS) -> DataFrame:
-    """coords LEFT JOIN latest sector USING (vivienda_id); no sector -> 'SIN SECTOR'."""
-    return coords.join(sectors, "vivienda_id", "left").select(
-        "vivienda_id", "latitud", "longitud",
-        F.coalesce(F.col("sector"), F.lit(params.no_sector)).alias("sector"))
+def sector_points(profile: DataFrame, params: SurveyParams = DEFAULTS) -> DataFrame:
+    """Households with their latest sector; no sector -> 'SIN SECTOR'."""
+    return profile.select("vivienda_id", "latitud", "longitud",
+                          F.coalesce(F.col("sector"), F.lit(params.no_sector)).alias("sector"))
 
 
-def person_points(coords: DataFrame, persons: DataFrame) -> DataFrame:
-    """coords LEFT JOIN latest persons USING (vivienda_id); no persons -> 0."""
-    return coords.join(persons, "vivienda_id", "left").select(
-        "vivienda_id", "latitud", "longitud",
-        F.coalesce(F.col("total_personas"), F.lit(0)).alias("total_personas"))
+def person_points(profile: DataFrame) -> DataFrame:
+    """Households with their latest persons count; none -> 0."""
+    return profile.select("vivienda_id", "latitud", "longitud",
+                          F.coalesce(F.col("total_personas"), F.lit(0)).alias("total_personas"))
 
 
-def map_layers(coords: DataFrame, sector_pts: DataFrame, person_pts: DataFrame) -> DataFrame:
-    """One row per drawn marker: (layer, vivienda_id, latitud, longitud, radius, label).
-    Points with a NULL or zero coordinate are not drawn.  Sector markers have no radius."""
+def map_layers(profile: DataFrame, params: SurveyParams = DEFAULTS) -> DataFrame:
+    """One row per drawn marker: (layer, vivienda_id, latitud, longitud, radius, label)
+    for the household, sector and person layers.  Each household row is
+    exploded into its three markers (a union of the layers without reading the
+    profile three times).  Points with a NULL or zero coordinate are not drawn;
+    sector markers have no radius."""
     vid = F.col("vivienda_id").cast("string")
-    households = coords.where(nonzero_point()).select(
-        F.lit("viviendas").alias("layer"), "vivienda_id", "latitud", "longitud",
-        F.lit(HOUSEHOLD_RADIUS).alias("radius"),
-        F.concat(F.lit("Vivienda "), vid, F.lit("<br>"), python_timestamp_text("created_at")).alias("label"))
-    sectors = sector_pts.where(nonzero_point()).select(
-        F.lit("sectores").alias("layer"), "vivienda_id", "latitud", "longitud",
-        F.lit(None).cast("int").alias("radius"),
-        F.concat(F.lit("Vivienda "), vid, F.lit("<br>Sector: "), F.col("sector")).alias("label"))
-    persons = person_pts.where(nonzero_point()).select(
-        F.lit("poblacion").alias("layer"), "vivienda_id", "latitud", "longitud",
-        (F.lit(PERSON_BASE_RADIUS) + F.coalesce(F.col("total_personas"), F.lit(0))).alias("radius"),
-        F.concat(F.lit("Vivienda "), vid, F.lit("<br>Personas: "),
-                 F.col("total_personas").cast("string")).alias("label"))
-    return households.unionByName(sectors).unionByName(persons)
+    sector = F.coalesce(F.col("sector"), F.lit(params.no_sector))
+    persons = F.coalesce(F.col("total_personas"), F.lit(0))
+    marker = lambda layer, radius, label: F.struct(
+        F.lit(layer).alias("layer"), radius.cast("int").alias("radius"), label.alias("label"))
+    markers = F.array(
+        marker("viviendas", F.lit(HOUSEHOLD_RADIUS),
+               F.concat(F.lit("Vivienda "), vid, F.lit("<br>"), python_timestamp_text("created_at"))),
+        marker("sectores", F.lit(None),
+               F.concat(F.lit("Vivienda "), vid, F.lit("<br>Sector: "), sector)),
+        marker("poblacion", F.lit(PERSON_BASE_RADIUS) + persons,
+               F.concat(F.lit("Vivienda "), vid, F.lit("<br>Personas: "), persons.cast("string"))))
+    return (profile.where(nonzero_point())
+            .select("vivienda_id", "latitud", "longitud", F.explode(markers).alias("m"))
+            .select("m.layer", "vivienda_id", "latitud", "longitud", "m.radius", "m.label"))
 
 
 def _raw_mean(c):
@@ -130,29 +142,28 @@ def map_centre(coords: DataFrame, params: SurveyParams = DEFAULTS) -> DataFrame:
 
 def map_zoom(points: DataFrame, params: SurveyParams = DEFAULTS) -> DataFrame:
     """Centre of all markers and a zoom from the largest distance to it.
-    ``points`` has decimal ``latitud``/``longitud``.  The centre enters the
-    distance pass as scalar subqueries (one value each), not as a join; the
-    points are read twice (mean, then max), both as partial aggregates."""
+    ``points`` has decimal ``latitud``/``longitud``.  Two passes, both partial
+    aggregates: the centre (a scalar subquery, one value) and then count,
+    reported centre and maximum distance in one aggregation."""
     pts = points.select("latitud", "longitud",
                         F.col("latitud").cast("double").alias("lat"),
                         F.col("longitud").cast("double").alias("lon"))
-    clat = pts.select(_raw_mean(F.col("latitud"))).scalar()
-    clon = pts.select(_raw_mean(F.col("longitud"))).scalar()
-    dist = F.sqrt((F.col("lat") - clat) * (F.col("lat") - clat) + (F.col("lon") - clon) * (F.col("lon") - clon))
-    far = pts.select(F.round(F.max(dist), 9)).scalar()
+    centre = pts.select(F.struct(_raw_mean(F.col("latitud")).alias("a"),
+                                 _raw_mean(F.col("longitud")).alias("b"))).scalar()
+    dlat_, dlon_ = F.col("lat") - centre.getField("a"), F.col("lon") - centre.getField("b")
+    stats = pts.agg(F.count(F.lit(1)).alias("n_markers"),
+                    _mean(F.col("latitud")).alias("clat"), _mean(F.col("longitud")).alias("clon"),
+                    F.round(F.max(F.sqrt(dlat_ * dlat_ + dlon_ * dlon_)), 9).alias("max_dist"))
     zoom = F.lit(CLOSE_ZOOM)
     for threshold, z in reversed(ZOOM_STEPS):
         zoom = F.when(F.col("max_dist") > threshold, F.lit(z)).otherwise(zoom)
     dlat, dlon = params.default_centre
-    stats = pts.agg(F.count(F.lit(1)).alias("n_markers"),
-                    _mean(F.col("latitud")).alias("clat"), _mean(F.col("longitud")).alias("clon"))
     empty = F.col("n_markers") == 0
     return stats.select(
         "n_markers",
         F.when(empty, F.lit(dlat)).otherwise(F.col("clat")).alias("latitud"),
         F.when(empty, F.lit(dlon)).otherwise(F.col("clon")).alias("longitud"),
-        far.alias("max_dist")).select(
-        "n_markers", "latitud", "longitud", "max_dist",
+        "max_dist",
         F.when(empty, F.lit(params.default_zoom)).otherwise(zoom).cast("int").alias("zoom"))
 
 

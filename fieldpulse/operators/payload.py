@@ -18,8 +18,9 @@ def dashboard_payload(total: DataFrame, households: DataFrame, sectors: DataFram
     sector groups, the NULL group included."""
     total_v = total.select(F.col("total_encuestas")).scalar()
     homes_v = households.select(F.col("total_viviendas")).scalar()
-    n_sect = sectors.select(F.count(F.lit(1))).scalar()
-    sect_list = sectors.select(F.sort_array(F.collect_list(F.struct("sector", "total")))).scalar()
+    sect_v = sectors.select(F.struct(F.count(F.lit(1)).alias("n"),
+                                     F.sort_array(F.collect_list(F.struct("sector", "total"))).alias("l"))).scalar()
+    n_sect, sect_list = sect_v.getField("n"), sect_v.getField("l")
     ranked = F.sort_array(F.collect_list(F.struct(
         (-F.col("total_encuestas")).alias("k"), F.col(id_name).alias("i"),
         F.col("nombre_completo").alias("n"), F.col("total_encuestas").alias("t"))))

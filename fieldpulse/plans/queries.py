@@ -156,20 +156,17 @@ def household_points(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> Data
 
 
 def household_sector_points(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
-    coords = geo.coordinate_points(t.answers, t.submissions, params)
-    return geo.sector_points(coords, geo.latest_sector(t.answers, t.submissions, params), params)
+    prof = geo.household_profile(t.answers, t.submissions, params, parts=("sector",))
+    return geo.sector_points(prof, params)
 
 
 def household_person_points(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
-    coords = geo.coordinate_points(t.answers, t.submissions, params)
-    return geo.person_points(coords, geo.latest_persons(t.answers, t.submissions, params))
+    prof = geo.household_profile(t.answers, t.submissions, params, parts=("persons",))
+    return geo.person_points(prof)
 
 
 def map_layers(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
-    coords = geo.coordinate_points(t.answers, t.submissions, params)
-    sect = geo.sector_points(coords, geo.latest_sector(t.answers, t.submissions, params), params)
-    pers = geo.person_points(coords, geo.latest_persons(t.answers, t.submissions, params))
-    return geo.map_layers(coords, sect, pers)
+    return geo.map_layers(geo.household_profile(t.answers, t.submissions, params), params)
 
 
 def map_centre(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:

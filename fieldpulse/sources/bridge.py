@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import ANSWER_SCHEMA, SUBMISSION_SCHEMA, USER_SCHEMA, Tables
+from .tables import ANSWER_SCHEMA, SUBMISSION_SCHEMA, USER_SCHEMA, Tables, spread
 
 SPARK_K = "get_json_object(props, '$.k')"
 DUCKDB_K = "(props->>'$.k')"
@@ -24,11 +24,11 @@ RANGE_END = "2024-01-20"
 BASE_SELECT = ["event_id", "ts", "event_type", "event_id - event_id % 4 AS sid", "CAST({k} AS INT) AS k"]
 
 ANSWER_EXPRS = [
-    "event_id AS id",
+    "CAST(event_id AS BIGINT) AS id",
     "CAST(CASE sid % 20 WHEN 0 THEN 18 WHEN 4 THEN 30 WHEN 8 THEN 31 WHEN 12 THEN 18"
     " ELSE 99 END AS INT) AS survey_id",
-    "sid AS survey_user_id",
-    "sid % 150 AS user_id",
+    "CAST(sid AS BIGINT) AS survey_user_id",
+    "CAST(sid % 150 AS BIGINT) AS user_id",
     "CAST(CASE event_type WHEN 'click' THEN 614 + k % 3 WHEN 'error' THEN 55"
     " WHEN 'purchase' THEN (CASE WHEN k % 2 = 0 THEN 600 ELSE 100 END)"
     " WHEN 'signup' THEN 477 ELSE 863 END AS BIGINT) AS survey_question_id",
@@ -51,8 +51,8 @@ SUBMISSION_SQL = ("SELECT survey_user_id AS id, min(survey_id) AS survey_id, min
                   " min(created_at) AS created_at FROM survey_answer GROUP BY survey_user_id")
 
 USER_EXPRS = [
-    "c_custkey AS id",
-    "c_name AS username",
+    "CAST(c_custkey AS BIGINT) AS id",
+    "CAST(c_name AS STRING) AS username",
     "CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_mktsegment END AS first_name",
     "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END AS last_name",
 ]
@@ -78,9 +78,14 @@ def _cast(df: DataFrame, schema) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+# columns of the driver tables the bridge reads (explicit, so no footer inference)
+EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, event_type STRING, props STRING"
+CUSTOMER_SCHEMA = "c_custkey BIGINT, c_name STRING, c_mktsegment STRING"
+
+
 def answers_from_events(events: DataFrame) -> DataFrame:
     base = events.selectExpr(*[s.format(k=SPARK_K) for s in BASE_SELECT])
-    return _cast(base.selectExpr(*ANSWER_EXPRS), ANSWER_SCHEMA)
+    return base.selectExpr(*ANSWER_EXPRS)
 
 
 def submissions_from_answers(answers: DataFrame) -> DataFrame:
@@ -93,12 +98,14 @@ def submissions_from_answers(answers: DataFrame) -> DataFrame:
 
 
 def users_from_customer(customer: DataFrame) -> DataFrame:
-    return _cast(customer.selectExpr(*USER_EXPRS), USER_SCHEMA)
+    return customer.selectExpr(*USER_EXPRS)
 
 
-def bridge_tables(spark: SparkSession, sf_dir: str) -> Tables:
+def bridge_tables(spark: SparkSession, sf_dir: str, spread_input: bool = True) -> Tables:
     """Survey tables derived from ``events`` and ``customer`` under ``sf_dir``."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type", "props")
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment")
+    events = spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+    if spread_input:
+        events = spread(events)
+    customer = spark.read.schema(CUSTOMER_SCHEMA).parquet(f"{sf_dir}/customer.parquet")
     answers = answers_from_events(events)
     return Tables(answers, submissions_from_answers(answers), users_from_customer(customer))
