@@ -1,0 +1,62 @@
+import datetime as dt
+import os
+import sys
+import tempfile
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from pyspark.sql import SparkSession  # noqa: E402
+
+from fieldpulse.sources.tables import ANSWER_SCHEMA, SUBMISSION_SCHEMA, USER_SCHEMA, Tables  # noqa: E402
+
+D = dt.date(2024, 1, 18)
+
+
+def ts(day_offset=0, h=10, m=0, s=0, us=0):
+    d = D + dt.timedelta(days=day_offset)
+    return dt.datetime(d.year, d.month, d.day, h, m, s, us)
+
+
+@pytest.fixture(scope="session")
+def spark():
+    s = (SparkSession.builder.master("local[4]").appName("fieldpulse-tests")
+         .config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "8")
+         .config("spark.sql.session.timeZone", "UTC")
+         .getOrCreate())
+    s.sparkContext.setLogLevel("ERROR")
+    if not s.conf.get("spark.checkpoint.dir", None):
+        d = tempfile.mkdtemp(prefix="fieldpulse-test-ckpt-")
+        s.conf.set("spark.checkpoint.dir", d)
+        s.sparkContext.setCheckpointDir(d)
+    yield s
+
+
+class Maker:
+    """Builds Tables from short row lists.
+
+    answer: (id, survey_id, survey_user_id, user_id, question, data, created_at)
+    """
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def tables(self, answers, submissions=None, users=None):
+        a = self.spark.createDataFrame(answers, ANSWER_SCHEMA)
+        if submissions is None:
+            seen = {}
+            for r in answers:
+                seen.setdefault(r[2], (r[2], r[1], r[3], r[6]))
+            submissions = list(seen.values())
+        s = self.spark.createDataFrame(submissions, SUBMISSION_SCHEMA)
+        if users is None:
+            users = [(u, f"user{u}", f"F{u}", f"L{u}") for u in sorted({r[3] for r in answers})]
+        u = self.spark.createDataFrame(users, USER_SCHEMA)
+        return Tables(a, s, u)
+
+
+@pytest.fixture(scope="session")
+def make(spark):
+    return Maker(spark)
