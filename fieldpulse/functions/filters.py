@@ -47,10 +47,29 @@ def in_range(col: str | Column, start, end) -> Column:
     return (c >= _ntz(s)) & (c < _ntz(e + dt.timedelta(days=1)))
 
 
+def where_day(df: DataFrame, as_of=None, col: str = "created_at") -> DataFrame:
+    """Rows of the day.  On a table partitioned by ``created_date`` the same day is
+    also asked of the partition column, so only that folder is listed and read."""
+    cond = on_day(col, as_of)
+    if "created_date" in df.columns:
+        day = F.current_date() if as_of is None else F.lit(_as_date(as_of))
+        cond = cond & (F.col("created_date") == day)
+    return df.where(cond)
+
+
+def where_range(df: DataFrame, start, end, col: str = "created_at") -> DataFrame:
+    """Rows with date in [start, end]; prunes ``created_date`` partitions when present."""
+    cond = in_range(col, start, end)
+    if "created_date" in df.columns:
+        s, e = require_range(start, end)
+        cond = cond & F.col("created_date").between(F.lit(s), F.lit(e))
+    return df.where(cond)
+
+
 def scope_filter(df: DataFrame, scope: str, as_of=None, col: str = "created_at") -> DataFrame:
     """``scope='today'`` keeps the day, ``scope='all'`` keeps everything."""
     if scope == "today":
-        return df.where(on_day(col, as_of))
+        return where_day(df, as_of, col)
     if scope == "all":
         return df
     raise ValueError(f"scope must be 'today' or 'all', got {scope!r}")

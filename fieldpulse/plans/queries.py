@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.filters import in_ids, in_range, on_day
+from ..functions.filters import in_ids, where_day, where_range
 from ..functions.json import json_text
 from ..functions.text import digits_only, to_int
 from ..operators import geo, kpis
@@ -24,14 +24,14 @@ from ..sources.tables import ANSWER_COLUMNS, Tables
 
 def _answers(t: Tables, params: SurveyParams, as_of=None, day: bool = False) -> DataFrame:
     a = t.answers.where(in_ids("survey_id", params.survey_ids))
-    return a.where(on_day("created_at", as_of)) if day else a
+    return where_day(a, as_of) if day else a
 
 
 # ------------------------------------------------------------------ today page
 
 def submissions_today(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
     """Submissions created on the day, no survey filter; NULL survey not counted."""
-    return kpis.count_non_null(t.submissions.where(on_day("created_at", as_of)),
+    return kpis.count_non_null(where_day(t.submissions, as_of),
                                "survey_id", "total_encuestas")
 
 
@@ -85,8 +85,7 @@ def dashboard_all(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFra
 def enumerators_range(t: Tables, *, start=None, end=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
     """Distinct submissions per enumerator in [start, end] (dates, both inclusive).
     Both bounds are required: ValueError before any plan is built."""
-    cond = in_range("created_at", start, end)
-    return kpis.enumerator_counts(_answers(t, params).where(cond), t.users, "censista_id")
+    return kpis.enumerator_counts(where_range(_answers(t, params), start, end), t.users, "censista_id")
 
 
 # ------------------------------------------------------------------ export
@@ -114,7 +113,7 @@ def _subs_in(t: Tables, ids) -> DataFrame:
 def submissions_today_joined(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
     """Distinct submissions answered on the day whose submission is in the survey set.
     The join only filters (``submissions.id`` is a key): a semi join on distinct ids."""
-    day = t.answers.where(on_day("created_at", as_of)).select("survey_user_id")
+    day = where_day(t.answers, as_of).select("survey_user_id")
     ids = day.distinct().join(_subs_in(t, params.survey_ids), "survey_user_id", "left_semi")
     return ids.agg(F.count(F.lit(1)).cast("bigint").alias("total_encuestas"))
 
@@ -122,13 +121,13 @@ def submissions_today_joined(t: Tables, *, as_of=None, params: SurveyParams = DE
 def sectors_rollup_today(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
     """Distinct submissions per sector answer on the day, plus the grand total
     (labelled like the NULL group; ``level`` = 1 marks it).  No survey filter."""
-    a = t.answers.where(on_day("created_at", as_of) & in_ids("survey_question_id", params.sector_qids))
+    a = where_day(t.answers, as_of).where(in_ids("survey_question_id", params.sector_qids))
     return kpis.rollup_distinct(a, json_text("data", "value"), "survey_user_id", params.no_sector)
 
 
 def households_today_joined(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
     """Distinct (untrimmed) household answers on the day, submissions of the joined set."""
-    a = t.answers.where(on_day("created_at", as_of) & in_ids("survey_question_id", params.household_qids))
+    a = where_day(t.answers, as_of).where(in_ids("survey_question_id", params.household_qids))
     a = a.join(_subs_in(t, params.joined_survey_ids), "survey_user_id", "left_semi")
     return kpis.count_distinct(a, json_text("data", "value"), "total_viviendas")
 
@@ -136,7 +135,7 @@ def households_today_joined(t: Tables, *, as_of=None, params: SurveyParams = DEF
 def persons_today(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
     """Sum over submissions of the digits in the latest free-text persons answer
     of the day; no digits -> not counted; no rows -> 0."""
-    a = t.answers.where(on_day("created_at", as_of) & (F.col("survey_question_id") == params.persons_text_qid))
+    a = where_day(t.answers, as_of).where(F.col("survey_question_id") == params.persons_text_qid)
     a = a.select("id", "survey_user_id", "created_at", F.trim(json_text("data", "value")).alias("v"))
     latest = latest_per_key(a, "survey_user_id").join(
         _subs_in(t, params.joined_survey_ids), "survey_user_id", "left_semi")
@@ -145,7 +144,7 @@ def persons_today(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_
 
 
 def enumerators_today_joined(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
-    day = t.answers.where(on_day("created_at", as_of))
+    day = where_day(t.answers, as_of)
     return kpis.enumerator_counts_joined(day, t.submissions, t.users, params.joined_survey_ids)
 
 

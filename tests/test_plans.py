@@ -59,3 +59,18 @@ def test_no_python_in_plans(spark, key):
     p = plan(E.queries()[key](spark, SF), "extended")
     for node in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
         assert node not in p
+
+
+def test_day_partitioned_table_prunes(spark, tables):
+    import tempfile
+    from fieldpulse.sources.tables import read_answer_table, write_answer_table
+    d = tempfile.mkdtemp(prefix="fieldpulse-answers-")
+    write_answer_table(tables.answers, d)
+    t2 = read_answer_table(spark, d, tables.submissions, tables.users)
+    df = Q.households_today(t2, as_of=AS_OF)
+    p = plan(df)
+    assert "PartitionFilters: [isnotnull(created_date" in p and "(created_date" in p and "= 2024-01-18)" in p
+    assert df.collect() == Q.households_today(tables, as_of=AS_OF).collect()
+    r = Q.enumerators_range(t2, start="2024-01-10", end="2024-01-20")
+    assert sorted(map(tuple, r.collect())) == sorted(
+        map(tuple, Q.enumerators_range(tables, start="2024-01-10", end="2024-01-20").collect()))
