@@ -32,20 +32,25 @@ def leaf_paths(df: DataFrame, col: str = "data", max_depth: int = 32) -> list[tu
     level = df.select(F.try_parse_json(F.col(col)).alias("v"), F.array().cast("array<string>").alias("path")) \
         .where(F.expr(_OBJ.format(v="v")))
     found: set[tuple[str, ...]] = set()
+    cached = []
     for _ in range(max_depth):
         children = level.lateralJoin(
             df.sparkSession.tvf.variant_explode(F.col("v").outer())) \
             .select(F.concat("path", F.array("key")).alias("path"), F.col("value").alias("v"),
                     F.expr(_OBJ.format(v="value")).alias("is_obj"))
         children = children.persist()
+        cached.append(children)
         kinds = children.groupBy("path", "is_obj").count().select("path", "is_obj").collect()
         found.update(tuple(r["path"]) for r in kinds if not r["is_obj"])
         if not any(r["is_obj"] for r in kinds):
-            children.unpersist()
             break
         level = children.where("is_obj").select("v", "path")
     else:
+        for c in cached:
+            c.unpersist()
         raise ValueError(f"JSON nested deeper than {max_depth} levels")
+    for c in cached:
+        c.unpersist()
     return sorted(found)
 
 

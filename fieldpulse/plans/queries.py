@@ -185,6 +185,38 @@ def person_density_grid(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> D
     return geo.density_grid(household_person_points(t, params=params), params)
 
 
+def _household_geojson(t: Tables, params: SurveyParams) -> DataFrame:
+    """Households written as a GeoJSON sequence to the shared checkpoint folder
+    and read back as features (exercises the GeoJSON sink and source on data
+    derived from the tables)."""
+    import uuid
+
+    from ..session import checkpoint_root
+    from ..sources.geojson import read_geojson
+    from ..sources.sinks import write_geojson_points
+    prof = geo.household_profile(t.answers, t.submissions, params)
+    pts = prof.select("vivienda_id", "latitud", "longitud",
+                      F.coalesce("sector", F.lit(params.no_sector)).alias("sector"),
+                      F.coalesce("total_personas", F.lit(0)).alias("personas"))
+    spark = t.answers.sparkSession
+    path = f"{checkpoint_root(spark)}/geojson/households-{uuid.uuid4().hex}"
+    write_geojson_points(pts, path, ["vivienda_id", "sector", "personas"])
+    return read_geojson(spark, path, sequence=True)
+
+
+def geojson_features(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
+    """Household features with their popup text (``<b>key:</b> value<br>...``)."""
+    feats = _household_geojson(t, params)
+    return geo.feature_popups(feats).join(
+        feats.select("feature_id", F.col("properties")["vivienda_id"].cast("bigint").alias("vivienda_id")),
+        "feature_id").select("vivienda_id", "geometry_type", "popup")
+
+
+def geojson_bounds(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
+    """Bounding box of the household features."""
+    return geo.feature_bounds(_household_geojson(t, params))
+
+
 # ------------------------------------------------------------------ per-submission tables
 
 def submission_summary(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
@@ -223,6 +255,8 @@ BATCH_QUERIES = {
     "map_zoom": map_zoom,
     "sector_polygons": sector_polygons,
     "person_density_grid": person_density_grid,
+    "geojson_features": geojson_features,
+    "geojson_bounds": geojson_bounds,
     "submission_summary": submission_summary,
     "submission_wide": submission_wide,
 }

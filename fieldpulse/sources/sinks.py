@@ -29,3 +29,16 @@ def with_created_date(df: DataFrame) -> DataFrame:
 def write_payload(payload: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write the JSON text of a dashboard payload (one line per payload row)."""
     payload.select("payload").write.mode(mode).text(path)
+
+
+def write_geojson_points(points: DataFrame, path: str, properties: list[str],
+                         lat: str = "latitud", lon: str = "longitud", mode: str = "overwrite") -> None:
+    """Write points as a GeoJSON text sequence (one Point feature per line,
+    ``[lon, lat]`` order), one file per task; readable back with
+    ``read_geojson(..., sequence=True)`` or by any GeoJSON-sequence tool."""
+    feature = F.struct(
+        F.lit("Feature").alias("type"),
+        F.struct(*[F.col(c) for c in properties]).alias("properties"),
+        F.struct(F.lit("Point").alias("type"),
+                 F.array(F.col(lon).cast("double"), F.col(lat).cast("double")).alias("coordinates")).alias("geometry"))
+    points.select(F.to_json(feature, {"ignoreNullFields": "false"})).write.mode(mode).text(path)

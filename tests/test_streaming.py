@@ -75,3 +75,26 @@ def test_households_approx_close(spark, stream_dir):
     for r in got.collect():
         exact = Q.households_today(t, as_of=r["day"]).collect()[0][0]
         assert abs(r["total_viviendas"] - exact) <= max(2, 0.15 * exact)
+
+
+def test_late_rows_behind_watermark_are_dropped(spark, make):
+    import time
+
+    from conftest import ts
+    d = tempfile.mkdtemp(prefix="fieldpulse-late-")
+    s = '{"value": "A"}'
+    batches = [
+        [(1, 18, 100, 1, 477, s, ts(-10)), (2, 18, 104, 1, 477, s, ts(-8))],   # days D-10, D-8
+        [(3, 18, 108, 1, 477, s, ts(0))],                                      # day D: watermark -> D-1
+        [(4, 18, 112, 1, 477, s, ts(-10)), (5, 18, 116, 1, 477, s, ts(0))],    # D-10 is late; D is not
+    ]
+    for i, rows_ in enumerate(batches):
+        make.tables(rows_).answers.coalesce(1).write.parquet(f"{d}/b{i}")
+        time.sleep(1.1)   # file order = arrival order
+    stream = monitor.read_answer_stream(spark, f"{d}/b*", max_files_per_trigger=1)
+    got = monitor.run_to_table(monitor.sector_daily(stream, delay="1 day"), ["day", "sector"], "t_late")
+    totals = {r["day"]: r["total"] for r in got.collect()}
+    import datetime as dt
+    from conftest import D
+    assert totals[D - dt.timedelta(10)] == 1      # the late row did not reopen the closed day
+    assert totals[D] == 2
