@@ -1,0 +1,156 @@
+"""Hot keys: one submission (and its enumerator) holds a third of all answers,
+one sector value holds most sector answers, and everything falls on one day.
+
+Results are checked against a brute-force computation in plain Python, and the
+shuffle metrics of the executed plan show that the hot submission reaches each
+aggregate's exchange as at most one partial row per map task, never whole."""
+
+import collections
+import datetime as dt
+import json
+
+import pytest
+
+from fieldpulse.plans import queries as Q
+
+from conftest import D
+
+N = 4500                       # answers; every third one belongs to the hot submission
+HOT_SUB, HOT_USER = 1, 7
+QUESTIONS = (55, 477, 100, 614, 600)
+ALL = set(QUESTIONS)
+
+
+def _data(q, n, hot):
+    if q == 55:
+        return json.dumps({"value": {"latitude": f"4.{n}", "longitude": f"-74.{n}"}})
+    if q == 477:
+        return json.dumps({"value": "S1" if hot or n % 2 == 0 else f"S{n % 20 + 2}"})
+    if q == 100:
+        return json.dumps({"value": str(n % 7)})
+    if q == 614:
+        return json.dumps({"value": f" V-{n % 30} "})
+    return json.dumps({"value": f"{n % 5} personas"})
+
+
+def _rows():
+    base = dt.datetime(D.year, D.month, D.day, 6, 0, 0)
+    rows = []
+    for i in range(N):
+        hot = i % 3 == 0
+        q = QUESTIONS[(i // 3 if hot else i) % len(QUESTIONS)]
+        sub, user = (HOT_SUB, HOT_USER) if hot else (1000 + i, 100 + i % 50)
+        rows.append((i, 18, sub, user, q, _data(q, i, hot), base + dt.timedelta(seconds=i)))
+    return rows
+
+
+ROWS = _rows()
+HOT = [r for r in ROWS if r[2] == HOT_SUB]
+COLD = [r for r in ROWS if r[2] != HOT_SUB]
+
+
+@pytest.fixture(scope="module")
+def hot(make):
+    return make.tables(ROWS)
+
+
+def test_fixture_is_skewed():
+    assert len(HOT) * 3 == N and len({r[2] for r in COLD}) == len(COLD)
+
+
+def _latest(q):
+    return max((r for r in HOT if r[4] == q), key=lambda r: (r[6], r[0]))
+
+
+def test_hot_results_match_brute_force(hot):
+    pts = {r.vivienda_id: r for r in Q.household_points(hot).collect()}
+    assert len(pts) == 1 + sum(r[4] == 55 for r in COLD)
+    last = json.loads(_latest(55)[5])["value"]
+    assert str(pts[HOT_SUB].latitud).rstrip("0") == last["latitude"]
+    assert str(pts[HOT_SUB].longitud).rstrip("0") == last["longitude"]
+
+    summ = {r.survey_user_id: r for r in Q.submission_summary(hot).collect()}
+    assert summ[HOT_SUB].total_preguntas == len(HOT)
+    assert summ[HOT_SUB].primera_respuesta == HOT[0][6] and summ[HOT_SUB].ultima_respuesta == HOT[-1][6]
+
+    enum = {r.user_id: r.total_encuestas for r in Q.enumerators_all(hot).collect()}
+    want = collections.Counter(r[3] for r in COLD)
+    want[HOT_USER] = 1
+    assert enum == dict(want)
+
+    sectors = {r.sector: r.total for r in Q.sectors_all(hot).collect()}
+    assert sectors == dict(collections.Counter(json.loads(r[5])["value"] for r in ROWS if r[4] == 477))
+
+    assert Q.submissions_all(hot).first().total_encuestas == 1 + len(COLD)
+    persons = int(json.loads(_latest(600)[5])["value"].split()[0]) + sum(
+        int(json.loads(r[5])["value"].split()[0]) for r in COLD if r[4] == 600)
+    assert Q.persons_today(hot, as_of=D).first().total_personas == persons
+
+    wide = {r.survey_user_id: r for r in Q.submission_wide(hot).collect()}
+    assert wide[HOT_SUB].vivienda == json.loads(_latest(614)[5])["value"].strip()
+    assert wide[HOT_SUB].sector == "S1"
+    assert wide[HOT_SUB].persona == json.loads(max((r for r in HOT if r[4] in (100, 600)),
+                                                   key=lambda r: r[6])[5])["value"]
+
+
+# --------------------------------------------------------------------------- shuffle metrics
+
+def _walk(p):
+    if p.nodeName() == "AdaptiveSparkPlan":
+        yield from _walk(p.executedPlan())
+        return
+    yield p
+    if p.getClass().getSimpleName().endswith("QueryStageExec"):
+        yield from _walk(p.plan())
+        return
+    ch = p.children()
+    for i in range(ch.size()):
+        yield from _walk(ch.apply(i))
+
+
+def _below(p):
+    while p.nodeName().startswith("WholeStageCodegen") or p.nodeName() == "InputAdapter":
+        p = p.children().apply(0)
+    return p
+
+
+PRE_SHUFFLE = ("HashAggregate", "SortAggregate", "ObjectHashAggregate", "WindowGroupLimit")
+
+
+def aggregate_exchanges(df):
+    """Records written by every hash exchange fed by a partial aggregate or a
+    partial group limit (run ``df`` first)."""
+    out = []
+    for p in _walk(df._jdf.queryExecution().executedPlan()):
+        if p.nodeName() == "Exchange" and "hashpartitioning" in p.toString():
+            child = _below(p.children().apply(0))
+            if child.nodeName() in PRE_SHUFFLE:
+                out.append((child.nodeName(), p.metrics().get("shuffleRecordsWritten").get().value()))
+    return out
+
+
+KEYS = {
+    "household_points": {55},
+    "household_sector_points": {55, 477, 863},
+    "household_person_points": {55, 100},
+    "submission_summary": ALL,
+    "submission_wide": {614, 615, 616, 477, 863, 100, 600},
+    "persons_today": {600},
+    "enumerators_all": ALL,
+    "submissions_all": ALL,
+}
+
+
+@pytest.mark.parametrize("key", sorted(KEYS))
+def test_hot_submission_is_pre_aggregated(hot, key):
+    df = Q.BATCH_QUERIES[key](hot, as_of=D)
+    df.collect()
+    tasks = hot.answers.rdd.getNumPartitions()
+    hot_rows = sum(r[4] in KEYS[key] for r in HOT)
+    cold = sum(r[4] in KEYS[key] for r in COLD)
+    assert hot_rows > 10 * tasks
+    ex = aggregate_exchanges(df)
+    assert ex, "no pre-aggregated exchange found"
+    for node, written in ex:
+        # each cold submission is one row; the hot one ships at most one row per task
+        assert written <= cold + tasks, (node, written, cold, tasks)
