@@ -3,13 +3,16 @@
 
 Two steps, both distributed:
 
-1. ``leaf_paths``: the union of leaf paths.  Level by level, object values are
-   exploded into (key, child) rows with ``variant_explode``; non-object values
-   end a path.  Each level is a distinct aggregation whose output is the set of
-   paths (the schema), not the data, so only that small set reaches the
-   driver.  The loop runs once per nesting level.  A key that is a scalar in
-   some rows and an object in others gives both the scalar path and the
-   object's leaf paths.
+1. ``leaf_paths``: the union of leaf paths, in one pass over the column.  Each
+   row's object is cast to ``map<string, variant>`` and walked with nested
+   ``transform``/``flatten`` (the recursion unrolled to a fixed depth), which
+   gives the row's leaf paths as an array; the paths are exploded and
+   deduplicated map-side, so only the distinct paths (the export's column
+   list, not data) reach the driver.  Nothing is cached.  A key that is a
+   scalar in some rows and an object in others gives both the scalar path and
+   the object's leaf paths.  Objects nested deeper than the unrolled depth
+   leave a marker, and the pass is repeated with twice the depth, so the
+   result is exact at any depth.
 2. ``flatten_json``: one ``get_json_object`` per path, NULL where the value at
    that path is an object (its leaves have their own columns).  Values are
    text; arrays stay as JSON text.  Pass ``paths=`` to skip step 1 (required on
@@ -18,40 +21,40 @@ Two steps, both distributed:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.json import json_is_object, json_text
 from ..sources.tables import ANSWER_COLUMNS
 
-_OBJ = "coalesce(schema_of_variant({v}) LIKE 'OBJECT<%', false)"
 
+def _as_map(v: Column) -> Column:
+    # an object variant as map<string, variant>; NULL for anything else
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
-def leaf_paths(df: DataFrame, col: str = "data", max_depth: int = 32) -> list[tuple[str, ...]]:
+
+def _row_paths(v: Column, prefix: Column, depth: int) -> Column:
+    """array<array<string>>: leaf paths under ``v``; a path holding a NULL key
+    marks an object deeper than ``depth`` levels."""
+    def entry(e):
+        path = F.concat(prefix, F.array(e["key"]))
+        if depth <= 1:
+            deeper = F.array(F.array(F.lit(None).cast("string")))
+        else:
+            deeper = _row_paths(e["value"], path, depth - 1)
+        return F.when(_as_map(e["value"]).isNotNull(), deeper).otherwise(F.array(path))
+    return F.flatten(F.transform(F.map_entries(_as_map(v)), entry))
+
+
+def leaf_paths(df: DataFrame, col: str = "data", depth: int = 8) -> list[tuple[str, ...]]:
     """Sorted list of leaf paths (tuples of keys) present in ``col``."""
-    level = df.select(F.try_parse_json(F.col(col)).alias("v"), F.array().cast("array<string>").alias("path")) \
-        .where(F.expr(_OBJ.format(v="v")))
-    found: set[tuple[str, ...]] = set()
-    cached = []
-    for _ in range(max_depth):
-        children = level.lateralJoin(
-            df.sparkSession.tvf.variant_explode(F.col("v").outer())) \
-            .select(F.concat("path", F.array("key")).alias("path"), F.col("value").alias("v"),
-                    F.expr(_OBJ.format(v="value")).alias("is_obj"))
-        children = children.persist()
-        cached.append(children)
-        kinds = children.groupBy("path", "is_obj").count().select("path", "is_obj").collect()
-        found.update(tuple(r["path"]) for r in kinds if not r["is_obj"])
-        if not any(r["is_obj"] for r in kinds):
-            break
-        level = children.where("is_obj").select("v", "path")
-    else:
-        for c in cached:
-            c.unpersist()
-        raise ValueError(f"JSON nested deeper than {max_depth} levels")
-    for c in cached:
-        c.unpersist()
-    return sorted(found)
+    while True:
+        paths = _row_paths(F.try_parse_json(F.col(col)), F.array().cast("array<string>"), depth)
+        found = df.select(F.explode(F.array_distinct(paths)).alias("p")).distinct().collect()
+        found = [tuple(r["p"]) for r in found]
+        if not any(None in p for p in found):
+            return sorted(found)
+        depth *= 2
 
 
 def flatten_json(df: DataFrame, paths, col: str = "data", prefix: str = "data.",

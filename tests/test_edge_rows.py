@@ -139,6 +139,20 @@ def test_flatten_shapes_and_no_clash(make):
     assert all(got[i]["data.value"] is None for i in (0, 1, 2, 3))
 
 
+
+def test_flatten_deep_nesting_and_mixed_kinds(make):
+    deep = "1"
+    for k in reversed([f"k{i}" for i in range(20)]):
+        deep = '{"%s": %s}' % (k, deep)
+    datas = [deep, '{"value": "x"}', '{"value": {"label": "S1"}}', '{"value": {}}', '{"value": []}']
+    t = make.tables([(i, 18, 100 + i, 1, 1, d, ts()) for i, d in enumerate(datas)])
+    paths = leaf_paths(t.answers, depth=4)      # 20 levels: the search deepens until exact
+    assert paths == [tuple(f"k{i}" for i in range(20)), ("value",), ("value", "label")]
+    out = {r["id"]: r for r in export_flat(t.answers, paths).collect()}
+    assert out[0]["data." + ".".join(f"k{i}" for i in range(20))] == "1"
+    assert out[1]["data.value"] == "x" and out[2]["data.value.label"] == "S1"
+    assert out[3]["data.value"] is None and out[4]["data.value"] == "[]"
+
 def test_survey_outside_set_and_missing_user(make):
     ans = [(1, 99, 100, 1, 614, '{"value": "a"}', ts()), (2, 18, 101, 9, 614, '{"value": "b"}', ts()),
            (3, 30, 102, 1, 614, '{"value": "c"}', ts())]
