@@ -30,6 +30,32 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+# Settings for a large cluster (100 TB of answers, ~1000 executors).  Pass them
+# to the cluster's SparkConf / spark-submit; ``build_session`` (local runs) keeps
+# Spark's defaults where these only pay off at scale.
+CLUSTER_SETTINGS = {
+    # runtime re-planning: coalesce small shuffle partitions, split skewed ones,
+    # switch to broadcast only on measured shuffle sizes
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    # initial shuffle width; AQE coalesces it down per stage
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    # bad numbers fail the query unless a query asks for on_bad="null"
+    "spark.sql.ansi.enabled": "true",
+    # streaming state (T4 keeps one row per submission) in RocksDB, off the JVM
+    # heap, checkpointed as changelogs instead of full snapshots
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # survive lost executors without recomputing whole stages from the source
+    "spark.decommission.enabled": "true",
+    "spark.storage.decommission.shuffleBlocks.enabled": "true",
+}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
