@@ -194,12 +194,16 @@ def density_grid(person_pts: DataFrame, params: SurveyParams = DEFAULTS) -> Data
 
 # --------------------------------------------------------------------------- GeoJSON
 
-def feature_popups(features: DataFrame) -> DataFrame:
-    """Feature properties as popup text ``<b>k:</b> v<br>...`` (map order)."""
+def feature_popups(features: DataFrame, *extra) -> DataFrame:
+    """Feature properties as popup text ``<b>k:</b> v<br>...`` (map order):
+    (feature_id, *extra, geometry_type, popup).  ``extra`` columns of the same
+    feature (e.g. a property cast to its type) come along in the same
+    projection, without joining back on ``feature_id``."""
     entries = F.map_entries(F.col("properties"))
     text = F.array_join(F.transform(entries, lambda e: F.concat(
         F.lit("<b>"), e["key"], F.lit(":</b> "), F.coalesce(e["value"], F.lit("null")))), "<br>")
-    return features.select("feature_id", F.col("geometry.type").alias("geometry_type"), text.alias("popup"))
+    return features.select("feature_id", *extra, F.col("geometry.type").alias("geometry_type"),
+                           text.alias("popup"))
 
 
 def feature_bounds(features: DataFrame) -> DataFrame:

@@ -206,10 +206,8 @@ def _household_geojson(t: Tables, params: SurveyParams) -> DataFrame:
 
 def geojson_features(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
     """Household features with their popup text (``<b>key:</b> value<br>...``)."""
-    feats = _household_geojson(t, params)
-    return geo.feature_popups(feats).join(
-        feats.select("feature_id", F.col("properties")["vivienda_id"].cast("bigint").alias("vivienda_id")),
-        "feature_id").select("vivienda_id", "geometry_type", "popup")
+    vid = F.col("properties")["vivienda_id"].cast("bigint").alias("vivienda_id")
+    return geo.feature_popups(_household_geojson(t, params), vid).select("vivienda_id", "geometry_type", "popup")
 
 
 def geojson_bounds(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:

@@ -74,3 +74,9 @@ def test_day_partitioned_table_prunes(spark, tables):
     r = Q.enumerators_range(t2, start="2024-01-10", end="2024-01-20")
     assert sorted(map(tuple, r.collect())) == sorted(
         map(tuple, Q.enumerators_range(tables, start="2024-01-10", end="2024-01-20").collect()))
+
+
+def test_geojson_popups_need_no_join(spark):
+    # vivienda_id and the popup come from the same feature row: one projection, no self-join
+    p = plan(E.queries()["geojson_features"](spark, SF))
+    assert "Join" not in p and "Exchange" not in p
