@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import nonzero_point
-from ..functions.json import json_has_key, json_is_object, json_text
+from ..functions.fields import field
 from ..functions.text import is_digits, python_timestamp_text, to_decimal, to_int
 from ..params import (CLOSE_ZOOM, DEFAULTS, HOUSEHOLD_RADIUS, MIN_POLYGON_POINTS,
                       PERSON_BASE_RADIUS, ZOOM_STEPS, SurveyParams)
@@ -40,9 +40,10 @@ def household_profile(answers: DataFrame, submissions: DataFrame, params: Survey
     Missing sector stays NULL here (``sector_points`` labels it); missing persons
     stay NULL (``person_points`` makes it 0)."""
     q = F.col("survey_question_id")
-    lat = json_text("data", "value", "latitude")
-    lon = json_text("data", "value", "longitude")
-    is_coord = (q == params.coord_qid) & json_is_object("data", "value") & lat.isNotNull() & lon.isNotNull()
+    is_obj = field(answers, "value_is_object")
+    lat = field(answers, "value_latitude")
+    lon = field(answers, "value_longitude")
+    is_coord = (q == params.coord_qid) & is_obj & lat.isNotNull() & lon.isNotNull()
     wanted = q == params.coord_qid
     cols = [F.col("survey_user_id"), is_coord.alias("_c"), _order().alias("_o"),
             F.when(is_coord, F.struct(to_decimal(lat, params.on_bad).alias("latitud"),
@@ -52,14 +53,14 @@ def household_profile(answers: DataFrame, submissions: DataFrame, params: Survey
     if "sector" in parts:
         is_s = q.isin(*params.sector_qids)
         wanted = wanted | is_s
-        sector = F.nullif(F.when(json_is_object("data", "value"), json_text("data", "value", "label"))
-                          .otherwise(json_text("data", "value")), F.lit(""))
+        sector = F.nullif(F.when(is_obj, field(answers, "value_label"))
+                          .otherwise(field(answers, "value_text")), F.lit(""))
         cols += [is_s.alias("_s"), F.when(is_s, sector).alias("_sector")]
         aggs.append(F.max_by("_sector", F.when(F.col("_s"), F.col("_o"))).alias("sector"))
     if "persons" in parts:
         is_p = q == params.persons_qid
         wanted = wanted | is_p
-        cols += [is_p.alias("_p"), F.when(is_p, persons_value(params)).alias("_persons")]
+        cols += [is_p.alias("_p"), F.when(is_p, persons_value(answers, params)).alias("_persons")]
         aggs.append(F.max_by("_persons", F.when(F.col("_p"), F.col("_o"))).alias("total_personas"))
     per = answers.where(wanted).select(*cols).groupBy("survey_user_id").agg(*aggs) \
         .where(F.col("_coord").isNotNull())
@@ -77,12 +78,12 @@ def coordinate_points(answers: DataFrame, submissions: DataFrame,
     return household_profile(answers, submissions, params, parts=())
 
 
-def persons_value(params: SurveyParams = DEFAULTS):
+def persons_value(answers: DataFrame, params: SurveyParams = DEFAULTS):
     """Persons of a household: plain digits, else ``value.cantidad`` digits, else NULL."""
-    v = json_text("data", "value")
-    cantidad = json_text("data", "value", "cantidad")
-    return (F.when(json_has_key("data", "value") & is_digits(v), to_int(v, params.on_bad))
-            .when(json_is_object("data", "value") & is_digits(cantidad), to_int(cantidad, params.on_bad)))
+    v = field(answers, "value_text")
+    cantidad = field(answers, "value_cantidad")
+    return (F.when(field(answers, "value_has_key") & is_digits(v), to_int(v, params.on_bad))
+            .when(field(answers, "value_is_object") & is_digits(cantidad), to_int(cantidad, params.on_bad)))
 
 
 def sector_points(profile: DataFrame, params: SurveyParams = DEFAULTS) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.json import json_is_object, json_text
+from ..functions.fields import field
 from ..functions.text import full_name
 from ..params import DEFAULTS, SurveyParams
 
@@ -44,9 +44,9 @@ def submission_wide(answers: DataFrame, params: SurveyParams = DEFAULTS) -> Data
     is_h = q.isin(*params.household_qids)
     is_s = q.isin(*params.sector_qids)
     is_p = q.isin(params.persons_qid, params.persons_text_qid)
-    sector = F.nullif(F.when(json_is_object("data", "value"), json_text("data", "value", "label"))
-                      .otherwise(json_text("data", "value")), F.lit(""))
-    text = json_text("data", "value")
+    sector = F.nullif(F.when(field(answers, "value_is_object"), field(answers, "value_label"))
+                      .otherwise(field(answers, "value_text")), F.lit(""))
+    text = field(answers, "value_text")
     return (answers.where(is_h | is_s | is_p)
             .groupBy("survey_user_id").agg(
                 F.min("survey_id").alias("survey_id"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import in_ids, where_day, where_range
-from ..functions.json import json_text
+from ..functions.fields import field
 from ..functions.text import digits_only, to_int
 from ..operators import geo, kpis
 from ..operators.flatten import export_flat
@@ -37,12 +37,12 @@ def submissions_today(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS,
 
 def households_today(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
     a = _answers(t, params, as_of, day=True).where(in_ids("survey_question_id", params.household_qids))
-    return kpis.count_distinct(a, F.trim(json_text("data", "value")), "total_viviendas")
+    return kpis.count_distinct(a, F.trim(field(a, "value_text")), "total_viviendas")
 
 
 def sectors_today(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
     a = _answers(t, params, as_of, day=True).where(in_ids("survey_question_id", params.sector_qids))
-    return kpis.group_count(a, json_text("data", "value"), "sector", "total")
+    return kpis.group_count(a, field(a, "value_text"), "sector", "total")
 
 
 def enumerators_today(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
@@ -63,12 +63,12 @@ def submissions_all(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataF
 
 def households_all(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
     a = _answers(t, params).where(in_ids("survey_question_id", params.household_qids))
-    return kpis.count_distinct(a, F.trim(json_text("data", "value")), "total_viviendas")
+    return kpis.count_distinct(a, F.trim(field(a, "value_text")), "total_viviendas")
 
 
 def sectors_all(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
     a = _answers(t, params).where(in_ids("survey_question_id", params.sector_qids))
-    return kpis.group_count(a, json_text("data", "value"), "sector", "total")
+    return kpis.group_count(a, field(a, "value_text"), "sector", "total")
 
 
 def enumerators_all(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
@@ -122,21 +122,21 @@ def sectors_rollup_today(t: Tables, *, as_of=None, params: SurveyParams = DEFAUL
     """Distinct submissions per sector answer on the day, plus the grand total
     (labelled like the NULL group; ``level`` = 1 marks it).  No survey filter."""
     a = where_day(t.answers, as_of).where(in_ids("survey_question_id", params.sector_qids))
-    return kpis.rollup_distinct(a, json_text("data", "value"), "survey_user_id", params.no_sector)
+    return kpis.rollup_distinct(a, field(a, "value_text"), "survey_user_id", params.no_sector)
 
 
 def households_today_joined(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
     """Distinct (untrimmed) household answers on the day, submissions of the joined set."""
     a = where_day(t.answers, as_of).where(in_ids("survey_question_id", params.household_qids))
     a = a.join(_subs_in(t, params.joined_survey_ids), "survey_user_id", "left_semi")
-    return kpis.count_distinct(a, json_text("data", "value"), "total_viviendas")
+    return kpis.count_distinct(a, field(a, "value_text"), "total_viviendas")
 
 
 def persons_today(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
     """Sum over submissions of the digits in the latest free-text persons answer
     of the day; no digits -> not counted; no rows -> 0."""
     a = where_day(t.answers, as_of).where(F.col("survey_question_id") == params.persons_text_qid)
-    a = a.select("id", "survey_user_id", "created_at", F.trim(json_text("data", "value")).alias("v"))
+    a = a.select("id", "survey_user_id", "created_at", F.trim(field(a, "value_text")).alias("v"))
     latest = latest_per_key(a, "survey_user_id").join(
         _subs_in(t, params.joined_survey_ids), "survey_user_id", "left_semi")
     n = to_int(F.nullif(digits_only("v"), F.lit("")), params.on_bad)

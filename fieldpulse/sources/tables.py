@@ -98,14 +98,22 @@ def read_jdbc(spark: SparkSession, url: str, properties: dict, *, answer_bounds:
 # --------------------------------------------------------------------------- day-partitioned answers
 
 def write_answer_table(answers: DataFrame, path: str, mode: str = "overwrite",
-                       max_records_per_file: int = 5_000_000) -> None:
+                       max_records_per_file: int = 5_000_000, parsed: bool = False) -> None:
     """Write answers as parquet partitioned by ``created_date``.
 
     No shuffle: each task sorts its own rows by day and writes one file per day
     it holds (an append-ordered source gives each task one or two days).  A day
     with a third of all rows is therefore written by many tasks, never one;
     ``max_records_per_file`` caps file size.  Day and range queries on the result
-    prune to the folders of their dates."""
+    prune to the folders of their dates.
+
+    ``parsed=True`` also stores the answer fields (``functions.fields``) as
+    columns: the JSON is parsed once here, and the dashboard queries on the
+    table read those narrow columns instead of parsing ``data`` on every
+    refresh (``data`` stays for the export)."""
+    if parsed:
+        from ..functions.fields import parse_fields
+        answers = parse_fields(answers)
     (answers.withColumn("created_date", F.to_date("created_at"))
      .sortWithinPartitions("created_date", "survey_user_id")
      .write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
@@ -113,8 +121,11 @@ def write_answer_table(answers: DataFrame, path: str, mode: str = "overwrite",
 
 
 def read_answer_table(spark: SparkSession, path: str, submissions: DataFrame, users: DataFrame) -> Tables:
-    """Tables over a day-partitioned answers table (keeps ``created_date`` for pruning)."""
+    """Tables over a day-partitioned answers table (keeps ``created_date`` for
+    pruning, and the stored answer fields when the table was written parsed)."""
+    from ..functions.fields import FIELD_NAMES
     raw = spark.read.parquet(path)
     cols = [raw[f.name].cast(f.dataType).alias(f.name) for f in ANSWER_SCHEMA.fields]
+    cols += [raw[n] for n in FIELD_NAMES if n in raw.columns]
     return Tables(raw.select(*cols, F.col("created_date").cast("date").alias("created_date")),
                   submissions, users)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.filters import in_ids
-from ..functions.json import json_text
+from ..functions.fields import field
 from ..functions.text import full_name
 from ..params import DEFAULTS, SurveyParams
 from ..session import checkpoint_root
@@ -52,7 +52,7 @@ def _day():
 def sector_daily(answers: DataFrame, params: SurveyParams = DEFAULTS, delay: str = DEFAULT_DELAY) -> DataFrame:
     """T1: answers per (day, sector) for the survey set; NULL sector is a group."""
     a = answers.where(in_ids("survey_id", params.survey_ids) & in_ids("survey_question_id", params.sector_qids))
-    g = with_event_day(a, delay).groupBy("event_day", json_text("data", "value").alias("sector")) \
+    g = with_event_day(a, delay).groupBy("event_day", field(a, "value_text").alias("sector")) \
         .agg(F.count(F.lit(1)).cast("bigint").alias("total"))
     return g.select(_day(), "sector", "total")
 
@@ -71,7 +71,7 @@ def households_daily_approx(answers: DataFrame, params: SurveyParams = DEFAULTS,
     state is a fixed-size sketch per day, whatever the number of households)."""
     a = answers.where(in_ids("survey_id", params.survey_ids) & in_ids("survey_question_id", params.household_qids))
     g = with_event_day(a, delay).groupBy("event_day").agg(
-        F.approx_count_distinct(F.trim(json_text("data", "value")), rsd).cast("bigint").alias("total_viviendas"))
+        F.approx_count_distinct(F.trim(field(a, "value_text")), rsd).cast("bigint").alias("total_viviendas"))
     return g.select(_day(), "total_viviendas")
 
 
