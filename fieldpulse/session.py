@@ -60,16 +60,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
     Uses ``spark.checkpoint.dir`` when the cluster sets it.  Only when it is
-    unset (local tests) a scratch folder is created and registered, so that
-    ``DataFrame.checkpoint()`` and streaming checkpoints work."""
+    unset (local tests) a scratch folder is created and registered with the
+    SparkContext (the setting itself cannot be changed on a running session),
+    so that ``DataFrame.checkpoint()`` and streaming checkpoints work."""
+    sc = spark.sparkContext
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
-        spark.sparkContext.setCheckpointDir(conf_dir)
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(conf_dir)
         return conf_dir.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    local = tempfile.mkdtemp(prefix="fieldpulse-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    current = sc.getCheckpointDir()
+    if not current:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="fieldpulse-ckpt-"))
+        current = sc.getCheckpointDir()
+    return current.rstrip("/")

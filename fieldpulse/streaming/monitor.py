@@ -97,22 +97,33 @@ def enumerators_daily(answers: DataFrame, users: DataFrame, params: SurveyParams
 
 
 def run_to_table(stream: DataFrame, keys: list[str], name: str, *, trigger: dict | None = None,
-                 root: str | None = None) -> DataFrame:
-    """Run ``stream`` in update mode; every micro-batch appends its updated rows
-    (tagged with the batch id) to a parquet table in the shared checkpoint
-    folder; the current result is the last row per key.  ``trigger`` defaults to
-    ``availableNow`` (process what is there, then stop); pass
-    ``{"processingTime": "10 seconds"}`` for the dashboard cadence (the call
-    then returns the running query's table while it keeps running).
-
-    Written batches are the recovery point: a lost executor re-runs tasks of the
-    current batch only; a restarted query resumes from its checkpoint."""
+                 root: str | None = None, compact_every: int = 100) -> DataFrame:
+    """Run ``stream`` in update mode into an output table in the shared
+    checkpoint folder and return its current view (the last row per key).
+    ``trigger`` defaults to ``availableNow`` (process what is there, then stop);
+    pass ``{"processingTime": "10 seconds"}`` for the dashboard cadence (the
+    call then returns the running query's view while it keeps running).
+
+    Layout under ``<root>/streams/<name>-<id>``: ``log/_batch=N`` holds the rows
+    each micro-batch updated, written with dynamic partition overwrite, so a
+    retried batch replaces its own folder instead of adding a copy.  Every
+    ``compact_every`` batches the current view is written to ``snap-N``; a
+    reader takes the newest complete snapshot plus only the later batch folders
+    (partition pruning), so reading the view does not get slower as the
+    stream runs.  A lost executor re-runs tasks of the current batch only; a
+    restarted query resumes from its checkpoint."""
     spark = stream.sparkSession
     base = (root or checkpoint_root(spark)) + f"/streams/{name}-{uuid.uuid4().hex}"
-    table = base + "/table"
+    schema = stream.schema
 
     def _write(batch: DataFrame, batch_id: int):
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(table)
+        (batch.withColumn("_batch", F.lit(batch_id).cast("bigint"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("_batch").parquet(base + "/log"))
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            # the view up to this batch, from older snapshots only (never the one being written)
+            view = current_table(spark, base, keys, schema, before=batch_id)
+            view.write.mode("overwrite").parquet(f"{base}/snap-{batch_id}")
 
     trig = trigger or {"availableNow": True}
     q = (stream.writeStream.outputMode("update").foreachBatch(_write)
@@ -120,15 +131,53 @@ def run_to_table(stream: DataFrame, keys: list[str], name: str, *, trigger: dict
          .start())
     if "availableNow" in trig or "once" in trig:
         q.awaitTermination()
-    return current_table(spark, table, keys, stream.schema)
+    return current_table(spark, base, keys, schema)
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def latest_snapshot(spark: SparkSession, base: str, before: int | None = None) -> int | None:
+    """Batch id of the newest complete snapshot (``snap-N`` with its ``_SUCCESS``
+    marker) under ``base``, optionally older than ``before``; None if none."""
+    fs, p = _fs(spark, base)
+    if not fs.exists(p):
+        return None
+    best = None
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if not name.startswith("snap-"):
+            continue
+        n = int(name[len("snap-"):])
+        if (before is None or n < before) and (best is None or n > best) and \
+                fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            best = n
+    return best
+
+
+def current_table(spark: SparkSession, base: str, keys: list[str], schema, before: int | None = None) -> DataFrame:
+    """Last written row per key: the newest snapshot plus the batches after it
+    (the upsert view of an update-mode output log)."""
+    from functools import reduce
 
-
-def current_table(spark: SparkSession, table: str, keys: list[str], schema) -> DataFrame:
-    """Last written row per key (the upsert view of an update-mode output log)."""
     from pyspark.sql import Window
-    try:
-        log = spark.read.parquet(table)
-    except Exception:  # nothing written yet (no input): empty result with the stream's schema
+    snap = latest_snapshot(spark, base, before)
+    parts = []
+    if snap is not None:
+        parts.append(spark.read.parquet(f"{base}/snap-{snap}").withColumn("_batch", F.lit(snap).cast("bigint")))
+    fs, log_path = _fs(spark, base + "/log")
+    if fs.exists(log_path):
+        log = spark.read.parquet(base + "/log").withColumn("_batch", F.col("_batch").cast("bigint"))
+        if snap is not None:
+            log = log.where(F.col("_batch") > snap)
+        if before is not None:
+            log = log.where(F.col("_batch") <= before)
+        parts.append(log)
+    if not parts:  # nothing written yet (no input): empty result with the stream's schema
         return spark.createDataFrame([], schema)
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
     w = Window.partitionBy(*keys).orderBy(F.col("_batch").desc())
-    return log.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_batch")
+    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_batch")

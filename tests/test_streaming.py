@@ -98,3 +98,18 @@ def test_late_rows_behind_watermark_are_dropped(spark, make):
     from conftest import D
     assert totals[D - dt.timedelta(10)] == 1      # the late row did not reopen the closed day
     assert totals[D] == 2
+
+
+@pytest.mark.parametrize("every", [1, 2])
+def test_compacted_view_equals_batch(spark, stream_dir, every):
+    import glob
+    d, t = stream_dir
+    root = tempfile.mkdtemp(prefix="fieldpulse-compact-")
+    got = monitor.run_to_table(monitor.latest_answer(_stream(spark, d)), ["survey_user_id"], "t_compact",
+                               compact_every=every, root=root)
+    assert _sorted(got) == _sorted(monitor.latest_answer(t.answers))
+    base = glob.glob(f"{root}/streams/t_compact-*")[0]
+    assert monitor.latest_snapshot(spark, base) == 3          # after the 4th of 4 batches
+    p = got._jdf.queryExecution().executedPlan().toString()
+    # batch folders up to the snapshot are pruned from the view's scan
+    assert "PartitionFilters: [isnotnull(_batch" in p and "> 3)]" in p
