@@ -15,7 +15,13 @@ def dashboard_payload(total: DataFrame, households: DataFrame, sectors: DataFram
     one-row frames is needed.  The lists are aggregates (one entry per sector
     or per enumerator), sorted for a stable payload: enumerators by total DESC
     then id, sectors by name with NULL first.  ``total_sectores`` counts the
-    sector groups, the NULL group included."""
+    sector groups, the NULL group included.
+
+    Size: the lists are built from the already aggregated frames, so the one
+    payload row grows with the number of sector values and enumerators (the
+    survey's catalogue and roster), never with the number of answers.  Where
+    those are not bounded, use the list frames themselves (``sectors_*``,
+    ``enumerators_*``), which stay distributed."""
     total_v = total.select(F.col("total_encuestas")).scalar()
     homes_v = households.select(F.col("total_viviendas")).scalar()
     sect_v = sectors.select(F.struct(F.count(F.lit(1)).alias("n"),
