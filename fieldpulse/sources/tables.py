@@ -78,17 +78,24 @@ def read_catalog(spark: SparkSession, answers: str = "survey_answer",
 
 
 def read_jdbc(spark: SparkSession, url: str, properties: dict, *, answer_bounds: tuple[int, int],
-              num_partitions: int, answers: str = "survey_answer",
-              submissions: str = "survey_surveyuser", users: str = "auth_user") -> Tables:
-    """Parallel JDBC read: the answers table is split on ``id`` into
-    ``num_partitions`` ranges, so no single task pulls the whole table.
-    URL and credentials come from the caller; nothing is stored here.
-    Date filters applied later on ``created_at`` are pushed to the database;
-    JSON extraction is done in Spark (JDBC does not push it)."""
+              num_partitions: int, submission_bounds: tuple[int, int] | None = None,
+              answers: str = "survey_answer", submissions: str = "survey_surveyuser",
+              users: str = "auth_user") -> Tables:
+    """Parallel JDBC read: answers and submissions are each split on their own
+    ``id`` range (``answer_bounds``, ``submission_bounds``; typically
+    ``SELECT min(id), max(id)`` of each table) into ``num_partitions`` and
+    ``num_partitions // 4`` ranges, so no single task pulls a whole table.
+    Rows outside the bounds are still read (by the first and last ranges), so
+    stale bounds cost balance, never rows.  Without ``submission_bounds`` the
+    answers' bounds are used.  URL and credentials come from the caller;
+    nothing is stored here.  Date filters applied later on ``created_at`` are
+    pushed to the database; JSON extraction is done in Spark (JDBC does not
+    push it)."""
     lo, hi = answer_bounds
+    slo, shi = submission_bounds or answer_bounds
     ans = spark.read.jdbc(url, answers, column="id", lowerBound=lo, upperBound=hi,
                           numPartitions=num_partitions, properties=properties)
-    sub = spark.read.jdbc(url, submissions, column="id", lowerBound=lo, upperBound=hi,
+    sub = spark.read.jdbc(url, submissions, column="id", lowerBound=slo, upperBound=shi,
                           numPartitions=max(1, num_partitions // 4), properties=properties)
     usr = spark.read.jdbc(url, users, properties=properties)
     return Tables(_conform(ans, ANSWER_SCHEMA), _conform(sub, SUBMISSION_SCHEMA),
