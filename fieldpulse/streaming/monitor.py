@@ -16,8 +16,10 @@ submission).  Row updates in the source are not seen by an append-only stream.
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import functions as F
 
 from ..functions.filters import in_ids
@@ -96,13 +98,33 @@ def enumerators_daily(answers: DataFrame, users: DataFrame, params: SurveyParams
     return g.select(_day(), "user_id", "nombre_completo", "total_encuestas")
 
 
+def _start(stream: DataFrame, keys: list[str], name: str, trigger: dict, root: str | None,
+           compact_every: int):
+    spark = stream.sparkSession
+    base = (root or checkpoint_root(spark)) + f"/streams/{name}-{uuid.uuid4().hex}"
+    schema = stream.schema
+
+    def _write(batch: DataFrame, batch_id: int):
+        (batch.withColumn("_batch", F.lit(batch_id).cast("bigint"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("_batch").parquet(base + "/log"))
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            # the view up to this batch, from older snapshots only (never the one being written)
+            view = current_table(spark, base, keys, schema, before=batch_id)
+            view.write.mode("overwrite").parquet(f"{base}/snap-{batch_id}")
+
+    q = (stream.writeStream.outputMode("update").foreachBatch(_write)
+         .option("checkpointLocation", base + "/checkpoint").trigger(**trigger)
+         .queryName(f"{name}_{uuid.uuid4().hex[:8]}").start())
+    return q, base, schema
+
+
 def run_to_table(stream: DataFrame, keys: list[str], name: str, *, trigger: dict | None = None,
                  root: str | None = None, compact_every: int = 100) -> DataFrame:
     """Run ``stream`` in update mode into an output table in the shared
     checkpoint folder and return its current view (the last row per key).
     ``trigger`` defaults to ``availableNow`` (process what is there, then stop);
-    pass ``{"processingTime": "10 seconds"}`` for the dashboard cadence (the
-    call then returns the running query's view while it keeps running).
+    for a query that keeps running use ``start_live``.
 
     Layout under ``<root>/streams/<name>-<id>``: ``log/_batch=N`` holds the rows
     each micro-batch updated, written with dynamic partition overwrite, so a
@@ -112,26 +134,35 @@ def run_to_table(stream: DataFrame, keys: list[str], name: str, *, trigger: dict
     (partition pruning), so reading the view does not get slower as the
     stream runs.  A lost executor re-runs tasks of the current batch only; a
     restarted query resumes from its checkpoint."""
-    spark = stream.sparkSession
-    base = (root or checkpoint_root(spark)) + f"/streams/{name}-{uuid.uuid4().hex}"
-    schema = stream.schema
-
-    def _write(batch: DataFrame, batch_id: int):
-        (batch.withColumn("_batch", F.lit(batch_id).cast("bigint"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("_batch").parquet(base + "/log"))
-        if compact_every and (batch_id + 1) % compact_every == 0:
-            # the view up to this batch, from older snapshots only (never the one being written)
-            view = current_table(spark, base, keys, schema, before=batch_id)
-            view.write.mode("overwrite").parquet(f"{base}/snap-{batch_id}")
-
     trig = trigger or {"availableNow": True}
-    q = (stream.writeStream.outputMode("update").foreachBatch(_write)
-         .option("checkpointLocation", base + "/checkpoint").trigger(**trig).queryName(f"{name}_{uuid.uuid4().hex[:8]}")
-         .start())
+    q, base, schema = _start(stream, keys, name, trig, root, compact_every)
     if "availableNow" in trig or "once" in trig:
         q.awaitTermination()
-    return current_table(spark, base, keys, schema)
+    return current_table(stream.sparkSession, base, keys, schema)
+
+
+@dataclass
+class LiveTable:
+    """A running indicator stream: ``query`` (stop it with ``query.stop()``) and
+    ``view()``, the current result, read fresh on every call (the dashboard's
+    refresh)."""
+    query: StreamingQuery
+    spark: SparkSession
+    base: str
+    keys: list[str]
+    schema: object
+
+    def view(self) -> DataFrame:
+        return current_table(self.spark, self.base, self.keys, self.schema)
+
+
+def start_live(stream: DataFrame, keys: list[str], name: str, *, every: str = "10 seconds",
+               root: str | None = None, compact_every: int = 100) -> LiveTable:
+    """Start ``stream`` with a processing-time trigger (the pages refreshed every
+    10-15 s; here a micro-batch runs at that cadence and only when new answers
+    arrived) and return the live handle."""
+    q, base, schema = _start(stream, keys, name, {"processingTime": every}, root, compact_every)
+    return LiveTable(q, stream.sparkSession, base, keys, schema)
 
 
 def _fs(spark: SparkSession, path: str):

@@ -113,3 +113,24 @@ def test_compacted_view_equals_batch(spark, stream_dir, every):
     p = got._jdf.queryExecution().executedPlan().toString()
     # batch folders up to the snapshot are pruned from the view's scan
     assert "PartitionFilters: [isnotnull(_batch" in p and "> 3)]" in p
+
+
+def test_live_table_follows_new_answers(spark, stream_dir):
+    import shutil
+    d, t = stream_dir
+    live_in = tempfile.mkdtemp(prefix="fieldpulse-live-in-")
+    shutil.copytree(f"{d}/part0", f"{live_in}/part0")
+    stream = monitor.read_answer_stream(spark, f"{live_in}/part*")
+    live = monitor.start_live(monitor.submissions_daily(stream), ["day"], "t_live", every="1 second",
+                              compact_every=2)
+    try:
+        live.query.processAllAvailable()
+        first = {r["day"] for r in live.view().collect()}
+        shutil.copytree(f"{d}/part1", f"{live_in}/part1")      # new answers arrive while it runs
+        live.query.processAllAvailable()
+        got = _sorted(live.view())
+    finally:
+        live.query.stop()
+    days = F.dayofmonth("created_at").between(1, 15)
+    want = _sorted(monitor.submissions_daily(t.answers.where(days)))
+    assert got == want and len(first) < len(got)
