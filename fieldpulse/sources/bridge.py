@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import ANSWER_SCHEMA, SUBMISSION_SCHEMA, USER_SCHEMA, Tables, spread
+from .tables import SUBMISSION_SCHEMA, Tables, spread
 
 SPARK_K = "get_json_object(props, '$.k')"
 DUCKDB_K = "(props->>'$.k')"
