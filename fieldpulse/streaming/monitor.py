@@ -112,6 +112,7 @@ def _start(stream: DataFrame, keys: list[str], name: str, trigger: dict, root: s
             # the view up to this batch, from older snapshots only (never the one being written)
             view = current_table(spark, base, keys, schema, before=batch_id)
             view.write.mode("overwrite").parquet(f"{base}/snap-{batch_id}")
+            _retain(spark, base)
 
     q = (stream.writeStream.outputMode("update").foreachBatch(_write)
          .option("checkpointLocation", base + "/checkpoint").trigger(**trigger)
@@ -132,7 +133,8 @@ def run_to_table(stream: DataFrame, keys: list[str], name: str, *, trigger: dict
     ``compact_every`` batches the current view is written to ``snap-N``; a
     reader takes the newest complete snapshot plus only the later batch folders
     (partition pruning), so reading the view does not get slower as the
-    stream runs.  A lost executor re-runs tasks of the current batch only; a
+    stream runs.  The two newest snapshots are kept, older ones and the batch
+    folders they cover are removed, so the output stays bounded too.  A lost executor re-runs tasks of the current batch only; a
     restarted query resumes from its checkpoint."""
     trig = trigger or {"availableNow": True}
     q, base, schema = _start(stream, keys, name, trig, root, compact_every)
@@ -189,6 +191,29 @@ def latest_snapshot(spark: SparkSession, base: str, before: int | None = None) -
     return best
 
 
+def _retain(spark: SparkSession, base: str, keep: int = 2) -> None:
+    """Keep the ``keep`` newest complete snapshots and drop what they make
+    redundant: older snapshots and the batch folders up to the oldest kept
+    one.  A reader that started on the previous snapshot still finds it and
+    every batch folder after it."""
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs, root = _fs(spark, base)
+    snaps = sorted(int(st.getPath().getName()[len("snap-"):]) for st in fs.listStatus(root)
+                   if st.getPath().getName().startswith("snap-")
+                   and fs.exists(Path(st.getPath(), "_SUCCESS")))
+    if len(snaps) <= keep:
+        return
+    oldest_kept = snaps[-keep]
+    for n in snaps[:-keep]:
+        fs.delete(Path(root, f"snap-{n}"), True)
+    log = Path(root, "log")
+    if fs.exists(log):
+        for st in fs.listStatus(log):
+            name = st.getPath().getName()
+            if name.startswith("_batch=") and int(name[len("_batch="):]) <= oldest_kept:
+                fs.delete(st.getPath(), True)
+
+
 def current_table(spark: SparkSession, base: str, keys: list[str], schema, before: int | None = None) -> DataFrame:
     """Last written row per key: the newest snapshot plus the batches after it
     (the upsert view of an update-mode output log)."""

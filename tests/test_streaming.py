@@ -110,6 +110,12 @@ def test_compacted_view_equals_batch(spark, stream_dir, every):
     assert _sorted(got) == _sorted(monitor.latest_answer(t.answers))
     base = glob.glob(f"{root}/streams/t_compact-*")[0]
     assert monitor.latest_snapshot(spark, base) == 3          # after the 4th of 4 batches
+    import os
+    left = sorted(os.listdir(base))
+    batches = sorted(os.listdir(f"{base}/log")) if os.path.exists(f"{base}/log") else []
+    if every == 1:    # snapshots 0..3 written; 2 and 3 kept; batch folders up to 2 removed
+        assert [n for n in left if n.startswith("snap-")] == ["snap-2", "snap-3"]
+        assert [b for b in batches if b.startswith("_batch=")] == ["_batch=3"]
     p = got._jdf.queryExecution().executedPlan().toString()
     # batch folders up to the snapshot are pruned from the view's scan
     assert "PartitionFilters: [isnotnull(_batch" in p and "> 3)]" in p
