@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.filters import in_ids
 from ..functions.fields import field
@@ -32,9 +33,18 @@ from ..sources.tables import ANSWER_SCHEMA
 DEFAULT_DELAY = "1 day"
 
 
-def read_answer_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Answers arriving as parquet files under ``path`` (schema fixed, never inferred)."""
-    r = spark.readStream.schema(ANSWER_SCHEMA)
+def read_answer_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
+                       fields: bool = False) -> DataFrame:
+    """Answers arriving as parquet files under ``path`` (schema fixed, never
+    inferred).  ``fields=True`` reads files written with the parsed answer
+    fields (``functions.fields``) as well, so the streams use them instead of
+    parsing ``data`` again."""
+    schema = ANSWER_SCHEMA
+    if fields:
+        from ..functions.fields import FIELD_NAMES, parse_fields
+        typed = parse_fields(spark.createDataFrame([], ANSWER_SCHEMA)).schema
+        schema = T.StructType(ANSWER_SCHEMA.fields + [typed[n] for n in FIELD_NAMES])
+    r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.parquet(path)

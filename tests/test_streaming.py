@@ -140,3 +140,15 @@ def test_live_table_follows_new_answers(spark, stream_dir):
     days = F.dayofmonth("created_at").between(1, 15)
     want = _sorted(monitor.submissions_daily(t.answers.where(days)))
     assert got == want and len(first) < len(got)
+
+
+def test_stream_over_parsed_fields_equals_batch(spark, stream_dir):
+    from fieldpulse.functions.fields import parse_fields
+    d, t = stream_dir
+    parsed = tempfile.mkdtemp(prefix="fieldpulse-parsed-in-")
+    for i in range(4):
+        parse_fields(spark.read.parquet(f"{d}/part{i}")).coalesce(1).write.parquet(f"{parsed}/part{i}")
+    stream = monitor.read_answer_stream(spark, f"{parsed}/part*", max_files_per_trigger=1, fields=True)
+    assert "value_text" in stream.columns
+    got = monitor.run_to_table(monitor.sector_daily(stream), ["day", "sector"], "t_parsed")
+    assert _sorted(got) == _sorted(monitor.sector_daily(t.answers))
