@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules
+from . import chat, exact_dedup, mixing, quality_rules, simhash
 
-MODULES = (exact_dedup, quality_rules)
+MODULES = (exact_dedup, chat, quality_rules, mixing, simhash)
 
 
 def queries() -> dict:
