@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, quality_rules, simhash
+from . import bpe, chat, exact_dedup, mixing, quality_rules, simhash, token_files
 
-MODULES = (exact_dedup, chat, quality_rules, mixing, simhash)
+MODULES = (exact_dedup, bpe, chat, quality_rules, mixing, token_files, simhash)
 
 
 def queries() -> dict:
