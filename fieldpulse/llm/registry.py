@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, mixing, quality_rules, simhash, token_files
+from . import bpe, chat, exact_dedup, mixing, quality_rules, simhash, substring, token_files
 
-MODULES = (exact_dedup, bpe, chat, quality_rules, mixing, token_files, simhash)
+MODULES = (exact_dedup, bpe, substring, chat, quality_rules, mixing, token_files, simhash)
 
 
 def queries() -> dict:
