@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, mixing, quality_rules, simhash, substring, token_files
+from . import bpe, chat, exact_dedup, mixing, quality_rules, simhash, site_quality, substring, token_files, toxicity
 
-MODULES = (exact_dedup, bpe, substring, chat, quality_rules, mixing, token_files, simhash)
+MODULES = (exact_dedup, bpe, toxicity, substring, chat, quality_rules, mixing, token_files, site_quality, simhash)
 
 
 def queries() -> dict:
