@@ -80,8 +80,6 @@ class WordBPE:
         self._memo: dict[bytes, bytes] = {}
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self._memo) + len(words) > self.MEMO:
-            self._memo.clear()
         simple, counts, pieces = [], [], []
         for w in words:
             if max(w) < 0xCC and min(w) > 0x1F and 0x7F not in w:
@@ -108,10 +106,11 @@ class WordBPE:
             return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = self._words(raw)
         new = set(words).difference(self._memo)
+        if len(self._memo) + len(new) > self.MEMO:
+            self._memo.clear()
+            new = set(words)
         if new:
             self._learn(new)
-            if not self._memo.keys() >= set(words):  # the memo was emptied
-                self._learn(set(words).difference(self._memo))
         return b"".join(map(self._memo.__getitem__, words))
 
     def _words(self, raw: bytes) -> list[bytes]:

@@ -1,0 +1,103 @@
+import io
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import zstandard
+from tokenizers import Tokenizer
+
+from fieldpulse.llm.common import shared_table
+from fieldpulse.llm.token_files import TokenFileReader, TokenFileWriter, read_token_files, write_token_files
+
+WORD = public_tokenizers.path("word_bpe_49k.json")
+
+
+def want(pairs):
+    lib, out, start = Tokenizer.from_file(WORD), {}, 0
+    for i, t in sorted(pairs):
+        ids = lib.encode(t or "", add_special_tokens=False).ids + [1]
+        out[i] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    return out
+
+
+def write(df, root, **options):
+    return shared_table(write_token_files(df, str(root), WORD, **options), "test-manifest")
+
+
+def found(df):
+    return {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in df.collect()}
+
+
+@pytest.mark.parametrize("options", [{}, {"frame_bytes": 500, "file_bytes": 4000}])
+def test_edges_and_whole_small_table(edges, edge_pairs, small, small_pairs, tmp_path, options):
+    for k, (df, pairs) in enumerate(((edges, edge_pairs), (small, small_pairs))):
+        manifest = write(df, tmp_path / str(k), **options)
+        assert found(read_token_files(manifest, str(tmp_path / str(k)))) == want(pairs)
+        names = {f.name for f in (tmp_path / str(k)).iterdir()}
+        assert names == {r.file for r in manifest.collect()}  # nothing half-written is left
+        if options and k:
+            assert len(names) > 8
+
+
+def test_task_that_runs_again_writes_the_same(small, tmp_path):
+    first = write(small, tmp_path / "a")
+    before = {f.name: f.read_bytes() for f in (tmp_path / "a").iterdir()}
+    again = write(small, tmp_path / "a")
+    assert {f.name: f.read_bytes() for f in (tmp_path / "a").iterdir()} == before
+    assert sorted(first.collect()) == sorted(again.collect())
+
+
+def one_file(docs, frame_bytes=400):
+    out = io.BytesIO()
+    w = TokenFileWriter(out, frame_bytes)
+    for i, ids in docs:
+        w.add(i, np.array(ids, "<u4").tobytes())
+    w.close(pa.int64())
+    return out.getvalue()
+
+
+def test_format():
+    docs = [(10 * k, list(range(k, k + 30 + k % 7))) for k in range(80)] + [(None, [1]), (900, list(range(5000)))]
+    raw = one_file(docs)
+
+    class Counting(io.BytesIO):
+        got = 0
+
+        def read(self, n=-1):
+            self.got += n
+            return super().read(n)
+
+    f = Counting(raw)
+    reader = TokenFileReader(f, len(raw))
+    assert reader.doc_ids.to_pylist() == [i for i, _ in docs]
+    head = f.got
+    assert np.frombuffer(reader.ids(40), "<u4").tolist() == docs[40][1]
+    assert f.got - head < 500  # one frame
+    assert [np.frombuffer(reader.ids(i), "<u4").tolist() for i in (81, 0, 80)] == [docs[81][1], docs[0][1], [1]]
+    # a plain zstandard reader skips index and table and reads all ids
+    plain = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw), read_across_frames=True).read()
+    assert np.frombuffer(plain, "<u4").tolist() == [x for _, ids in docs for x in ids]
+
+
+def test_damage_is_found():
+    docs = [(k, [k] * 50) for k in range(20)]
+    raw = bytearray(one_file(docs))
+    reader = TokenFileReader(io.BytesIO(bytes(raw)), len(raw))
+    raw[int(reader._starts[3]) + 12] ^= 1
+    broken = TokenFileReader(io.BytesIO(bytes(raw)), len(raw))
+    place = int(np.flatnonzero(broken.frames == 3)[0])
+    with pytest.raises((ValueError, zstandard.ZstdError)):
+        broken.ids(place)
+    assert broken.ids(0) == reader.ids(0)
+
+
+def test_odd_ids_and_empty(odd_ids, no_docs, tmp_path):
+    rows = read_token_files(write(odd_ids, tmp_path / "a"), str(tmp_path / "a")).collect()
+    rows = sorted(rows, key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, None, None, 5, 5, 7]
+    assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
+    manifest = write(no_docs, tmp_path / "b")
+    assert manifest.count() == 0 and read_token_files(manifest, str(tmp_path / "b")).count() == 0
