@@ -5,22 +5,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldpulse.llm.bpe import digests, encode
 from fieldpulse.llm.common import read_table, shared_table
 from fieldpulse.llm.exact_dedup import exact_dedup
+from fieldpulse.llm.mixing import take_mix
 from fieldpulse.llm.quality_rules import keep_good
+from fieldpulse.llm.simhash import near_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules do not reject."""
     return keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, the smallest id."""
     return exact_dedup(docs)
 
 
-STAGES = [("quality_rules", quality), ("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component, the smallest id."""
+    return near_dedup(docs, shingle=4, max_distance=4)
 
-#: The BPE stage returns token ids, which SQL cannot express; tests compare it with a brute-force version.
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: a document of a second epoch is a second row."""
+    return take_mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every row."""
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return digests(encode(docs, path), path)
+
+
+STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("simhash_dedup", near),
+          ("mixing", mixture), ("bpe", tokens)]
+
+#: Fingerprints and token ids cannot be expressed in SQL; tests compare the pipeline with a brute-force version.
 ORACLE_SQL = None
 
 
