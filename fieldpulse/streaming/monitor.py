@@ -1,16 +1,15 @@
 """Structured Streaming form of the polled dashboards (the pages re-run their
 queries every 10-15 s; here the same indicators are kept current incrementally).
 
-Event time: ``event_day`` = midnight of the answer's wall-clock date, as a
-timestamp in the session zone (``to_date(created_at)`` then cast).  The
-watermark is set on ``event_day`` itself, so every stateful operator that keys
-on it (dedup, per-day counts) drops a day's state once the watermark passes it.
-The round trip date -> timestamp -> date is exact in any session zone, so the
-reported ``day`` equals ``to_date(created_at)`` of the batch queries.
-
-State sizes: T1/T2/T3/T5 hold (open days x keys); T4 holds one row per
-submission and has no expiry (as the batch query, it must remember every
-submission).  Row updates in the source are not seen by an append-only stream.
+Every answer counts, however late: no watermark, so a day stays open and a late
+answer corrects its row, as re-running the query would.  Answers without a
+``created_at`` belong to no day (as in the day queries) and are left out of the
+daily indicators.
+
+State (RocksDB on a cluster, see ``session.CLUSTER_SETTINGS``): T1 one row per
+(day, sector), T2 one per (day, submission), T3 one fixed-size sketch per day,
+T4 one per submission, T5 one per (day, enumerator, submission).  Row updates
+in the source are not seen by an append-only stream.
 """
 
 from __future__ import annotations
@@ -24,14 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.filters import in_ids
-from ..functions.fields import field
+from ..functions.fields import FIELD_NAMES, field, parse_fields
 from ..functions.text import full_name
 from ..params import DEFAULTS, SurveyParams
 from ..session import checkpoint_root
 from ..sources.tables import ANSWER_SCHEMA
 
-DEFAULT_DELAY = "1 day"
-
 
 def read_answer_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
                        fields: bool = False) -> DataFrame:
@@ -41,7 +38,6 @@ def read_answer_stream(spark: SparkSession, path: str, max_files_per_trigger: in
     parsing ``data`` again."""
     schema = ANSWER_SCHEMA
     if fields:
-        from ..functions.fields import FIELD_NAMES, parse_fields
         typed = parse_fields(spark.createDataFrame([], ANSWER_SCHEMA)).schema
         schema = T.StructType(ANSWER_SCHEMA.fields + [typed[n] for n in FIELD_NAMES])
     r = spark.readStream.schema(schema)
@@ -50,41 +46,30 @@ def read_answer_stream(spark: SparkSession, path: str, max_files_per_trigger: in
     return r.parquet(path)
 
 
-def with_event_day(answers: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
-    """Add ``event_day`` and a watermark on it; rows later than ``delay`` behind
-    the newest day are dropped from stateful results (default one day)."""
-    return (answers.withColumn("event_day", F.to_date("created_at").cast("timestamp"))
-            .withWatermark("event_day", delay))
-
-
-def _day():
-    return F.to_date("event_day").alias("day")
+def _dated(answers: DataFrame) -> DataFrame:
+    return answers.where(F.col("created_at").isNotNull()).withColumn("day", F.to_date("created_at"))
 
 
-def sector_daily(answers: DataFrame, params: SurveyParams = DEFAULTS, delay: str = DEFAULT_DELAY) -> DataFrame:
+def sector_daily(answers: DataFrame, params: SurveyParams = DEFAULTS) -> DataFrame:
     """T1: answers per (day, sector) for the survey set; NULL sector is a group."""
     a = answers.where(in_ids("survey_id", params.survey_ids) & in_ids("survey_question_id", params.sector_qids))
-    g = with_event_day(a, delay).groupBy("event_day", field(a, "value_text").alias("sector")) \
+    return _dated(a).groupBy("day", field(a, "value_text").alias("sector")) \
         .agg(F.count(F.lit(1)).cast("bigint").alias("total"))
-    return g.select(_day(), "sector", "total")
 
 
-def submissions_daily(answers: DataFrame, params: SurveyParams = DEFAULTS, delay: str = DEFAULT_DELAY) -> DataFrame:
+def submissions_daily(answers: DataFrame, params: SurveyParams = DEFAULTS) -> DataFrame:
     """T2: exact distinct submissions per day (dedup on (submission, day), then count)."""
-    a = with_event_day(answers.where(in_ids("survey_id", params.survey_ids)), delay)
-    g = a.dropDuplicates(["survey_user_id", "event_day"]).groupBy("event_day") \
+    a = _dated(answers.where(in_ids("survey_id", params.survey_ids)))
+    return a.dropDuplicates(["survey_user_id", "day"]).groupBy("day") \
         .agg(F.count(F.lit(1)).cast("bigint").alias("total_encuestas"))
-    return g.select(_day(), "total_encuestas")
 
 
-def households_daily_approx(answers: DataFrame, params: SurveyParams = DEFAULTS,
-                            delay: str = DEFAULT_DELAY, rsd: float = 0.05) -> DataFrame:
+def households_daily_approx(answers: DataFrame, params: SurveyParams = DEFAULTS, rsd: float = 0.05) -> DataFrame:
     """T3: approximate distinct trimmed household answers per day (HyperLogLog++;
     state is a fixed-size sketch per day, whatever the number of households)."""
     a = answers.where(in_ids("survey_id", params.survey_ids) & in_ids("survey_question_id", params.household_qids))
-    g = with_event_day(a, delay).groupBy("event_day").agg(
+    return _dated(a).groupBy("day").agg(
         F.approx_count_distinct(F.trim(field(a, "value_text")), rsd).cast("bigint").alias("total_viviendas"))
-    return g.select(_day(), "total_viviendas")
 
 
 def latest_answer(answers: DataFrame) -> DataFrame:
@@ -95,155 +80,67 @@ def latest_answer(answers: DataFrame) -> DataFrame:
     return g.select("survey_user_id", "r.id", "r.survey_question_id", "r.data", "r.created_at")
 
 
-def enumerators_daily(answers: DataFrame, users: DataFrame, params: SurveyParams = DEFAULTS,
-                      delay: str = DEFAULT_DELAY) -> DataFrame:
+def enumerators_daily(answers: DataFrame, users: DataFrame, params: SurveyParams = DEFAULTS) -> DataFrame:
     """T5: distinct submissions per (day, enumerator) with names.  Stream-static
     inner join with the users table first (stateless), then dedup and count."""
     u = users.select(F.col("id").alias("user_id"), full_name("first_name", "last_name").alias("nombre_completo"))
-    a = answers.where(in_ids("survey_id", params.survey_ids)).join(u, "user_id", "inner")
-    a = with_event_day(a, delay)
-    g = a.dropDuplicates(["user_id", "survey_user_id", "event_day"]) \
-        .groupBy("event_day", "user_id", "nombre_completo") \
+    a = _dated(answers.where(in_ids("survey_id", params.survey_ids)).join(u, "user_id", "inner"))
+    return a.dropDuplicates(["user_id", "survey_user_id", "day"]) \
+        .groupBy("day", "user_id", "nombre_completo") \
         .agg(F.count(F.lit(1)).cast("bigint").alias("total_encuestas"))
-    return g.select(_day(), "user_id", "nombre_completo", "total_encuestas")
 
 
-def _start(stream: DataFrame, keys: list[str], name: str, trigger: dict, root: str | None,
-           compact_every: int):
-    spark = stream.sparkSession
-    base = (root or checkpoint_root(spark)) + f"/streams/{name}-{uuid.uuid4().hex}"
-    schema = stream.schema
-
-    def _write(batch: DataFrame, batch_id: int):
-        (batch.withColumn("_batch", F.lit(batch_id).cast("bigint"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("_batch").parquet(base + "/log"))
-        if compact_every and (batch_id + 1) % compact_every == 0:
-            # the view up to this batch, from older snapshots only (never the one being written)
-            view = current_table(spark, base, keys, schema, before=batch_id)
-            view.write.mode("overwrite").parquet(f"{base}/snap-{batch_id}")
-            _retain(spark, base)
-
-    q = (stream.writeStream.outputMode("update").foreachBatch(_write)
-         .option("checkpointLocation", base + "/checkpoint").trigger(**trigger)
-         .queryName(f"{name}_{uuid.uuid4().hex[:8]}").start())
-    return q, base, schema
-
-
-def run_to_table(stream: DataFrame, keys: list[str], name: str, *, trigger: dict | None = None,
-                 root: str | None = None, compact_every: int = 100) -> DataFrame:
-    """Run ``stream`` in update mode into an output table in the shared
-    checkpoint folder and return its current view (the last row per key).
-    ``trigger`` defaults to ``availableNow`` (process what is there, then stop);
-    for a query that keeps running use ``start_live``.
-
-    Layout under ``<root>/streams/<name>-<id>``: ``log/_batch=N`` holds the rows
-    each micro-batch updated, written with dynamic partition overwrite, so a
-    retried batch replaces its own folder instead of adding a copy.  Every
-    ``compact_every`` batches the current view is written to ``snap-N``; a
-    reader takes the newest complete snapshot plus only the later batch folders
-    (partition pruning), so reading the view does not get slower as the
-    stream runs.  The two newest snapshots are kept, older ones and the batch
-    folders they cover are removed, so the output stays bounded too.  A lost executor re-runs tasks of the current batch only; a
-    restarted query resumes from its checkpoint."""
-    trig = trigger or {"availableNow": True}
-    q, base, schema = _start(stream, keys, name, trig, root, compact_every)
-    if "availableNow" in trig or "once" in trig:
-        q.awaitTermination()
-    return current_table(stream.sparkSession, base, keys, schema)
-
+# --------------------------------------------------------------------------- output
 
 @dataclass
 class LiveTable:
-    """A running indicator stream: ``query`` (stop it with ``query.stop()``) and
-    ``view()``, the current result, read fresh on every call (the dashboard's
-    refresh)."""
+    """An indicator stream and its output: ``query`` (stop it with
+    ``query.stop()``) and ``view()``, the current result, read fresh on every call."""
     query: StreamingQuery
     spark: SparkSession
-    base: str
+    log: str
     keys: list[str]
-    schema: object
+    schema: T.StructType
 
     def view(self) -> DataFrame:
-        return current_table(self.spark, self.base, self.keys, self.schema)
+        """The last written row of each key.  One partial aggregation: a key
+        that was updated in many batches ships one row per task."""
+        rows = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("_batch", T.LongType())])).parquet(self.log)
+        rest = [f.name for f in self.schema.fields if f.name not in self.keys]
+        last = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r"))
+        return last.select(*[F.col(f"_r.{c}") if c in rest else F.col(c)
+                             for c in rows.columns if c != "_batch"])
 
 
 def start_live(stream: DataFrame, keys: list[str], name: str, *, every: str = "10 seconds",
-               root: str | None = None, compact_every: int = 100) -> LiveTable:
-    """Start ``stream`` with a processing-time trigger (the pages refreshed every
-    10-15 s; here a micro-batch runs at that cadence and only when new answers
-    arrived) and return the live handle."""
-    q, base, schema = _start(stream, keys, name, {"processingTime": every}, root, compact_every)
-    return LiveTable(q, stream.sparkSession, base, keys, schema)
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def latest_snapshot(spark: SparkSession, base: str, before: int | None = None) -> int | None:
-    """Batch id of the newest complete snapshot (``snap-N`` with its ``_SUCCESS``
-    marker) under ``base``, optionally older than ``before``; None if none."""
-    fs, p = _fs(spark, base)
-    if not fs.exists(p):
-        return None
-    best = None
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if not name.startswith("snap-"):
-            continue
-        n = int(name[len("snap-"):])
-        if (before is None or n < before) and (best is None or n > best) and \
-                fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            best = n
-    return best
-
-
-def _retain(spark: SparkSession, base: str, keep: int = 2) -> None:
-    """Keep the ``keep`` newest complete snapshots and drop what they make
-    redundant: older snapshots and the batch folders up to the oldest kept
-    one.  A reader that started on the previous snapshot still finds it and
-    every batch folder after it."""
-    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs, root = _fs(spark, base)
-    snaps = sorted(int(st.getPath().getName()[len("snap-"):]) for st in fs.listStatus(root)
-                   if st.getPath().getName().startswith("snap-")
-                   and fs.exists(Path(st.getPath(), "_SUCCESS")))
-    if len(snaps) <= keep:
-        return
-    oldest_kept = snaps[-keep]
-    for n in snaps[:-keep]:
-        fs.delete(Path(root, f"snap-{n}"), True)
-    log = Path(root, "log")
-    if fs.exists(log):
-        for st in fs.listStatus(log):
-            name = st.getPath().getName()
-            if name.startswith("_batch=") and int(name[len("_batch="):]) <= oldest_kept:
-                fs.delete(st.getPath(), True)
-
-
-def current_table(spark: SparkSession, base: str, keys: list[str], schema, before: int | None = None) -> DataFrame:
-    """Last written row per key: the newest snapshot plus the batches after it
-    (the upsert view of an update-mode output log)."""
-    from functools import reduce
-
-    from pyspark.sql import Window
-    snap = latest_snapshot(spark, base, before)
-    parts = []
-    if snap is not None:
-        parts.append(spark.read.parquet(f"{base}/snap-{snap}").withColumn("_batch", F.lit(snap).cast("bigint")))
-    fs, log_path = _fs(spark, base + "/log")
-    if fs.exists(log_path):
-        log = spark.read.parquet(base + "/log").withColumn("_batch", F.col("_batch").cast("bigint"))
-        if snap is not None:
-            log = log.where(F.col("_batch") > snap)
-        if before is not None:
-            log = log.where(F.col("_batch") <= before)
-        parts.append(log)
-    if not parts:  # nothing written yet (no input): empty result with the stream's schema
-        return spark.createDataFrame([], schema)
-    rows = reduce(lambda a, b: a.unionByName(b), parts)
-    w = Window.partitionBy(*keys).orderBy(F.col("_batch").desc())
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_batch")
+               root: str | None = None, trigger: dict | None = None) -> LiveTable:
+    """Start ``stream`` in update mode (by default with a processing-time trigger:
+    a micro-batch at the pages' cadence, and only when new answers arrived).
+
+    ``name`` under ``root`` (the shared checkpoint folder when not given) is the
+    table: ``<root>/streams/<name>/checkpoint`` and ``.../log/_batch=N``, the rows
+    each micro-batch updated.  Starting the same name again resumes from its
+    checkpoint and reads only new files.  A batch that is retried replaces its own
+    folder (dynamic partition overwrite)."""
+    spark = stream.sparkSession
+    base = f"{root or checkpoint_root(spark)}/streams/{name}"
+    log, schema = f"{base}/log", T.StructType(list(stream.schema.fields))
+    empty = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("_batch", T.LongType())]))
+    empty.write.mode("append").partitionBy("_batch").parquet(log)  # the folder exists before the first batch
+
+    def write(batch: DataFrame, batch_id: int):
+        (batch.withColumn("_batch", F.lit(batch_id).cast("bigint"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("_batch").parquet(log))
+
+    q = (stream.writeStream.outputMode("update").foreachBatch(write)
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(**(trigger or {"processingTime": every}))
+         .queryName(f"{name}_{uuid.uuid4().hex[:8]}").start())
+    return LiveTable(q, spark, log, keys, schema)
+
+
+def run_to_table(stream: DataFrame, keys: list[str], name: str, *, root: str | None = None) -> DataFrame:
+    """Process what has arrived since the last run of ``name``, stop, and return the current view."""
+    live = start_live(stream, keys, name, root=root, trigger={"availableNow": True})
+    live.query.awaitTermination()
+    return live.view()

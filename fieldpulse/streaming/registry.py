@@ -1,49 +1,72 @@
-"""Driver keys for the streaming indicators: the bridge answers are read as a
-file stream (the events parquet), run to completion with ``availableNow``,
-and the final table is returned.  Their oracle is the batch SQL of the same
-indicator."""
+"""Driver keys for the streaming indicators: the bridge answers arrive as files,
+out of day order, in several micro-batches; the stream runs until it has read
+all of them and the final table is returned.  Their oracle is the batch SQL of
+the same indicator."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..params import DEFAULTS
-from ..sources.bridge import answers_from_events, duckdb_cte, users_from_customer
+from ..session import checkpoint_root
+from ..sources.bridge import (CUSTOMER_SCHEMA, EVENTS_SCHEMA, answers_from_events, bridge_tables, duckdb_cte,
+                              users_from_customer)
 from . import monitor
 
+#: Files that arrive one after the other, each with days from the whole period.
+ARRIVALS = 5
+
+
+def _answer_stream(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    events = spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+    arrivals = f"{root}/arrivals"
+    (events.withColumn("arrival", F.pmod(F.dayofmonth("ts") * 7, F.lit(ARRIVALS)))
+     .write.partitionBy("arrival").parquet(arrivals))
+    files = len(spark.read.parquet(arrivals).inputFiles())
+    stream = (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", max(1, files // ARRIVALS))
+              .parquet(arrivals))
+    return answers_from_events(stream)
+
 
-def _answer_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events_schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    # a one-character class turns the file into a glob (a stream source needs a
-    # directory or a pattern), matching only this table's file
-    events = spark.readStream.schema(events_schema).parquet(f"{sf_dir}/events.parque[t]")
-    return answers_from_events(events.select("event_id", "ts", "event_type", "props"))
+def _run(spark: SparkSession, sf_dir: str, name: str, keys: list[str], build) -> DataFrame:
+    root = f"{checkpoint_root(spark)}/replay-{uuid.uuid4().hex}"
+    return monitor.run_to_table(build(_answer_stream(spark, sf_dir, root)), keys, name, root=root)
 
 
 def stream_sector_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = monitor.sector_daily(_answer_stream(spark, sf_dir), DEFAULTS)
-    return monitor.run_to_table(s, ["day", "sector"], "sector_daily")
+    return _run(spark, sf_dir, "sector_daily", ["day", "sector"], monitor.sector_daily)
 
 
 def stream_submissions_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = monitor.submissions_daily(_answer_stream(spark, sf_dir), DEFAULTS)
-    return monitor.run_to_table(s, ["day"], "submissions_daily")
+    return _run(spark, sf_dir, "submissions_daily", ["day"], monitor.submissions_daily)
 
 
 def stream_households_daily_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = monitor.households_daily_approx(_answer_stream(spark, sf_dir), DEFAULTS)
-    return monitor.run_to_table(s, ["day"], "households_daily")
+    """The streamed estimate beside the exact batch count of the day:
+    ``within_error`` tells whether they differ by three standard errors at most."""
+    rsd = 0.05
+    got = _run(spark, sf_dir, "households_daily", ["day"], lambda a: monitor.households_daily_approx(a, DEFAULTS, rsd))
+    t = bridge_tables(spark, sf_dir)
+    a = t.answers.where(F.col("survey_id").isin(*DEFAULTS.survey_ids)
+                        & F.col("survey_question_id").isin(*DEFAULTS.household_qids))
+    exact = a.groupBy(F.to_date("created_at").alias("day")).agg(
+        F.count_distinct(F.trim(F.get_json_object("data", "$.value"))).cast("bigint").alias("exact"))
+    both = exact.join(got, "day", "full")
+    return both.select("day", "exact", (F.abs(F.col("total_viviendas") - F.col("exact"))
+                                        <= 3 * rsd * F.col("exact")).alias("within_error"))
 
 
 def stream_latest_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = monitor.latest_answer(_answer_stream(spark, sf_dir))
-    return monitor.run_to_table(s, ["survey_user_id"], "latest_answer")
+    return _run(spark, sf_dir, "latest_answer", ["survey_user_id"], monitor.latest_answer)
 
 
 def stream_enumerators_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment")
-    s = monitor.enumerators_daily(_answer_stream(spark, sf_dir), users_from_customer(customer), DEFAULTS)
-    return monitor.run_to_table(s, ["day", "user_id"], "enumerators_daily")
+    users = users_from_customer(spark.read.schema(CUSTOMER_SCHEMA).parquet(f"{sf_dir}/customer.parquet"))
+    return _run(spark, sf_dir, "enumerators_daily", ["day", "user_id"],
+                lambda a: monitor.enumerators_daily(a, users, DEFAULTS))
 
 
 STREAM_QUERIES = {
@@ -62,13 +85,16 @@ STREAM_ORACLE = {
     "stream_submissions_daily": duckdb_cte() +
         "SELECT CAST(created_at AS DATE) AS day, count(DISTINCT survey_user_id)::BIGINT AS total_encuestas "
         f"FROM survey_answer WHERE survey_id IN {_S} GROUP BY 1",
+    "stream_households_daily_approx": duckdb_cte() +
+        "SELECT CAST(created_at AS DATE) AS day, count(DISTINCT trim(data->>'$.value'))::BIGINT AS exact, "
+        f"true AS within_error FROM survey_answer WHERE survey_id IN {_S} "
+        "AND survey_question_id IN (614, 615, 616) GROUP BY 1",
     "stream_latest_answer": duckdb_cte() +
         "SELECT survey_user_id, id, survey_question_id, data, created_at FROM survey_answer "
         "QUALIFY row_number() OVER (PARTITION BY survey_user_id ORDER BY created_at DESC NULLS FIRST, id DESC) = 1",
     "stream_enumerators_daily": duckdb_cte() +
-        "SELECT CAST(sa.created_at AS DATE) AS day, sa.user_id, "
-        "concat(coalesce(u.first_name, ''), ' ', coalesce(u.last_name, '')) AS nombre_completo, "
-        "count(DISTINCT sa.survey_user_id)::BIGINT AS total_encuestas FROM survey_answer sa "
-        f"JOIN auth_user u ON u.id = sa.user_id WHERE sa.survey_id IN {_S} "
-        "GROUP BY 1, sa.user_id, u.first_name, u.last_name",
+        ", per AS (SELECT day, user_id, count(*)::BIGINT AS total_encuestas FROM (SELECT DISTINCT "
+        f"CAST(created_at AS DATE) AS day, user_id, survey_user_id FROM survey_answer WHERE survey_id IN {_S}) GROUP BY 1, 2) "
+        "SELECT per.*, (SELECT coalesce(first_name, '') || ' ' || coalesce(last_name, '') FROM auth_user u WHERE u.id = per.user_id) "
+        "AS nombre_completo FROM per WHERE EXISTS (FROM auth_user u WHERE u.id = per.user_id)",
 }
