@@ -11,6 +11,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..params import ZONE
+
 
 def _as_date(d) -> dt.date:
     if isinstance(d, dt.datetime):
@@ -24,11 +26,22 @@ def _ntz(d: dt.date) -> Column:
     return F.lit(dt.datetime(d.year, d.month, d.day)).cast("timestamp_ntz")
 
 
-def on_day(col: str | Column, as_of=None) -> Column:
-    """``created_at::date = as_of`` (``CURRENT_DATE`` when ``as_of`` is None)."""
+def local_date(instant: Column, zone: str) -> Column:
+    """Date of an instant on the wall clock of ``zone``, whatever the session's zone."""
+    return F.to_date(F.convert_timezone(F.current_timezone(), F.lit(zone), instant.cast("timestamp_ntz")))
+
+
+def today(zone: str) -> Column:
+    """The project's current date; constant within a query, so day filters on it are pushed."""
+    return local_date(F.current_timestamp(), zone)
+
+
+def on_day(col: str | Column, as_of=None, zone: str = ZONE) -> Column:
+    """``created_at::date = as_of`` (today in ``zone`` when ``as_of`` is None)."""
     c = F.col(col) if isinstance(col, str) else col
     if as_of is None:
-        return F.to_date(c) == F.current_date()
+        d = today(zone)
+        return (c >= d.cast("timestamp_ntz")) & (c < F.date_add(d, 1).cast("timestamp_ntz"))
     d = _as_date(as_of)
     return (c >= _ntz(d)) & (c < _ntz(d + dt.timedelta(days=1)))
 
@@ -47,12 +60,12 @@ def in_range(col: str | Column, start, end) -> Column:
     return (c >= _ntz(s)) & (c < _ntz(e + dt.timedelta(days=1)))
 
 
-def where_day(df: DataFrame, as_of=None, col: str = "created_at") -> DataFrame:
+def where_day(df: DataFrame, as_of=None, col: str = "created_at", zone: str = ZONE) -> DataFrame:
     """Rows of the day.  On a table partitioned by ``created_date`` the same day is
     also asked of the partition column, so only that folder is listed and read."""
-    cond = on_day(col, as_of)
+    cond = on_day(col, as_of, zone)
     if "created_date" in df.columns:
-        day = F.current_date() if as_of is None else F.lit(_as_date(as_of))
+        day = today(zone) if as_of is None else F.lit(_as_date(as_of))
         cond = cond & (F.col("created_date") == day)
     return df.where(cond)
 
@@ -66,10 +79,10 @@ def where_range(df: DataFrame, start, end, col: str = "created_at") -> DataFrame
     return df.where(cond)
 
 
-def scope_filter(df: DataFrame, scope: str, as_of=None, col: str = "created_at") -> DataFrame:
+def scope_filter(df: DataFrame, scope: str, as_of=None, col: str = "created_at", zone: str = ZONE) -> DataFrame:
     """``scope='today'`` keeps the day, ``scope='all'`` keeps everything."""
     if scope == "today":
-        return where_day(df, as_of, col)
+        return where_day(df, as_of, col, zone)
     if scope == "all":
         return df
     raise ValueError(f"scope must be 'today' or 'all', got {scope!r}")

@@ -40,11 +40,6 @@ def to_decimal(col, on_bad: str = "fail") -> Column:
     return _c(col).cast("decimal(38,18)") if on_bad == "fail" else _c(col).try_cast("decimal(38,18)")
 
 
-def kpi(col) -> Column:
-    """KPI as an integer, 0 when absent."""
-    return F.coalesce(_c(col).cast("bigint"), F.lit(0).cast("bigint"))
-
-
 def python_timestamp_text(col) -> Column:
     """Text of a timestamp as Python's ``str(datetime)`` writes it (fraction only if non-zero)."""
     c = _c(col)

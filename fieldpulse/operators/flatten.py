@@ -1,22 +1,16 @@
 """Flatten the JSON ``data`` of answers into one column per leaf path, the way
 ``json_normalize`` names them (``value``, ``value.latitude``, ...).
 
-Two steps, both distributed:
-
-1. ``leaf_paths``: the union of leaf paths, in one pass over the column.  Each
-   row's object is cast to ``map<string, variant>`` and walked with nested
-   ``transform``/``flatten`` (the recursion unrolled to a fixed depth), which
-   gives the row's leaf paths as an array; the paths are exploded and
-   deduplicated map-side, so only the distinct paths (the export's column
-   list, not data) reach the driver.  Nothing is cached.  A key that is a
-   scalar in some rows and an object in others gives both the scalar path and
-   the object's leaf paths.  Objects nested deeper than the unrolled depth
-   leave a marker, and the pass is repeated with twice the depth, so the
-   result is exact at any depth.
-2. ``flatten_json``: one ``get_json_object`` per path, NULL where the value at
-   that path is an object (its leaves have their own columns).  Values are
-   text; arrays stay as JSON text.  Pass ``paths=`` to skip step 1 (required on
-   streams and when a stable export layout is wanted).
+1. ``leaf_paths``: the distinct leaf paths.  Each row's object is walked with
+   nested ``transform``/``flatten``, LEVELS levels at a time; paths are
+   deduplicated map-side.  What lies deeper goes on as (path, object text) rows
+   of its own, so one deep row costs another walk of that row, not of the table.
+2. ``flatten_json``: each object is parsed once into ``map<string,string>`` and
+   values are taken by key, so any key works (quotes, dots, ``*``, empty).  A
+   path that leads to an object gives NULL (its leaves have their own columns);
+   values keep their text, arrays stay JSON text.  Pass ``paths=`` to skip step 1
+   (required on streams and when a stable export layout is wanted): then no job
+   runs while the plan is built.
 """
 
 from __future__ import annotations
@@ -24,50 +18,96 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.json import json_is_object, json_text
 from ..sources.tables import ANSWER_COLUMNS
 
+LEVELS = 8
+#: Columns an export may have; more paths (ids or dates as keys) are an error, not a cut.
+MAX_PATHS = 10_000
+
 
 def _as_map(v: Column) -> Column:
     # an object variant as map<string, variant>; NULL for anything else
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def _row_paths(v: Column, prefix: Column, depth: int) -> Column:
-    """array<array<string>>: leaf paths under ``v``; a path holding a NULL key
-    marks an object deeper than ``depth`` levels."""
+def _row_paths(v: Column, prefix: Column, levels: int) -> Column:
+    """array<struct<path, rest>>: leaf paths under ``v``; ``rest`` is the text of an
+    object below the last level."""
+    def leaf(path, rest=None):
+        return F.array(F.struct(path.alias("path"), (F.lit(None).cast("string") if rest is None else rest).alias("rest")))
+
     def entry(e):
         path = F.concat(prefix, F.array(e["key"]))
-        if depth <= 1:
-            deeper = F.array(F.array(F.lit(None).cast("string")))
-        else:
-            deeper = _row_paths(e["value"], path, depth - 1)
-        return F.when(_as_map(e["value"]).isNotNull(), deeper).otherwise(F.array(path))
+        deeper = leaf(path, F.to_json(e["value"])) if levels <= 1 else _row_paths(e["value"], path, levels - 1)
+        return F.when(_as_map(e["value"]).isNotNull(), deeper).otherwise(leaf(path))
     return F.flatten(F.transform(F.map_entries(_as_map(v)), entry))
 
 
-def leaf_paths(df: DataFrame, col: str = "data", depth: int = 8) -> list[tuple[str, ...]]:
+def leaf_paths(df: DataFrame, col: str = "data", levels: int = LEVELS, max_paths: int = MAX_PATHS) -> list[tuple[str, ...]]:
     """Sorted list of leaf paths (tuples of keys) present in ``col``."""
+    rows = df.select(F.array().cast("array<string>").alias("prefix"), F.col(col).alias("text"))
+    found: set[tuple[str, ...]] = set()
     while True:
-        paths = _row_paths(F.try_parse_json(F.col(col)), F.array().cast("array<string>"), depth)
-        found = df.select(F.explode(F.array_distinct(paths)).alias("p")).distinct().collect()
-        found = [tuple(r["p"]) for r in found]
-        if not any(None in p for p in found):
+        paths = _row_paths(F.try_parse_json("text"), F.col("prefix"), levels)
+        rows = rows.select(F.explode(F.array_distinct(paths)).alias("p")).select("p.*").distinct()
+        more = rows.where("rest is null").select("path").limit(max_paths + 1).collect()
+        found.update(tuple(r.path) for r in more)
+        if len(found) > max_paths:
+            raise ValueError(f"more than {max_paths} leaf paths: give the export its paths")
+        rows = rows.where("rest is not null").select(F.col("path").alias("prefix"), F.col("rest").alias("text"))
+        if rows.isEmpty():
             return sorted(found)
-        depth *= 2
+
+
+def column_names(paths, prefix: str = "data.") -> list[str]:
+    """Column name of each path: its keys joined by dots.  A name that an earlier
+    path (in sorted order) has already, also in another case, gets ``__2``,
+    ``__3``, ... so that every file format can hold the export."""
+    names: dict[tuple[str, ...], str] = {}
+    taken: set[str] = set()
+    for path in sorted(set(map(tuple, paths))):
+        base = name = prefix + ".".join(path)
+        n = 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{base}__{n}"
+        taken.add(name.lower())
+        names[path] = name
+    return [names[tuple(p)] for p in paths]
 
 
 def flatten_json(df: DataFrame, paths, col: str = "data", prefix: str = "data.",
                  keep: list[str] | None = None) -> DataFrame:
-    """Answers with ``col`` replaced by one text column per leaf path.
-    Column names are ``prefix + '.'.join(path)``; the prefix keeps a JSON key such
-    as ``id`` from clashing with a table column."""
+    """Answers with ``col`` replaced by one text column per leaf path; the prefix
+    keeps a JSON key such as ``id`` from clashing with a table column."""
     keep = [c for c in (keep or ANSWER_COLUMNS) if c != col]
+    paths = [tuple(p) for p in paths]
+    inner = sorted({p[:i] for p in paths for i in range(1, len(p))}, key=len)  # objects on the way to a leaf
+    out = df.select(*keep, F.col(col).alias("_j"))
+    out = out.select(*keep, _text_map(F.col("_j")).alias("_m"),
+                     *([_variant_map(F.col("_j")).alias("_v")] if inner else []))
+    maps, kinds = {(): "_m"}, {(): "_v"}
+    for n, p in enumerate(inner):
+        maps[p], kinds[p] = f"_m{n}", f"_v{n}"
+        value = F.try_element_at(F.col(kinds[p[:-1]]), F.lit(p[-1]))
+        out = out.withColumn(kinds[p], _as_map(value))
+        out = out.withColumn(maps[p], F.when(F.col(kinds[p]).isNotNull(),
+                                             _text_map(F.try_element_at(F.col(maps[p[:-1]]), F.lit(p[-1])))))
     cols = [F.col(c) for c in keep]
-    for path in paths:
-        text = json_text(col, *path)
-        cols.append(F.when(~json_is_object(col, *path), text).alias(prefix + ".".join(path)))
-    return df.select(*cols)
+    for path, name in zip(paths, column_names(paths, prefix), strict=True):
+        text = F.try_element_at(F.col(maps[path[:-1]]), F.lit(path[-1]))
+        if path in kinds:  # an object in some rows
+            text = F.when(F.col(kinds[path]).isNull(), text)
+        cols.append(text.alias(name))
+    return out.select(*cols)
+
+
+def _text_map(text: Column) -> Column:
+    return F.from_json(text, "map<string,string>")
+
+
+def _variant_map(text: Column) -> Column:
+    return _as_map(F.try_parse_json(text))
 
 
 def export_flat(df: DataFrame, paths=None, col: str = "data", prefix: str = "data.") -> DataFrame:

@@ -18,6 +18,10 @@ from ..params import (CLOSE_ZOOM, DEFAULTS, HOUSEHOLD_RADIUS, MIN_POLYGON_POINTS
                       PERSON_BASE_RADIUS, ZOOM_STEPS, SurveyParams)
 
 
+#: Parts of a sector's rows in the polygon join.
+SALTS = 16
+
+
 def _order():
     """Latest first: created_at DESC with NULL first (PostgreSQL DESC), then id DESC."""
     return F.struct(F.col("created_at").isNull().alias("n"), F.col("created_at").alias("c"),
@@ -143,18 +147,23 @@ def map_centre(coords: DataFrame, params: SurveyParams = DEFAULTS) -> DataFrame:
 
 def map_zoom(points: DataFrame, params: SurveyParams = DEFAULTS) -> DataFrame:
     """Centre of all markers and a zoom from the largest distance to it.
-    ``points`` has decimal ``latitud``/``longitud``.  Two passes, both partial
-    aggregates: the centre (a scalar subquery, one value) and then count,
-    reported centre and maximum distance in one aggregation."""
-    pts = points.select("latitud", "longitud",
-                        F.col("latitud").cast("double").alias("lat"),
-                        F.col("longitud").cast("double").alias("lon"))
-    centre = pts.select(F.struct(_raw_mean(F.col("latitud")).alias("a"),
-                                 _raw_mean(F.col("longitud")).alias("b"))).scalar()
-    dlat_, dlon_ = F.col("lat") - centre.getField("a"), F.col("lon") - centre.getField("b")
-    stats = pts.agg(F.count(F.lit(1)).alias("n_markers"),
-                    _mean(F.col("latitud")).alias("clat"), _mean(F.col("longitud")).alias("clon"),
-                    F.round(F.max(F.sqrt(dlat_ * dlat_ + dlon_ * dlon_)), 9).alias("max_dist"))
+
+    ``points`` are the households (decimal ``latitud``/``longitud``).  The page
+    draws each one on three layers: all submissions and households, where a zero
+    coordinate is not drawn, and sectors, without that test.  So a point counts
+    once, or three times if neither coordinate is zero; markers are never made.
+    Two partial aggregates: the centre (one value), then the distance to it."""
+    drawn = nonzero_point()
+    pts = points.where(F.col("latitud").isNotNull() & F.col("longitud").isNotNull())
+    n = F.count(F.lit(1)) + 2 * F.count(F.when(drawn, 1))
+    mean = lambda c: (F.sum(c).cast("double")
+                      + 2 * F.coalesce(F.sum(F.when(drawn, F.col(c))).cast("double"), F.lit(0.0))) / n
+    centre = pts.select(F.struct(mean("latitud").alias("a"), mean("longitud").alias("b"), n.alias("n"))).scalar()
+    dlat_ = F.col("latitud").cast("double") - centre.getField("a")
+    dlon_ = F.col("longitud").cast("double") - centre.getField("b")
+    stats = pts.agg(F.round(F.max(F.sqrt(dlat_ * dlat_ + dlon_ * dlon_)), 9).alias("max_dist")).select(
+        "max_dist", F.coalesce(centre.getField("n"), F.lit(0)).cast("bigint").alias("n_markers"),
+        F.round(centre.getField("a"), 9).alias("clat"), F.round(centre.getField("b"), 9).alias("clon"))
     zoom = F.lit(CLOSE_ZOOM)
     for threshold, z in reversed(ZOOM_STEPS):
         zoom = F.when(F.col("max_dist") > threshold, F.lit(z)).otherwise(zoom)
@@ -173,13 +182,22 @@ def sector_polygons(sector_pts: DataFrame) -> DataFrame:
     (sector, vivienda_id, latitud, longitud, n_points); vertex order is
     ``vivienda_id``.  A long table instead of one array per sector, so a sector
     holding a third of all households never becomes one huge row.  Per-sector
-    counts are pre-aggregated (one row per sector per task), then joined back."""
+    counts are pre-aggregated (one row per sector per task) and joined back on
+    (sector, salt): each count is repeated per salt, so the households of a hot
+    sector spread over SALTS tasks."""
     counts = (sector_pts.groupBy("sector").agg(F.count(F.lit(1)).cast("bigint").alias("n_points"))
-              .where(F.col("n_points") >= MIN_POLYGON_POINTS))
-    return sector_pts.join(counts, "sector", "inner").select(
+              .where(F.col("n_points") >= MIN_POLYGON_POINTS)
+              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    salted = sector_pts.withColumn("_salt", F.pmod(F.xxhash64("vivienda_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(counts, ["sector", "_salt"], "inner").select(
         "sector", "vivienda_id", "latitud", "longitud", "n_points")
 
 
+def heat_points(person_pts: DataFrame) -> DataFrame:
+    """Heat-map triples: (latitud, longitud, total_personas) of the drawn points."""
+    return person_pts.where(nonzero_point()).select("latitud", "longitud", "total_personas")
+
+
 def density_grid(person_pts: DataFrame, params: SurveyParams = DEFAULTS) -> DataFrame:
     """Heat-map / cluster re-aim: persons and points per grid cell.
     Cell index = floor(coordinate * cells_per_degree), exact in decimal."""

@@ -1,48 +1,51 @@
-"""Dashboard payloads: one row with the KPIs and the sector and enumerator
-lists, plus the same as JSON text (``to_json`` keeping NULL fields)."""
+"""Payloads of the pages as JSON text: the dashboards' KPIs with their lists, and
+the single-list answers (``to_json`` keeping NULL fields).
+
+A payload is one text, so its lists are bounded: at most ``size`` entries, the
+first in the list's order, taken by a top-k per task.  The list frames
+themselves (``sectors_*``, ``enumerators_*``) hold every entry and stay
+distributed."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def _json(*cols) -> Column:
+    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+
+
+def bounded_list(df: DataFrame, columns: list[str], order: list[Column], size: int) -> Column:
+    """The first ``size`` rows in ``order`` as one array of structs, in that order."""
+    top = df.orderBy(*order).limit(size)
+    rows = top.select(F.struct(*columns).alias("r"), F.row_number().over(Window.orderBy(*order)).alias("i"))
+    packed = F.transform(F.sort_array(F.collect_list(F.struct("i", "r"))), lambda x: x["r"])
+    return F.coalesce(rows.select(packed).scalar(), F.array())
+
+
+def dashboard_payload(kpis: DataFrame, sectors: DataFrame, enumerators: DataFrame, id_name: str, size: int,
+                      total: DataFrame | None = None) -> DataFrame:
+    """One row: the KPIs and the JSON payload.  ``kpis`` is the one-pass KPI row;
+    ``total`` replaces its submissions count where the page counts them
+    elsewhere.  Enumerators by total DESC then id, sectors by name, NULL first."""
+    k = kpis.select(F.struct("total_encuestas", "total_viviendas", "total_sectores")).scalar()
+    n = k.getField("total_encuestas") if total is None else total.select("total_encuestas").scalar()
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    sect = bounded_list(sectors, ["sector", "total"], [F.col("sector").asc_nulls_first(), F.col("total")], size)
+    cens = bounded_list(enumerators, [id_name, "nombre_completo", "total_encuestas"],
+                        [F.desc("total_encuestas"), F.col(id_name)], size)
+    row = kpis.sparkSession.range(1).select(
+        F.struct(zero(n).alias("total_encuestas"), zero(k.getField("total_viviendas")).alias("total_viviendas"),
+                 zero(k.getField("total_sectores")).alias("total_sectores")).alias("kpis"),
+        cens.alias("censistas"), sect.alias("sectores"), cens.alias("convenciones"))
+    return row.select("kpis.total_encuestas", "kpis.total_viviendas", "kpis.total_sectores",
+                      _json("kpis", "censistas", "sectores", "convenciones").alias("payload"))
 
 
-def dashboard_payload(total: DataFrame, households: DataFrame, sectors: DataFrame,
-                      enumerators: DataFrame, id_name: str) -> DataFrame:
-    """Combine the four dashboard frames into one row.
-
-    Each part enters as a scalar subquery (a single value), so no join of
-    one-row frames is needed.  The lists are aggregates (one entry per sector
-    or per enumerator), sorted for a stable payload: enumerators by total DESC
-    then id, sectors by name with NULL first.  ``total_sectores`` counts the
-    sector groups, the NULL group included.
-
-    Size: the lists are built from the already aggregated frames, so the one
-    payload row grows with the number of sector values and enumerators (the
-    survey's catalogue and roster), never with the number of answers.  Where
-    those are not bounded, use the list frames themselves (``sectors_*``,
-    ``enumerators_*``), which stay distributed."""
-    total_v = total.select(F.col("total_encuestas")).scalar()
-    homes_v = households.select(F.col("total_viviendas")).scalar()
-    sect_v = sectors.select(F.struct(F.count(F.lit(1)).alias("n"),
-                                     F.sort_array(F.collect_list(F.struct("sector", "total"))).alias("l"))).scalar()
-    n_sect, sect_list = sect_v.getField("n"), sect_v.getField("l")
-    ranked = F.sort_array(F.collect_list(F.struct(
-        (-F.col("total_encuestas")).alias("k"), F.col(id_name).alias("i"),
-        F.col("nombre_completo").alias("n"), F.col("total_encuestas").alias("t"))))
-    cens = enumerators.select(F.transform(ranked, lambda r: F.struct(
-        r["i"].alias(id_name), r["n"].alias("nombre_completo"), r["t"].alias("total_encuestas")))).scalar()
-    cens = F.coalesce(cens, F.array())
-    sect = F.coalesce(sect_list, F.array())
-    kpis = F.struct(F.coalesce(total_v, F.lit(0)).cast("bigint").alias("total_encuestas"),
-                    F.coalesce(homes_v, F.lit(0)).cast("bigint").alias("total_viviendas"),
-                    n_sect.cast("bigint").alias("total_sectores"))
-    spark = total.sparkSession
-    row = spark.range(1).select(kpis.alias("kpis"), cens.alias("censistas"),
-                                sect.alias("sectores"), cens.alias("convenciones"))
-    return row.select(
-        F.col("kpis.total_encuestas").alias("total_encuestas"),
-        F.col("kpis.total_viviendas").alias("total_viviendas"),
-        F.col("kpis.total_sectores").alias("total_sectores"),
-        F.to_json(F.struct("kpis", "censistas", "sectores", "convenciones"),
-                  {"ignoreNullFields": "false"}).alias("payload"))
+def list_payload(df: DataFrame, name: str, columns: list[str], order: list[Column], size: int, **constants) -> DataFrame:
+    """One row with ``{constants..., name: [rows]}`` (a report, the users of the day, the sectors of the day)."""
+    rows = bounded_list(df, columns, order, size).alias(name)
+    row = df.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in constants.items()], rows)
+    return row.select(_json(*constants, name).alias("payload"))

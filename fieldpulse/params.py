@@ -26,6 +26,8 @@ CLOSE_ZOOM = 14                      # zoom when every point is within 0.05
 NO_SECTOR = "SIN SECTOR"             # label of a missing sector and of the total
 HOUSEHOLD_RADIUS = 5                 # marker radius of the household layer
 PERSON_BASE_RADIUS = 3               # person layer radius = 3 + persons
+ZONE = "America/Bogota"               # the project's clock: "today" is its date
+PREVIEW_SIZE = 50                     # rows of the consolidated page's preview
 MIN_POLYGON_POINTS = 3               # a sector is drawn as a polygon from 3 points
 
 
@@ -46,6 +48,10 @@ class SurveyParams:
     # density grid: cells per degree (100 -> 0.01 degree cells); an integer so
     # the cell index is exact decimal arithmetic.
     cells_per_degree: int = 100
+    zone: str = ZONE
+    preview_size: int = PREVIEW_SIZE
+    # entries of a list inside a payload text; the list frames hold all of them
+    payload_list: int = 10_000
 
     def __post_init__(self):
         if self.on_bad not in ("fail", "null"):

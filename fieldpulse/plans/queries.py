@@ -1,7 +1,7 @@
 """The composed dashboard queries, each a pure function of the three tables.
 
 Signature: ``key(tables, *, as_of=None, start=None, end=None, params=DEFAULTS)``.
-``as_of=None`` means ``current_date()``; pass a date for a fixed day.
+``as_of=None`` means today in ``params.zone``; pass a date for a fixed day.
 """
 
 from __future__ import annotations
@@ -15,24 +15,29 @@ from ..functions.text import digits_only, to_int
 from ..operators import geo, kpis
 from ..operators.flatten import export_flat
 from ..operators.latest import latest_per_key
-from ..operators.payload import dashboard_payload
+from ..operators.payload import dashboard_payload, list_payload
 from ..operators.summary import submission_summary as _summary
 from ..operators.summary import submission_wide as _wide
 from ..params import DEFAULTS, SurveyParams
+from ..sources.geojson import features_from_text
+from ..sources.sinks import geojson_text
 from ..sources.tables import ANSWER_COLUMNS, Tables
 
 
 def _answers(t: Tables, params: SurveyParams, as_of=None, day: bool = False) -> DataFrame:
     a = t.answers.where(in_ids("survey_id", params.survey_ids))
-    return where_day(a, as_of) if day else a
+    return _day(a, as_of, params) if day else a
+
+
+def _day(df: DataFrame, as_of, params: SurveyParams) -> DataFrame:
+    return where_day(df, as_of, zone=params.zone)
 
 
 # ------------------------------------------------------------------ today page
 
 def submissions_today(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
     """Submissions created on the day, no survey filter; NULL survey not counted."""
-    return kpis.count_non_null(where_day(t.submissions, as_of),
-                               "survey_id", "total_encuestas")
+    return kpis.count_non_null(_day(t.submissions, as_of, params), "survey_id", "total_encuestas")
 
 
 def households_today(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
@@ -51,8 +56,9 @@ def enumerators_today(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS,
 
 def dashboard_today(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
     kw = dict(as_of=as_of, params=params)
-    return dashboard_payload(submissions_today(t, **kw), households_today(t, **kw),
-                             sectors_today(t, **kw), enumerators_today(t, **kw), "convencion")
+    row = kpis.answer_kpis(_answers(t, params, as_of, day=True), params.household_qids, params.sector_qids)
+    return dashboard_payload(row, sectors_today(t, **kw), enumerators_today(t, **kw), "convencion",
+                             params.payload_list, total=submissions_today(t, **kw))
 
 
 # ------------------------------------------------------------------ all-time page
@@ -76,8 +82,14 @@ def enumerators_all(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataF
 
 
 def dashboard_all(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
-    return dashboard_payload(submissions_all(t, params=params), households_all(t, params=params),
-                             sectors_all(t, params=params), enumerators_all(t, params=params), "user_id")
+    row = kpis.answer_kpis(_answers(t, params), params.household_qids, params.sector_qids)
+    return dashboard_payload(row, sectors_all(t, params=params), enumerators_all(t, params=params), "user_id",
+                             params.payload_list)
+
+
+def enumerators_all_ranked(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
+    """The all-time enumerators with their place in the page's order."""
+    return kpis.ranked(enumerators_all(t, params=params), F.desc("total_encuestas"), "user_id")
 
 
 # ------------------------------------------------------------------ report by date range
@@ -88,6 +100,13 @@ def enumerators_range(t: Tables, *, start=None, end=None, params: SurveyParams =
     return kpis.enumerator_counts(where_range(_answers(t, params), start, end), t.users, "censista_id")
 
 
+def range_payload(t: Tables, *, start=None, end=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
+    """The report's answer: ``{"resultados": [...]}``."""
+    rows = enumerators_range(t, start=start, end=end, params=params)
+    return list_payload(rows, "resultados", rows.columns, [F.desc("total_encuestas"), F.col("censista_id")],
+                        params.payload_list)
+
+
 # ------------------------------------------------------------------ export
 
 def export_all(t: Tables, *, params: SurveyParams = DEFAULTS, paths=None, **_) -> DataFrame:
@@ -99,9 +118,18 @@ def export_today(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, path
 
 
 def preview_50(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
-    """The first 50 answers of the survey set by id (the page's preview);
-    ``orderBy + limit`` plans as a top-k per task, not a full sort."""
-    return _answers(t, params).select(*ANSWER_COLUMNS).orderBy("id").limit(50)
+    """The first ``params.preview_size`` answers of the survey set by id (the page's
+    preview).  The ids come from a top-k over the narrow columns; the rows are
+    then read by a pushed filter on them, so ``data`` is read for those only."""
+    top = _answers(t, params).select("id").orderBy("id").limit(params.preview_size)
+    ids = [r.id for r in top.collect()]
+    rows = _answers(t, params).where(F.col("id").isin(ids)) if ids else _answers(t, params).limit(0)
+    return rows.select(*ANSWER_COLUMNS).orderBy("id").limit(params.preview_size)
+
+
+def preview_columns(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> list[str]:
+    """Column names of the preview, as the page lists them."""
+    return list(ANSWER_COLUMNS)
 
 
 # ------------------------------------------------------------------ joined ("realtime") variants
@@ -112,42 +140,61 @@ def _subs_in(t: Tables, ids) -> DataFrame:
 
 def submissions_today_joined(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
     """Distinct submissions answered on the day whose submission is in the survey set.
-    The join only filters (``submissions.id`` is a key): a semi join on distinct ids."""
-    day = where_day(t.answers, as_of).select("survey_user_id")
-    ids = day.distinct().join(_subs_in(t, params.survey_ids), "survey_user_id", "left_semi")
+    Precondition: ``submissions.id`` is unique, so an inner join only filters and
+    either side may be built: the day's distinct ids, not all submissions."""
+    day = _day(t.answers, as_of, params).select("survey_user_id")
+    ids = day.distinct().join(_subs_in(t, params.survey_ids), "survey_user_id")
     return ids.agg(F.count(F.lit(1)).cast("bigint").alias("total_encuestas"))
 
 
 def sectors_rollup_today(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
     """Distinct submissions per sector answer on the day, plus the grand total
     (labelled like the NULL group; ``level`` = 1 marks it).  No survey filter."""
-    a = where_day(t.answers, as_of).where(in_ids("survey_question_id", params.sector_qids))
+    a = _day(t.answers, as_of, params).where(in_ids("survey_question_id", params.sector_qids))
     return kpis.rollup_distinct(a, field(a, "value_text"), "survey_user_id", params.no_sector)
 
 
 def households_today_joined(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
     """Distinct (untrimmed) household answers on the day, submissions of the joined set."""
-    a = where_day(t.answers, as_of).where(in_ids("survey_question_id", params.household_qids))
-    a = a.join(_subs_in(t, params.joined_survey_ids), "survey_user_id", "left_semi")
+    a = _day(t.answers, as_of, params).where(in_ids("survey_question_id", params.household_qids))
+    a = a.join(_subs_in(t, params.joined_survey_ids), "survey_user_id")
     return kpis.count_distinct(a, field(a, "value_text"), "total_viviendas")
 
 
 def persons_today(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
     """Sum over submissions of the digits in the latest free-text persons answer
     of the day; no digits -> not counted; no rows -> 0."""
-    a = where_day(t.answers, as_of).where(F.col("survey_question_id") == params.persons_text_qid)
+    a = _day(t.answers, as_of, params).where(F.col("survey_question_id") == params.persons_text_qid)
     a = a.select("id", "survey_user_id", "created_at", F.trim(field(a, "value_text")).alias("v"))
-    latest = latest_per_key(a, "survey_user_id").join(
-        _subs_in(t, params.joined_survey_ids), "survey_user_id", "left_semi")
+    latest = latest_per_key(a, "survey_user_id").join(_subs_in(t, params.joined_survey_ids), "survey_user_id")
     n = to_int(F.nullif(digits_only("v"), F.lit("")), params.on_bad)
     return latest.agg(F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("total_personas"))
 
 
 def enumerators_today_joined(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
-    day = where_day(t.answers, as_of)
+    day = _day(t.answers, as_of, params)
     return kpis.enumerator_counts_joined(day, t.submissions, t.users, params.joined_survey_ids)
 
 
+def sectors_rollup_ranked(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
+    """The rollup with the place of each row in the page's order."""
+    return kpis.ranked(sectors_rollup_today(t, as_of=as_of, params=params), "sector", "level", "total_encuestas")
+
+
+def sectors_payload(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
+    """``{"pregunta_id": ..., "sectores": [{sector, total}]}`` of the rollup."""
+    rows = sectors_rollup_today(t, as_of=as_of, params=params).withColumnRenamed("total_encuestas", "total")
+    return list_payload(rows, "sectores", ["sector", "total"], [F.col("sector"), F.col("level"), F.col("total")],
+                        params.payload_list, pregunta_id=params.sector_qids[0])
+
+
+def enumerators_payload(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
+    """``{"encuestas": [...]}``: submissions per user of the day."""
+    rows = enumerators_today_joined(t, as_of=as_of, params=params)
+    return list_payload(rows, "encuestas", rows.columns, [F.desc("total_encuestas_hoy"), F.col("usuario_id")],
+                        params.payload_list)
+
+
 # ------------------------------------------------------------------ map tables
 
 def household_points(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
@@ -173,8 +220,8 @@ def map_centre(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
 
 
 def map_zoom(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
-    """Zoom over all drawn markers (the three layers together)."""
-    return geo.map_zoom(map_layers(t, params=params), params)
+    """Zoom over all drawn markers (submissions, households and sectors)."""
+    return geo.map_zoom(geo.coordinate_points(t.answers, t.submissions, params), params)
 
 
 def sector_polygons(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
@@ -185,23 +232,18 @@ def person_density_grid(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> D
     return geo.density_grid(household_person_points(t, params=params), params)
 
 
+def heat_points(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
+    return geo.heat_points(household_person_points(t, params=params))
+
+
 def _household_geojson(t: Tables, params: SurveyParams) -> DataFrame:
-    """Households written as a GeoJSON sequence to the shared checkpoint folder
-    and read back as features (exercises the GeoJSON sink and source on data
-    derived from the tables)."""
-    import uuid
-
-    from ..session import checkpoint_root
-    from ..sources.geojson import read_geojson
-    from ..sources.sinks import write_geojson_points
+    """Households as GeoJSON feature texts, parsed as the GeoJSON source does."""
     prof = geo.household_profile(t.answers, t.submissions, params)
     pts = prof.select("vivienda_id", "latitud", "longitud",
                       F.coalesce("sector", F.lit(params.no_sector)).alias("sector"),
                       F.coalesce("total_personas", F.lit(0)).alias("personas"))
-    spark = t.answers.sparkSession
-    path = f"{checkpoint_root(spark)}/geojson/households-{uuid.uuid4().hex}"
-    write_geojson_points(pts, path, ["vivienda_id", "sector", "personas"])
-    return read_geojson(spark, path, sequence=True)
+    text = pts.select("vivienda_id", geojson_text(["vivienda_id", "sector", "personas"]).alias("text"))
+    return features_from_text(text, "text", "vivienda_id")
 
 
 def geojson_features(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
@@ -236,6 +278,8 @@ BATCH_QUERIES = {
     "sectors_all": sectors_all,
     "enumerators_all": enumerators_all,
     "dashboard_all": dashboard_all,
+    "enumerators_all_ranked": enumerators_all_ranked,
+    "range_payload": range_payload,
     "enumerators_range": enumerators_range,
     "export_all": export_all,
     "export_today": export_today,
@@ -245,6 +289,9 @@ BATCH_QUERIES = {
     "households_today_joined": households_today_joined,
     "persons_today": persons_today,
     "enumerators_today_joined": enumerators_today_joined,
+    "sectors_rollup_ranked": sectors_rollup_ranked,
+    "sectors_payload": sectors_payload,
+    "enumerators_payload": enumerators_payload,
     "household_points": household_points,
     "household_sector_points": household_sector_points,
     "household_person_points": household_person_points,
@@ -253,6 +300,7 @@ BATCH_QUERIES = {
     "map_zoom": map_zoom,
     "sector_polygons": sector_polygons,
     "person_density_grid": person_density_grid,
+    "heat_points": heat_points,
     "geojson_features": geojson_features,
     "geojson_bounds": geojson_bounds,
     "submission_summary": submission_summary,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..params import DEFAULTS
 from ..sources.bridge import AS_OF, RANGE_END, RANGE_START, bridge_tables
+from ..streaming.registry import STREAM_ORACLE, STREAM_QUERIES
 from .oracle import ORACLE
 from .queries import BATCH_QUERIES
 
@@ -19,20 +20,8 @@ def _run_batch(key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict:
-    out = {k: partial(_run_batch, k) for k in BATCH_QUERIES}
-    try:
-        from ..streaming.registry import STREAM_QUERIES
-        out.update(STREAM_QUERIES)
-    except ImportError:
-        pass
-    return out
+    return {k: partial(_run_batch, k) for k in BATCH_QUERIES} | STREAM_QUERIES
 
 
 def all_oracle_sql() -> dict[str, str]:
-    out = dict(ORACLE)
-    try:
-        from ..streaming.registry import STREAM_ORACLE
-        out.update(STREAM_ORACLE)
-    except ImportError:
-        pass
-    return out
+    return ORACLE | STREAM_ORACLE

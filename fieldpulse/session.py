@@ -59,10 +59,11 @@ CLUSTER_SETTINGS = {
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` when the cluster sets it.  Only when it is
-    unset (local tests) a scratch folder is created and registered with the
-    SparkContext (the setting itself cannot be changed on a running session),
-    so that ``DataFrame.checkpoint()`` and streaming checkpoints work."""
+    Uses ``spark.checkpoint.dir`` when the cluster sets it.  When it is unset on
+    a local master (tests) a scratch folder is created and registered with the
+    SparkContext (the setting itself cannot be changed on a running session).
+    On any other master an unset folder is an error: each executor would write
+    to its own disk and later reads would miss rows."""
     sc = spark.sparkContext
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -71,6 +72,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return conf_dir.rstrip("/")
     current = sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(f"set spark.checkpoint.dir to a shared folder (master {sc.master})")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="fieldpulse-ckpt-"))
         current = sc.getCheckpointDir()
     return current.rstrip("/")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import SUBMISSION_SCHEMA, Tables, spread
+from .tables import SUBMISSION_SCHEMA, Tables
 
 SPARK_K = "get_json_object(props, '$.k')"
 DUCKDB_K = "(props->>'$.k')"
@@ -101,11 +101,9 @@ def users_from_customer(customer: DataFrame) -> DataFrame:
     return customer.selectExpr(*USER_EXPRS)
 
 
-def bridge_tables(spark: SparkSession, sf_dir: str, spread_input: bool = True) -> Tables:
+def bridge_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Survey tables derived from ``events`` and ``customer`` under ``sf_dir``."""
     events = spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
-    if spread_input:
-        events = spread(events)
     customer = spark.read.schema(CUSTOMER_SCHEMA).parquet(f"{sf_dir}/customer.parquet")
     answers = answers_from_events(events)
     return Tables(answers, submissions_from_answers(answers), users_from_customer(customer))

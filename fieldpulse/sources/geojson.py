@@ -17,9 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FEATURE_DDL = ("type STRING, properties MAP<STRING, STRING>, "
-               "geometry STRUCT<type: STRING, coordinates: STRING>")
+               "geometry STRUCT<type: STRING, coordinates: STRING, geometries: STRING>")
 COLLECTION_DDL = ("type STRING, features ARRAY<STRUCT<type: STRING, properties: MAP<STRING, STRING>, "
-                  "geometry: STRUCT<type: STRING, coordinates: STRING>>>")
+                  "geometry: STRUCT<type: STRING, coordinates: STRING, geometries: STRING>>>")
+MEMBER_DDL = "array<struct<type: string, coordinates: string, geometries: string>>"
+#: Levels of collections inside collections that are read (the format advises against any).
+NESTED = 3
 
 
 def _pairs(coords: Column, gtype: Column) -> Column:
@@ -34,8 +37,28 @@ def _pairs(coords: Column, gtype: Column) -> Column:
             .when(gtype == "MultiPolygon", multi))
 
 
+def _all_pairs(geometry: Column, levels: int = NESTED) -> Column:
+    """Pairs of a geometry, or of every member of a GeometryCollection."""
+    own = _pairs(geometry["coordinates"], geometry["type"])
+    if not levels:
+        return own
+    members = F.from_json(geometry["geometries"], MEMBER_DDL)
+    inner = F.flatten(F.transform(members, lambda g: F.coalesce(_all_pairs(g, levels - 1), _no_pairs())))
+    return F.when(geometry["type"] == "GeometryCollection", inner).otherwise(own)
+
+
+def _no_pairs() -> Column:
+    return F.array().cast("array<array<double>>")
+
+
+def features_from_text(df: DataFrame, text: str, feature_id: str) -> DataFrame:
+    """Features from a column of GeoJSON text, one feature per row (no file needed)."""
+    parsed = df.select(F.col(feature_id).cast("string").alias("feature_id"), F.from_json(text, FEATURE_DDL).alias("f"))
+    return _shape(parsed.select("feature_id", "f.properties", "f.geometry"))
+
+
 def _shape(features: DataFrame) -> DataFrame:
-    pairs = _pairs(F.col("geometry.coordinates"), F.col("geometry.type"))
+    pairs = _all_pairs(F.col("geometry"))
     verts = F.transform(pairs, lambda p: F.struct(p[1].alias("lat"), p[0].alias("lon")))
     return features.select("feature_id", "properties", "geometry", verts.alias("vertices"))
 

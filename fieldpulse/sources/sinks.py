@@ -3,7 +3,7 @@ by the executors (the dashboard built one spreadsheet in memory instead)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,14 +31,19 @@ def write_payload(payload: DataFrame, path: str, mode: str = "overwrite") -> Non
     payload.select("payload").write.mode(mode).text(path)
 
 
-def write_geojson_points(points: DataFrame, path: str, properties: list[str],
-                         lat: str = "latitud", lon: str = "longitud", mode: str = "overwrite") -> None:
-    """Write points as a GeoJSON text sequence (one Point feature per line,
-    ``[lon, lat]`` order), one file per task; readable back with
-    ``read_geojson(..., sequence=True)`` or by any GeoJSON-sequence tool."""
+def geojson_text(properties: list[str], lat: str = "latitud", lon: str = "longitud") -> Column:
+    """A row's point as GeoJSON text (``[lon, lat]`` order)."""
     feature = F.struct(
         F.lit("Feature").alias("type"),
         F.struct(*[F.col(c) for c in properties]).alias("properties"),
         F.struct(F.lit("Point").alias("type"),
                  F.array(F.col(lon).cast("double"), F.col(lat).cast("double")).alias("coordinates")).alias("geometry"))
-    points.select(F.to_json(feature, {"ignoreNullFields": "false"})).write.mode(mode).text(path)
+    return F.to_json(feature, {"ignoreNullFields": "false"})
+
+
+def write_geojson_points(points: DataFrame, path: str, properties: list[str],
+                         lat: str = "latitud", lon: str = "longitud", mode: str = "overwrite") -> None:
+    """Write points as a GeoJSON text sequence (one Point feature per line,
+    ``[lon, lat]`` order), one file per task; readable back with
+    ``read_geojson(..., sequence=True)`` or by any GeoJSON-sequence tool."""
+    points.select(geojson_text(properties, lat, lon)).write.mode(mode).text(path)

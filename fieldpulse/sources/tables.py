@@ -43,18 +43,6 @@ class Tables:
     users: DataFrame
 
 
-def spread(df: DataFrame, min_fraction: float = 0.5) -> DataFrame:
-    """Round-robin the rows over the cluster when the source has far fewer
-    splits than there are cores (one unsplittable file, one row group, an
-    unpartitioned JDBC read), so the per-row JSON work runs in parallel.  A
-    source that already has enough splits (any large table) is returned
-    unchanged: no extra shuffle at scale.  The split count is scan metadata."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < max(2, int(cores * min_fraction)):
-        return df.repartition(cores)
-    return df
-
-
 def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select and cast the columns the queries use; extra columns are pruned."""
     return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])

@@ -46,7 +46,8 @@ def stream_submissions_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_households_daily_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streamed estimate beside the exact batch count of the day:
-    ``within_error`` tells whether they differ by three standard errors at most."""
+    ``within_error`` tells whether they differ by three standard errors, or one
+    household where that is less than one, at most."""
     rsd = 0.05
     got = _run(spark, sf_dir, "households_daily", ["day"], lambda a: monitor.households_daily_approx(a, DEFAULTS, rsd))
     t = bridge_tables(spark, sf_dir)
@@ -56,7 +57,7 @@ def stream_households_daily_approx(spark: SparkSession, sf_dir: str) -> DataFram
         F.count_distinct(F.trim(F.get_json_object("data", "$.value"))).cast("bigint").alias("exact"))
     both = exact.join(got, "day", "full")
     return both.select("day", "exact", (F.abs(F.col("total_viviendas") - F.col("exact"))
-                                        <= 3 * rsd * F.col("exact")).alias("within_error"))
+                                        <= F.greatest(F.lit(1.0), 3 * rsd * F.col("exact"))).alias("within_error"))
 
 
 def stream_latest_answer(spark: SparkSession, sf_dir: str) -> DataFrame:

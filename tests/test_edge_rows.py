@@ -145,7 +145,7 @@ def test_flatten_deep_nesting_and_mixed_kinds(make):
         deep = '{"%s": %s}' % (k, deep)
     datas = [deep, '{"value": "x"}', '{"value": {"label": "S1"}}', '{"value": {}}', '{"value": []}']
     t = make.tables([(i, 18, 100 + i, 1, 1, d, ts()) for i, d in enumerate(datas)])
-    paths = leaf_paths(t.answers, depth=4)      # 20 levels: the search deepens until exact
+    paths = leaf_paths(t.answers, levels=4)     # 20 levels: what lies deeper is walked on
     assert paths == [tuple(f"k{i}" for i in range(20)), ("value",), ("value", "label")]
     out = {r["id"]: r for r in export_flat(t.answers, paths).collect()}
     assert out[0]["data." + ".".join(f"k{i}" for i in range(20))] == "1"
@@ -200,3 +200,144 @@ def test_zoom_buckets(spark):
     assert zoom([(Dm("4.0"), Dm("-74.0")), (Dm("4.4"), Dm("-74.0"))]) == 11    # 0.2
     assert zoom([(Dm("4.0"), Dm("-74.0")), (Dm("4.12"), Dm("-74.0"))]) == 13   # 0.06
     assert zoom([(Dm("4.0"), Dm("-74.0")), (Dm("4.01"), Dm("-74.0"))]) == 14
+
+
+# --------------------------------------------------------------------------- order and clock
+
+def test_lists_come_in_the_pages_order(make):
+    ans = [(i, 18, 100 + i, u, 477, '{"value": "%s"}' % s, ts()) for i, (u, s) in enumerate(
+        [(3, "B"), (3, "A"), (2, "B"), (2, "C"), (1, "A"), (9, "B"), (9, "B"), (9, "A"), (5, "C")])]
+    ans += [(50, 18, 200, 1, 477, '{"value": null}', ts())]
+    t = make.tables(ans)
+    want = [(9, 3), (1, 2), (2, 2), (3, 2), (5, 1)]      # ties by id
+    assert [(r.user_id, r.total_encuestas) for r in Q.enumerators_all(t).collect()] == want
+    assert [(r.convencion, r.total_encuestas) for r in Q.enumerators_today(t, as_of=D).collect()] == want
+    assert [(r.censista_id, r.total_encuestas) for r in Q.enumerators_range(t, start=D, end=D).collect()] == want
+    assert [(r.usuario_id, r.total_encuestas_hoy) for r in Q.enumerators_today_joined(t, as_of=D).collect()] == want
+    got = [tuple(r) for r in Q.sectors_rollup_today(t, as_of=D).collect()]
+    assert got == [("A", 3, 0), ("B", 4, 0), ("C", 2, 0), ("SIN SECTOR", 1, 0), ("SIN SECTOR", 10, 1)]
+    assert [r.rank for r in sorted(Q.enumerators_all_ranked(t).collect(), key=lambda r: (-r.total_encuestas, r.user_id))] == [1, 2, 3, 4, 5]
+
+
+def test_payload_shapes_and_bounded_lists(make):
+    import dataclasses
+    import json
+
+    from fieldpulse.params import DEFAULTS
+    ans = [(i, 18, 100 + i, i % 4, 477, '{"value": "S%d"}' % (i % 3), ts()) for i in range(9)]
+    t = make.tables(ans)
+    load = lambda df: json.loads(df.first().payload)
+    report = load(Q.range_payload(t, start=D, end=D))
+    assert [r["censista_id"] for r in report["resultados"]] == [0, 1, 2, 3] and report["resultados"][0]["total_encuestas"] == 3
+    sectors = load(Q.sectors_payload(t, as_of=D))
+    assert sectors["pregunta_id"] == 477 and sectors["sectores"][-1] == {"sector": "SIN SECTOR", "total": 9}
+    assert [r["total_encuestas_hoy"] for r in load(Q.enumerators_payload(t, as_of=D))["encuestas"]] == [3, 2, 2, 2]
+    two = dataclasses.replace(DEFAULTS, payload_list=2)
+    dash = Q.dashboard_all(t, params=two).first()
+    short = json.loads(dash.payload)
+    assert [r["user_id"] for r in short["censistas"]] == [0, 1] and [r["sector"] for r in short["sectores"]] == ["S0", "S1"]
+    assert dash.total_sectores == 3 and short["kpis"]["total_sectores"] == 3     # KPIs still count everything
+
+
+def test_today_is_the_projects_date(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from fieldpulse.functions.filters import local_date
+    late = F.timestamp_seconds(F.lit(int(dt.datetime(2024, 1, 19, 4, 30, tzinfo=dt.timezone.utc).timestamp())))
+    for zone in ("UTC", "Asia/Tokyo", "America/Bogota"):
+        before = spark.conf.get("spark.sql.session.timeZone")
+        try:
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = spark.range(1).select(local_date(late, "America/Bogota"), local_date(late, "UTC")).first()
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", before)
+        assert tuple(got) == (dt.date(2024, 1, 18), dt.date(2024, 1, 19))   # 23:30 in Bogota
+
+
+def test_today_without_a_date(make):
+    import datetime as dt
+    from zoneinfo import ZoneInfo
+    now = dt.datetime.now(ZoneInfo("America/Bogota")).replace(tzinfo=None)
+    noon = dt.datetime(now.year, now.month, now.day, 12)
+    ans = [(1, 18, 100, 1, 477, '{"value": "A"}', noon), (2, 18, 101, 1, 477, '{"value": "A"}', noon - dt.timedelta(days=2)),
+           (3, 18, 102, 1, 477, '{"value": "A"}', noon + dt.timedelta(days=2))]
+    t = make.tables(ans)
+    assert Q.submissions_today(t).first()[0] == 1 and Q.submissions_today_joined(t).first()[0] == 1
+    assert [r.total for r in Q.sectors_today(t).collect()] == [1]
+    from fieldpulse.functions.filters import scope_filter
+    assert scope_filter(t.answers, "today").count() == 1 and scope_filter(t.answers, "all").count() == 3
+    with pytest.raises(ValueError):
+        scope_filter(t.answers, "week")
+
+
+def test_summary_of_a_missing_user_has_no_name(make):
+    t = make.tables([(1, 18, 100, 9, 614, '{"value": "b"}', ts())], users=[(1, "u1", "A", "B")])
+    r = Q.submission_summary(t).first()
+    assert r.usuario_id == 9 and r.usuario_login is None and r.usuario_nombre is None
+
+
+def test_preview(make):
+    import dataclasses
+
+    from fieldpulse.params import DEFAULTS
+    t = make.tables([(i, 18 if i % 2 else 99, 100 + i, 1, 614, '{"value": "b"}', ts()) for i in range(40)])
+    three = dataclasses.replace(DEFAULTS, preview_size=3)
+    assert [r.id for r in Q.preview_50(t, params=three).collect()] == [1, 3, 5]
+    assert Q.preview_50(t).columns == Q.preview_columns(t)
+    assert Q.preview_50(make.tables([(1, 99, 1, 1, 1, "{}", ts())])).count() == 0
+
+
+def test_zoom_counts_the_pages_markers(spark):
+    """A point with a zero coordinate is on the sector layer only."""
+    from decimal import Decimal as Dm
+    df = spark.createDataFrame([(Dm("4"), Dm("-74")), (Dm("0"), Dm("-74"))], "latitud decimal(38,18), longitud decimal(38,18)")
+    z = geo.map_zoom(df).first()
+    assert (z.n_markers, z.latitud, z.longitud, z.max_dist) == (4, 3.0, -74.0, 3.0)
+
+
+# --------------------------------------------------------------------------- export on any key
+
+ODD = ['{"it\'s": "q", "": "empty", "*": "star", "a.b": "dotted", "a": {"b": "nested", "": {"*": 1}}}',
+       '{"Value": "upper", "value": "lower", "n": 1.50, "e": 1e5, "big": 12345678901234567890, "t": true, "z": null}',
+       '{"value": "{\\"looks\\": \\"like an object\\"}", "list": [1, {"x": 2}]}']
+
+
+def test_export_reads_any_key_and_can_be_written(spark, make, tmp_path):
+    from fieldpulse.operators.flatten import column_names
+    from fieldpulse.sources.sinks import write_export
+    t = make.tables([(i, 18, 100 + i, 1, 1, d, ts()) for i, d in enumerate(ODD)])
+    paths = leaf_paths(t.answers)
+    names = dict(zip(paths, column_names(paths), strict=True))
+    out = export_flat(t.answers)
+    got = {r["id"]: r.asDict() for r in out.collect()}
+    value = lambda i, *path: got[i][names[path]]
+    assert value(0, "it's") == "q" and value(0, "") == "empty" and value(0, "*") == "star"
+    assert value(0, "a.b") == "dotted" and value(0, "a", "b") == "nested" and value(0, "a", "", "*") == "1"
+    assert value(1, "Value") == "upper" and value(1, "value") == "lower"
+    assert value(1, "n") == "1.50" and value(1, "e") == "1e5" and value(1, "big") == "12345678901234567890"
+    assert value(1, "t") == "true" and value(1, "z") is None
+    assert value(2, "value") == '{"looks": "like an object"}' and value(2, "list") == '[1,{"x":2}]'
+    assert len({n.lower() for n in out.columns}) == len(out.columns)
+    for fmt in ("parquet", "csv"):
+        write_export(out, f"{tmp_path}/{fmt}", fmt)
+        # CSV writes NULL and empty text alike; quotes are escaped by doubling them in neither reader nor writer
+        back = spark.read.parquet(f"{tmp_path}/parquet") if fmt == "parquet" else spark.read.csv(f"{tmp_path}/csv", header=True)
+        assert back.columns == out.columns
+        assert {str(r["id"]): r[names[("a", "b")]] for r in back.collect()} == {"0": "nested", "1": None, "2": None}
+    assert sorted(map(str, spark.read.parquet(f"{tmp_path}/parquet").collect())) == sorted(map(str, out.collect()))
+
+
+def test_export_with_paths_runs_no_job(make, monkeypatch):
+    from fieldpulse.operators import flatten
+    t = make.tables([(1, 18, 100, 1, 1, ODD[0], ts())])
+    monkeypatch.setattr(flatten, "leaf_paths", lambda *a, **k: pytest.fail("paths were given"))
+    assert flatten.export_flat(t.answers, [("a", "b")]).columns[-1] == "data.a.b"
+
+
+def test_too_many_paths_is_an_error(make):
+    t = make.tables([(i, 18, 100, 1, 1, '{"k%d": 1}' % i, ts()) for i in range(12)])
+    with pytest.raises(ValueError, match="more than 10"):
+        leaf_paths(t.answers, max_paths=10)
+    assert len(leaf_paths(t.answers, max_paths=12)) == 12

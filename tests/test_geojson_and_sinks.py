@@ -51,3 +51,29 @@ def test_export_and_payload_written_in_parallel(spark):
     write_payload(Q.dashboard_today(t, as_of=AS_OF), out + "/payload")
     line = spark.read.text(out + "/payload").collect()[0][0]
     assert set(json.loads(line)) == {"kpis", "censistas", "sectores", "convenciones"}
+
+
+def test_geometry_collections_are_in_the_bounds(spark, tmp_path):
+    from fieldpulse.operators.geo import feature_bounds
+    from fieldpulse.sources.geojson import read_geojson
+    point = lambda x, y: '{"type": "Point", "coordinates": [%s, %s]}' % (x, y)
+    inner = '{"type": "GeometryCollection", "geometries": [%s]}' % point(60, 50)
+    outer = '{"type": "GeometryCollection", "geometries": [%s, {"type": "LineString", "coordinates": [[1, 2], [3, 4]]}, %s]}' % (point(-5, 6), inner)
+    lines = ['{"type": "Feature", "properties": {"a": 1}, "geometry": %s}' % g for g in (outer, point(0, 0))]
+    (tmp_path / "f.json").write_text("\n".join(lines) + '\n{"type": "Feature", "properties": {}, "geometry": null}\n')
+    feats = read_geojson(spark, str(tmp_path), sequence=True)
+    assert feats.count() == 3
+    b = feature_bounds(feats).first()
+    assert (b.min_lat, b.min_lon, b.max_lat, b.max_lon) == (0.0, -5.0, 50.0, 60.0)
+
+
+def test_households_written_and_read_back(spark, tmp_path):
+    from fieldpulse.plans import queries as Q
+    from fieldpulse.sources.bridge import bridge_tables
+    from fieldpulse.sources.geojson import read_geojson
+    from fieldpulse.sources.sinks import write_geojson_points
+    t = bridge_tables(spark, "/root/testdata/sf0.001")
+    write_geojson_points(Q.household_sector_points(t), str(tmp_path / "h"), ["vivienda_id", "sector"])
+    back = read_geojson(spark, str(tmp_path / "h"), sequence=True)
+    got = {(int(r.properties["vivienda_id"]), r.properties["sector"], r.vertices[0].lat) for r in back.collect()}
+    assert got == {(r.vivienda_id, r.sector, float(r.latitud)) for r in Q.household_sector_points(t).collect()}

@@ -111,3 +111,39 @@ def test_parsed_table_reads_fields_not_json(parsed_tables, key):
     schemas = [line for line in p.splitlines() if "ReadSchema" in line]
     assert schemas and not any("data:" in s for s in schemas), schemas
     assert "get_json_object" not in p and "parse_json" not in p
+
+
+def test_joined_variants_build_the_small_side(spark, tables, tmp_path):
+    """Submissions above the broadcast limit: they are streamed, not shuffled."""
+    from fieldpulse.sources.tables import Tables
+    t = tables
+    t.answers.write.parquet(f"{tmp_path}/a")
+    day = spark.read.parquet(f"{tmp_path}/a").where(f"created_at >= '{AS_OF}' and created_at < date_add('{AS_OF}', 1)")
+    day.write.parquet(f"{tmp_path}/day")
+    t.submissions.write.parquet(f"{tmp_path}/s")
+    import os
+    size = lambda d: sum(os.path.getsize(f"{tmp_path}/{d}/{f}") for f in os.listdir(f"{tmp_path}/{d}") if f.endswith(".parquet"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(max(size("day") * 4, 1000)))
+        big = Tables(spark.read.parquet(f"{tmp_path}/day"), spark.read.parquet(f"{tmp_path}/s"), t.users)
+        for key in ("submissions_today_joined", "households_today_joined", "persons_today"):
+            df = Q.BATCH_QUERIES[key](big, as_of=AS_OF)
+            df.collect()
+            assert "LeftSemi" not in plan(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_kpis_of_a_dashboard_read_the_answers_once(tables):
+    from fieldpulse.operators.kpis import answer_kpis
+    from fieldpulse.params import DEFAULTS
+    p = plan(answer_kpis(tables.answers, DEFAULTS.household_qids, DEFAULTS.sector_qids), "simple")
+    assert p.count("FileScan") == 1
+
+
+def test_preview_reads_by_id(spark, tables, tmp_path):
+    from fieldpulse.sources.tables import Tables
+    tables.answers.write.parquet(f"{tmp_path}/a")
+    t = Tables(spark.read.parquet(f"{tmp_path}/a"), tables.submissions, tables.users)
+    assert "In(id" in plan(Q.preview_50(t))

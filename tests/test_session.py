@@ -44,3 +44,16 @@ def test_cluster_checkpoint_dir_is_used():
         f.write(f"spark.checkpoint.dir {shared}\nspark.ui.enabled false\n")
     setting, root = _run(conf)
     assert setting == shared and root == shared
+
+
+def test_unset_checkpoint_dir_is_an_error_on_a_cluster():
+    import types
+
+    import pytest
+
+    from fieldpulse.session import checkpoint_root
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]"):
+        sc = types.SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        session = types.SimpleNamespace(sparkContext=sc, conf=types.SimpleNamespace(get=lambda *a: None))
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            checkpoint_root(session)

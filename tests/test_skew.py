@@ -154,3 +154,24 @@ def test_hot_submission_is_pre_aggregated(hot, key):
     for node, written in ex:
         # each cold submission is one row; the hot one ships at most one row per task
         assert written <= cold + tasks, (node, written, cold, tasks)
+
+
+def test_hot_sector_is_split_in_the_polygon_join(make):
+    """Most households share a sector: no exchange deals raw rows by sector alone."""
+    from fieldpulse.operators import geo
+    rows = []
+    for i in range(3000):
+        rows.append((2 * i, 18, 1000 + i, 1, 55, json.dumps({"value": {"latitude": "4.1", "longitude": "-74.1"}}), dt.datetime(D.year, D.month, D.day, 8)))
+        rows.append((2 * i + 1, 18, 1000 + i, 1, 477, json.dumps({"value": "S1" if i % 5 else f"S{i % 50}"}), dt.datetime(D.year, D.month, D.day, 9)))
+    t = make.tables(rows)
+    df = Q.sector_polygons(t)
+    got = df.collect()
+    sectors = collections.Counter("S1" if i % 5 else f"S{i % 50}" for i in range(3000))
+    assert collections.Counter(r.sector for r in got) == {s: n for s, n in sectors.items() if n >= 3}
+    assert all(r.n_points == sectors[r.sector] for r in got)
+    for p in _walk(df._jdf.queryExecution().executedPlan()):
+        text = p.toString().splitlines()[0]
+        if p.nodeName() == "Exchange" and "hashpartitioning(sector" in text and "_salt" not in text:
+            child = _below(p.children().apply(0))
+            assert child.nodeName() in PRE_SHUFFLE, text
+    assert geo.SALTS > 1
