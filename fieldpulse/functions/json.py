@@ -1,7 +1,7 @@
 """JSON helpers over a raw JSON text column (built-in expressions only).
 
-Text extraction uses ``get_json_object`` (keeps number text as written and
-returns NULL for JSON null and for missing keys).  Kind tests go through
+Text extraction uses ``get_json_object`` (numbers as a parser prints them, 1.50 as
+1.5; NULL for JSON null and for missing keys).  Kind tests go through
 VARIANT (``try_parse_json``), which knows a JSON object from a string that
 merely looks like one.
 """

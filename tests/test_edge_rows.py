@@ -316,7 +316,8 @@ def test_export_reads_any_key_and_can_be_written(spark, make, tmp_path):
     assert value(0, "it's") == "q" and value(0, "") == "empty" and value(0, "*") == "star"
     assert value(0, "a.b") == "dotted" and value(0, "a", "b") == "nested" and value(0, "a", "", "*") == "1"
     assert value(1, "Value") == "upper" and value(1, "value") == "lower"
-    assert value(1, "n") == "1.50" and value(1, "e") == "1e5" and value(1, "big") == "12345678901234567890"
+    # numbers as a parser prints them, large integers whole
+    assert value(1, "n") == "1.5" and value(1, "e") == "100000.0" and value(1, "big") == "12345678901234567890"
     assert value(1, "t") == "true" and value(1, "z") is None
     assert value(2, "value") == '{"looks": "like an object"}' and value(2, "list") == '[1,{"x":2}]'
     assert len({n.lower() for n in out.columns}) == len(out.columns)
