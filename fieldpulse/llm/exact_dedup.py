@@ -31,21 +31,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``text_sha256`` is null for rows found unique before the full hash, unless
     ``digest_all`` asks for it.  An empty table gives an empty result; other
     columns are not read."""
-    keys = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("_t"))
-    keys = keys.withColumn("_n", F.xxhash64(F.length("_t")))
+    texts = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("_t"))
+    texts = texts.withColumn("_n", F.xxhash64(F.length("_t")))
+    texts = texts.withColumn("_p", F.xxhash64("_n", F.substring("_t", 1, prefix_chars)))
+    keys = shared_table(texts.select("_n", "_p"), "exact-keys")
     lengths = keys.groupBy("_n").agg(F.count("*").alias("c")).where("c > 1")
-    heads = flag_sketched(keys, "_n", key_sketch(lengths, "_n"), "_len")
-    heads = heads.withColumn("_p", F.when(F.col("_len"), F.xxhash64("_n", F.substring("_t", 1, prefix_chars))))
-    pairs = heads.where("_len").groupBy("_p").agg(F.count("*").alias("c")).where("c > 1")
-    heads = flag_sketched(heads, "_p", key_sketch(pairs, "_p"), "_may")
+    pairs = (flag_sketched(keys, "_n", key_sketch(lengths, "_n"), "_len").where("_len")
+             .groupBy("_p").agg(F.count("*").alias("c")).where("c > 1"))
     digest = F.sha2("_t", 256)
-    single = heads.where(~F.col("_may")).select(
+    if not digest_all:
+        digest = F.when(F.col("_may"), digest)
+    hashed = shared_table(flag_sketched(texts, "_p", key_sketch(pairs, "_p"), "_may")
+                          .select("doc_id", "_may", digest.alias("text_sha256")), "exact-hashes")
+    single = hashed.where(~F.col("_may")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"), (digest if digest_all else F.lit(None).cast("string")).alias("text_sha256"))
-    hashed = (heads.where("_may").select("doc_id", digest.alias("text_sha256"))
-              .groupBy("text_sha256", "doc_id").agg(F.count("*").alias("_rows")))
-    groups = hashed.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("_rows").alias("group_size"))
-    grouped = (hashed.join(groups, "text_sha256")
+        F.lit(True).alias("kept"), "text_sha256")
+    members = hashed.where("_may").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("_rows"))
+    # written, so that adaptive execution can split the join of a hot group
+    groups = shared_table(members.groupBy("text_sha256").agg(
+        F.min("doc_id").alias("keep_id"), F.sum("_rows").alias("group_size")), "exact-groups")
+    grouped = (shared_table(members, "exact-members").join(groups, "text_sha256")
                .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_rows")))
                .select("doc_id", "keep_id", "group_size",
                        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"),
