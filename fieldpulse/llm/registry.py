@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import functools
+
 from . import bpe, chat, exact_dedup, mixing, quality_rules, simhash, site_quality, substring, token_files, toxicity
+from .common import ship_package
 
 MODULES = (exact_dedup, bpe, toxicity, substring, chat, quality_rules, mixing, token_files, site_quality, simhash)
 
 
+def _with_code(query):
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return query(spark, sf_dir)
+    return run
+
+
 def queries() -> dict:
-    return {n: f for m in MODULES for n, f in vars(m).items() if n.startswith("op") and n[2:3].isdigit()}
+    return {n: _with_code(f) for m in MODULES for n, f in vars(m).items() if n.startswith("op") and n[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -99,9 +99,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = linked.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id")
     # fingerprints without a link keep their own first id
+    # written, so that adaptive execution can split the join of a hot fingerprint
     known = fps.join(linked, F.col("fp") == F.col("_fp"), "left").select(
         F.col("fp").alias("_fp"), F.when(F.col("_fp").isNull(), F.col("first"))
         .otherwise(F.col("component_id")).alias("component_id"))
+    known = shared_table(known, "simhash-known")
     return members.join(known, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 

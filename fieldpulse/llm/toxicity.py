@@ -3,6 +3,7 @@ words under a character language model, and the restored text is scored."""
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -28,9 +29,13 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 ORDER = 4
 #: Size of the language model whatever the corpus: 27^4 numbers.
 SYMBOLS = len(LETTERS) + 1
-#: Most features the classifier keeps (by strength of evidence); with PREFIXES the model is a few MB.
+#: Most features the classifier considers; the model is a few MB at most.
 MAX_FEATURES = 20_000
-MIN_EVIDENCE = 0.3
+MIN_EVIDENCE = 0.5
+#: A round of covering takes candidates in this part of the widest one's rows, and in SUPPORT rows at least.
+COVER, SUPPORT = 0.2, 3
+#: Of these it takes the ones this close to the most precise: a word before a prefix that other words share.
+SLACK = 0.02
 PREFIXES = (4, 5, 6)
 Z = 2.0
 
@@ -168,19 +173,27 @@ def is_held_out(id_col: str = "doc_id"):
 
 def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, id_col: str = "doc_id",
           text_col: str = "text") -> dict[str, float]:
-    """Feature -> lower Wilson bound of P(toxic | the feature occurs), from the
-    labelled rows that are not held out; features under MIN_EVIDENCE are left
-    out and at most MAX_FEATURES are kept, the strongest.  Labels that disagree
-    on an id count as toxic."""
+    """Feature -> P(toxic | the feature occurs), from the labelled rows that are
+    not held out.  Labels that disagree on an id count as toxic.
+
+    A candidate must be too frequent among toxic rows for chance: by the Chernoff
+    bound, less than one of the features that could pass would at the base rate
+    (rarer features are not counted as tests); and its lower Wilson bound must reach MIN_EVIDENCE.  Rare words that merely stand in
+    copies of a toxic text pass this too, so rules are taken by sequential
+    covering: the most precise of the widest candidates first, then again over
+    the toxic rows that have none of them, until nothing frequent is left.  At
+    most MAX_FEATURES candidates, the widest, are considered."""
     known = (labels.where(F.col("toxic").isNotNull() & ~is_held_out("doc_id"))
              .groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic")))
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text"))
     rows = flag_sketched(rows.withColumn("_h", F.xxhash64("_id")), "_h",
                          key_sketch(known.select(F.xxhash64("_id").alias("_h")), "_h"), "_may")
     train = rows.where("_may").join(known, "_id").select("text", F.col("toxic").cast("long").alias("toxic"))
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    train = shared_table(train, "toxicity-train")
+    sc = docs.sparkSession.sparkContext
+    shared = sc.broadcast(counts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = CharModel(shared.value), {}
         for b in batches:
             n: Counter = Counter()
@@ -195,21 +208,60 @@ def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, id_col: str =
                 [pa.array(names, pa.string()), pa.array([n[f] for f in names], pa.int64()),
                  pa.array([toxic[f] for f in names], pa.int64())], ["feature", "n", "k"])
 
-    sums = train.mapInArrow(run, "feature string, n bigint, k bigint").groupBy("feature").agg(
-        F.sum("n").alias("n"), F.sum("k").alias("k"))
-    p = F.col("k") / F.col("n")
+    size = train.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).first()
+    if not 0 < size.k < size.n:
+        return {}
+    sums = shared_table(train.mapInArrow(count, "feature string, n bigint, k bigint").groupBy("feature").agg(
+        F.sum("n").alias("n"), F.sum("k").alias("k")), "toxicity-features")
+    base, p = size.k / size.n, F.col("k") / F.col("n")
+    surprise = F.col("n") * (p * F.log(p / base) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - base))).otherwise(0.0))
     bound = (p + Z * Z / (2 * F.col("n")) - Z * F.sqrt(p * (1 - p) / F.col("n") + Z * Z / (4 * F.col("n") * F.col("n")))) \
         / (1 + Z * Z / F.col("n"))
-    best = sums.select("feature", bound.alias("q")).where(F.col("q") >= MIN_EVIDENCE)
-    best = best.orderBy(F.desc("q"), "feature").limit(MAX_FEATURES)
-    return {r.feature: r.q for r in best.collect()}
+    often = {r.n: r.rows for r in sums.groupBy(F.least("n", F.lit(64)).alias("n")).agg(F.count("*").alias("rows")).collect()}
+    tests = 1  # features frequent enough to pass at all, by the level that their own number asks for
+    while (more := sum(c for n, c in often.items() if n * math.log(1 / base) >= math.log(tests))) > tests:
+        tests += 1 + (more - tests) // 64
+    seen = sums.where((F.col("k") > 0) & (p > base)).where(
+        (surprise >= F.lit(math.log(max(2, tests)))) & (bound >= MIN_EVIDENCE))
+    best = seen.orderBy(F.desc("k"), "feature").limit(MAX_FEATURES).collect()
+    weight = {r.feature: (r.k + base) / (r.n + 1) for r in best}
+    names = sc.broadcast(set(weight))
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, memo = CharModel(shared.value), {}
+        for b in batches:
+            found = [sorted(names.value & features(restored_tokens(t.as_py(), model, memo))) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["found"])
+
+    left = shared_table(train.where("toxic > 0").select("text").mapInArrow(match, "found array<string>"), "toxicity-rows")
+    rules: dict[str, float] = {}
+    while True:
+        wide = left.select(F.explode("found").alias("f")).groupBy("f").count()
+        most = wide.agg(F.max("count")).first()[0] or 0
+        if most < SUPPORT:
+            return rules
+        wide = [r.f for r in wide.where(F.col("count") >= max(SUPPORT, COVER * most)).collect()]
+        taken = [f for f in wide if weight[f] >= max(weight[f] for f in wide) - SLACK]
+        rules.update((f, weight[f]) for f in taken)
+        chosen = F.array(*[F.lit(f) for f in taken]) if len(taken) <= 200 else None
+        if chosen is None:  # many rules at once: no literal list
+            mine = sc.broadcast(set(taken))
+
+            def rest(batches, mine=mine):
+                for b in batches:
+                    keep = [not mine.value.intersection(x) for x in b.column(0).to_pylist()]
+                    yield b.filter(pa.array(keep, pa.bool_()))
+
+            left = shared_table(left.mapInArrow(rest, "found array<string>"), "toxicity-rows")
+        else:
+            left = left.where(~F.arrays_overlap("found", chosen))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (doc_id, held_out, score, predicted) per row of ``docs``.
 
-    score = 1 - (1 - q1)(1 - q2 / 2) with the two strongest features of different
-    words in the restored text; without evidence it is near 0.  Empty and null
+    score = 1 - (1 - q1)(1 - q2 / 2) with the two strongest rules that different
+    words of the restored text meet; without any it is 0.  Empty and null
     texts have no features and score 0; without labels every score is 0.
     Repeated rows score alike, null ids are not held out and not learnt from;
     an empty table gives an empty result.  Only the text is read for a score."""
