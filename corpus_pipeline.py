@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldpulse.llm.bpe import digests, encode
-from fieldpulse.llm.common import read_table, shared_table
+from fieldpulse.llm.common import read_table, shared_table, ship_package
 from fieldpulse.llm.exact_dedup import exact_dedup
 from fieldpulse.llm.mixing import take_mix
 from fieldpulse.llm.quality_rules import keep_good
@@ -48,6 +48,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = shared_table(stage(spark, docs, sf_dir), name)
