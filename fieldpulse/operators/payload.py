@@ -44,6 +44,11 @@ def dashboard_payload(kpis: DataFrame, sectors: DataFrame, enumerators: DataFram
                       _json("kpis", "censistas", "sectores", "convenciones").alias("payload"))
 
 
+def value_payload(df: DataFrame, **constants) -> DataFrame:
+    """A one-row KPI frame as ``{constants..., kpi: value}``."""
+    return df.select(_json(*[F.lit(v).alias(k) for k, v in constants.items()], *df.columns).alias("payload"))
+
+
 def list_payload(df: DataFrame, name: str, columns: list[str], order: list[Column], size: int, **constants) -> DataFrame:
     """One row with ``{constants..., name: [rows]}`` (a report, the users of the day, the sectors of the day)."""
     rows = bounded_list(df, columns, order, size).alias(name)

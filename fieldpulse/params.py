@@ -23,6 +23,7 @@ DEFAULT_CENTRE = (4.65, -74.1)       # map centre when there is no point
 DEFAULT_ZOOM = 8                     # zoom when there is no point
 ZOOM_STEPS = ((0.5, 8), (0.1, 11), (0.05, 13))  # (max distance above, zoom)
 CLOSE_ZOOM = 14                      # zoom when every point is within 0.05
+HOUSEHOLD_PAYLOAD_QID = 122          # question id that the households answer states
 NO_SECTOR = "SIN SECTOR"             # label of a missing sector and of the total
 HOUSEHOLD_RADIUS = 5                 # marker radius of the household layer
 PERSON_BASE_RADIUS = 3               # person layer radius = 3 + persons

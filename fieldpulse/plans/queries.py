@@ -15,10 +15,10 @@ from ..functions.text import digits_only, to_int
 from ..operators import geo, kpis
 from ..operators.flatten import export_flat
 from ..operators.latest import latest_per_key
-from ..operators.payload import dashboard_payload, list_payload
+from ..operators.payload import dashboard_payload, list_payload, value_payload
 from ..operators.summary import submission_summary as _summary
 from ..operators.summary import submission_wide as _wide
-from ..params import DEFAULTS, SurveyParams
+from ..params import DEFAULTS, HOUSEHOLD_PAYLOAD_QID, SurveyParams
 from ..sources.geojson import features_from_text
 from ..sources.sinks import geojson_text
 from ..sources.tables import ANSWER_COLUMNS, Tables
@@ -188,6 +188,18 @@ def sectors_payload(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, *
                         params.payload_list, pregunta_id=params.sector_qids[0])
 
 
+def submissions_payload(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
+    return value_payload(submissions_today_joined(t, as_of=as_of, params=params))
+
+
+def households_payload(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
+    return value_payload(households_today_joined(t, as_of=as_of, params=params), pregunta_id=HOUSEHOLD_PAYLOAD_QID)
+
+
+def persons_payload(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
+    return value_payload(persons_today(t, as_of=as_of, params=params))
+
+
 def enumerators_payload(t: Tables, *, as_of=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
     """``{"encuestas": [...]}``: submissions per user of the day."""
     rows = enumerators_today_joined(t, as_of=as_of, params=params)
@@ -292,6 +304,9 @@ BATCH_QUERIES = {
     "sectors_rollup_ranked": sectors_rollup_ranked,
     "sectors_payload": sectors_payload,
     "enumerators_payload": enumerators_payload,
+    "submissions_payload": submissions_payload,
+    "households_payload": households_payload,
+    "persons_payload": persons_payload,
     "household_points": household_points,
     "household_sector_points": household_sector_points,
     "household_person_points": household_person_points,
