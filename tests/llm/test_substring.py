@@ -26,6 +26,15 @@ def test_many_short_batches(spark, small_pairs):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+def test_hot_groups_give_the_same(spark, small, small_pairs, edges, edge_pairs):
+    docs = [(i, f"{PASSAGE} {i} " + PASSAGE) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for hot in (0, 3, 100):
+        assert found(remove_repeats(df, hot=hot)) == brute.substring(docs)
+    assert found(remove_repeats(small, hot=2)) == brute.substring(small_pairs)
+    assert found(remove_repeats(edges, hot=0)) == brute.substring(edge_pairs)
+
+
 def test_removed_passage_joins_its_neighbours(spark):
     df = spark.createDataFrame([(2, "x " + PASSAGE + " y"), (1, PASSAGE)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in remove_repeats(df).collect()} == {1: PASSAGE, 2: "x y"}
