@@ -61,6 +61,7 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     lineage, survives lost executors, and is computed once.  The folder belongs
     to the cluster's checkpoint directory and is cleared with it."""
     spark = df.sparkSession
+    ship_package(spark)
     path = f"{checkpoint_root(spark)}/fieldpulse-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -141,11 +141,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The rows of ``docs`` that pass, all columns unchanged.  The verdict is
     computed beside the row, so texts are not shuffled."""
     good = labels.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
-    features = base_features(docs, id_col, text_col, stratum_col).where("not base_failed")
-    limits = cutoffs(features.join(good, F.col("doc_id") == F.col("_id"), "left_semi"), alpha, delta)
+    features = shared_table(base_features(docs, id_col, text_col, stratum_col), "quality")
+    held = features.where("not base_failed").join(good, F.col("doc_id") == F.col("_id"), "left_semi")
+    limits = cutoffs(held, alpha, delta)
     rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"), F.col(stratum_col).alias("_stratum"))
-    judged = judge(base_features(rows, "_row", "_text", "_stratum"), limits)
-    return judged.where("kept").select("doc_id.*")
+    # a column that changes per row keeps the filter above the features; pushed
+    # below, it would work them out again for every mention in the verdict
+    scored = base_features(rows, "_row", "_text", "_stratum").withColumn("_fence", F.monotonically_increasing_id())
+    return judge(scored, limits).where("kept and _fence >= 0").select("doc_id.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flag_sketched, key_sketch, read_table, shared_table, text_of
+from .common import flag_sketched, key_sketch, read_table, shared_table, ship_package, text_of
 
 # What a sign may stand for.
 LEET = {
@@ -157,6 +157,7 @@ def char_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Counts of letter ORDER-grams over every word of every text.  Word counts
     are gathered over the whole corpus first; the result has 27^4 numbers at
     most and is read to the driver."""
+    ship_package(docs.sparkSession)
     words = (docs.select(text_of(text_col).alias("text")).mapInArrow(_count_words, "word string, n bigint")
              .groupBy("word").agg(F.sum("n").alias("n")))
     grams = words.mapInArrow(_count_grams, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
