@@ -49,14 +49,15 @@ def leaf_paths(df: DataFrame, col: str = "data", levels: int = LEVELS, max_paths
     found: set[tuple[str, ...]] = set()
     while True:
         paths = _row_paths(F.try_parse_json("text"), F.col("prefix"), levels)
-        rows = rows.select(F.explode(F.array_distinct(paths)).alias("p")).select("p.*").distinct()
-        more = rows.where("rest is null").select("path").limit(max_paths + 1).collect()
-        found.update(tuple(r.path) for r in more)
-        if len(found) > max_paths:
+        rows = rows.select(F.explode(F.array_distinct(paths)).alias("p")).select("p.*")
+        more = (rows.select("path", F.col("rest").isNotNull().alias("deeper")).distinct()
+                .limit(2 * max_paths + 1).collect())
+        found.update(tuple(r.path) for r in more if not r.deeper)
+        if len(found) > max_paths or len(more) > 2 * max_paths:
             raise ValueError(f"more than {max_paths} leaf paths: give the export its paths")
-        rows = rows.where("rest is not null").select(F.col("path").alias("prefix"), F.col("rest").alias("text"))
-        if rows.isEmpty():
+        if not any(r.deeper for r in more):
             return sorted(found)
+        rows = rows.where("rest is not null").distinct().select(F.col("path").alias("prefix"), F.col("rest").alias("text"))
 
 
 def column_names(paths, prefix: str = "data.") -> list[str]:
