@@ -22,6 +22,8 @@ from .common import flag_sketched, key_sketch, read_table, shared_table, text_of
 
 LENGTH = 13
 PREFIX = 5
+#: Suffixes that one task streams as a group; larger groups are aggregated and joined back instead.
+HOT = 1_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _NULL_ID = (1 << 63) - 1
@@ -72,31 +74,6 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(np.concatenate(locs))], ["g", "doc", "loc"])
 
 
-def _starts(g: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1]) if len(g) else np.zeros(0, np.int64)
-
-
-def _shared_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From suffixes in the order of (prefix, document): those whose prefix is in
-    two documents.  Held back are only the rows of a prefix's first document."""
-    held, known = tuple(np.zeros(0, np.int64) for _ in range(3)), None
-    for b in batches:
-        g, doc, loc = (np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held))
-        if not len(g):
-            continue
-        starts = _starts(g)
-        sizes = np.diff(np.append(starts, len(g)))
-        shared = np.logical_or.reduceat(doc != np.repeat(doc[starts], sizes), starts)
-        if known is not None and g[0] == known:
-            shared[0] = True
-        out = np.repeat(shared, sizes)
-        if shared[-1]:
-            known, held = g[-1], tuple(x[:0] for x in (g, doc, loc))
-        else:
-            known, held = None, (g[starts[-1]:], doc[starts[-1]:], loc[starts[-1]:])
-        yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(loc[out])], ["doc", "loc"])
-
-
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, th, text, anchors) -> a row per anchor: prefix, doc, th, first window, window hashes."""
     for b in batches:
@@ -117,6 +94,25 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(out[4], pa.binary())], ["g", "doc", "th", "first", "nodes"])
 
 
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per node of each anchor: prefix, node, doc, th, window."""
+    for b in batches:
+        if b.num_rows:
+            g, doc, th, first = (b.column(i).to_numpy() for i in range(4))
+            row, node, start = _expand(b.column(4), first)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (g[row], node.view(np.int64), doc[row], th[row], start)], ["g", "node", "doc", "th", "a"])
+
+
+def _expand(nodes: pa.BinaryArray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, node, window) of every packed node."""
+    offsets = np.frombuffer(nodes.buffers()[1], np.int32, len(nodes) + 1, 4 * nodes.offset)
+    counts = np.diff(offsets) // 8
+    node = np.frombuffer(nodes.buffers()[2], np.uint64, int(counts.sum()), int(offsets[0]))
+    row = np.repeat(np.arange(len(nodes)), counts)
+    return row, node, first[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From anchors in the order of (prefix, document): stretches of words under
     windows whose node a smaller document has.  Between batches only the nodes of
@@ -126,11 +122,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         g, doc, th, first = (b.column(i).to_numpy() for i in range(4))
-        offsets = np.frombuffer(b.column(4).buffers()[1], np.int32, b.num_rows + 1, 4 * b.column(4).offset)
-        counts = np.diff(offsets) // 8
-        node = np.frombuffer(b.column(4).buffers()[2], np.uint64, int(counts.sum()), int(offsets[0]))
-        row = np.repeat(np.arange(len(g)), counts)
-        start = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        row, node, start = _expand(b.column(4), first)
         gs = np.concatenate([last[0], g[row]])
         nodes = np.concatenate([last[1], node])
         docs = np.concatenate([last[2], doc[row]])
@@ -173,13 +165,15 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_words", "n_removed", "text"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row (doc_id, n_words, n_removed, text) per row of ``docs``; ``text`` is
     the words that stay, joined by one space.
 
     A word goes if a window over it also starts in a document with a smaller
-    id; windows are judged on the input.  Suffixes and nodes are streamed in
-    sorted order, so memory does not grow with a common passage.  Texts are
+    id; windows are judged on the input.  A prefix of up to ``hot`` suffixes is one
+    group, streamed in sorted order by one task.  Larger groups are not held
+    together: their nodes' smallest documents are pre-aggregated and joined back
+    on written tables, whose hot keys adaptive execution splits.  Texts are
     shuffled only for rows that a fixed-size sketch flags as having a shared
     prefix, and again for those that lose words.
 
@@ -192,9 +186,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc"),
                        F.expr("xxhash64(text) & 2147483647L").alias("th"), "text")  # tells rows of one id apart
     suffixes = rows.select("doc", "th", "text").mapInArrow(_suffixes, "g bigint, doc bigint, loc bigint")
-    shared = (suffixes.repartition("g").sortWithinPartitions("g", "doc")
-              .mapInArrow(_shared_prefixes, "doc bigint, loc bigint"))
-    places = (shared.groupBy("doc", F.shiftright("loc", 32).alias("th"))
+    shared = (suffixes.groupBy("g").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("z"))
+              .where("a < z").select("g", (F.col("n") > hot).alias("hot")))
+    shared = shared_table(shared, "substring-prefixes")
+    places = (suffixes.join(shared, "g").groupBy("doc", F.shiftright("loc", 32).alias("th"), "hot")
               .agg(F.collect_list(F.expr("loc & 4294967295L")).alias("places")))  # at most a document's words
     places = shared_table(places, "substring-anchors")
 
@@ -202,12 +197,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sketch = key_sketch(keys.select(F.xxhash64("doc", "th").alias("_h")), "_h")
         return flag_sketched(rows.withColumn("_h", F.xxhash64("doc", "th")), "_h", sketch, "_may")
 
-    found = (flagged(places).where("_may").dropDuplicates(["doc", "th"]).join(places, ["doc", "th"])
-             .select("doc", "th", "text", "places")
-             .mapInArrow(_nodes, "g bigint, doc bigint, th bigint, first bigint, nodes binary")
-             .repartition("g").sortWithinPartitions("g", "doc")
+    def anchors(keys: DataFrame) -> DataFrame:
+        return (flagged(keys).where("_may").dropDuplicates(["doc", "th"]).join(keys, ["doc", "th"])
+                .select("doc", "th", "text", "places")
+                .mapInArrow(_nodes, "g bigint, doc bigint, th bigint, first bigint, nodes binary"))
+
+    found = (anchors(places.where("not hot")).repartition("g").sortWithinPartitions("g", "doc")
              .mapInArrow(_repeats, "doc bigint, th bigint, a bigint, b bigint"))
-    spans = shared_table(found.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "substring-spans")
+    nodes = shared_table(anchors(places.where("hot")).mapInArrow(
+        _unpack, "g bigint, node bigint, doc bigint, th bigint, a bigint"), "substring-hot")
+    least = shared_table(nodes.groupBy("g", "node").agg(F.min("doc").alias("least"), F.max("doc").alias("z"))
+                         .where("least < z").drop("z"), "substring-hot-nodes")
+    spread = (nodes.join(least, ["g", "node"]).where("doc > least")
+              .select("doc", "th", "a", (F.col("a") + LENGTH).alias("b")))
+    spans = found.unionByName(spread).groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = shared_table(spans, "substring-spans")
     split = flagged(spans)
     whole = split.where("not _may").select("doc_id", "text", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("spans"))
     cut = split.where("_may").join(spans, ["doc", "th"], "left").select("doc_id", "text", "spans")
