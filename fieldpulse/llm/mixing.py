@@ -126,7 +126,9 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], id_col: str = "doc_id", t
     # the first bucket that passes the rest holds the cut
     cuts = (sums.where(F.col("_upto") > F.col("_rest")).groupBy("_leaf")
             .agg(F.min_by(F.struct(F.col("_bucket").alias("b"), (F.col("_upto") - F.col("_sum")).alias("s")), "_bucket").alias("_cut")))
-    rows = rows.join(cuts.select("_leaf", F.col("_cut.b").alias("_cut"), F.col("_cut.s").alias("_before")), "_leaf", "left")
+    # written: one row per leaf, broadcast if small, else joined with hot leaves split
+    cuts = shared_table(cuts.select("_leaf", F.col("_cut.b").alias("_cut"), F.col("_cut.s").alias("_before")), "mix-cuts")
+    rows = rows.join(cuts, "_leaf", "left")
     inside = F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut"))
     out = [F.col("doc_id"), *names, F.col("n_tokens"), F.col("leaf_tokens"), F.col("leaf_budget")]
     copies = F.col("_epochs") + F.when(inside & (F.col("_rest") > 0), 1).otherwise(0)
