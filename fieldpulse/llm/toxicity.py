@@ -178,54 +178,54 @@ def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, id_col: str =
     not held out.  Labels that disagree on an id count as toxic.
 
     A candidate must be too frequent among toxic rows for chance: by the Chernoff
-    bound, less than one of the features that could pass would at the base rate
-    (rarer features are not counted as tests); and its lower Wilson bound must reach MIN_EVIDENCE.  Rare words that merely stand in
+    bound, less than one of the toxic rows' features would pass at the base rate;
+    and its lower Wilson bound must reach MIN_EVIDENCE.  Rare words that merely stand in
     copies of a toxic text pass this too, so rules are taken by sequential
     covering: the most precise of the widest candidates first, then again over
-    the toxic rows that have none of them, until nothing frequent is left.  At
-    most MAX_FEATURES candidates, the widest, are considered."""
+    the toxic rows that have none of them, until nothing frequent is left.  The
+    MAX_FEATURES widest features of toxic rows are considered."""
     known = (labels.where(F.col("toxic").isNotNull() & ~is_held_out("doc_id"))
              .groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic")))
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text"))
     rows = flag_sketched(rows.withColumn("_h", F.xxhash64("_id")), "_h",
                          key_sketch(known.select(F.xxhash64("_id").alias("_h")), "_h"), "_may")
-    train = rows.where("_may").join(known, "_id").select("text", F.col("toxic").cast("long").alias("toxic"))
+    # labels have no size bound: joined by sorting at every size, never broadcast
+    train = rows.where("_may").join(known.hint("merge"), "_id").select("text", F.col("toxic").cast("long").alias("toxic"))
     train = shared_table(train, "toxicity-train")
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(counts)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memo = CharModel(shared.value), {}
-        for b in batches:
-            n: Counter = Counter()
-            toxic: Counter = Counter()
-            for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                found = features(restored_tokens(t.as_py(), model, memo))
-                n.update(found)
-                if y:
-                    toxic.update(found)
-            names = list(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array([n[f] for f in names], pa.int64()),
-                 pa.array([toxic[f] for f in names], pa.int64())], ["feature", "n", "k"])
+    def count(only):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model, memo = CharModel(shared.value), {}
+            for b in batches:
+                n: Counter = Counter()
+                for t in b.column(0):
+                    found = features(restored_tokens(t.as_py(), model, memo))
+                    n.update(found if only is None else found & only.value)
+                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(n.values(), pa.int64())], ["feature", "n"])
+        return run
+
+    def counted(rows: DataFrame, only=None) -> DataFrame:
+        return (rows.select("text").mapInArrow(count(only), "feature string, n bigint")
+                .groupBy("feature").agg(F.sum("n").alias("n")))
 
     size = train.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).first()
     if not 0 < size.k < size.n:
         return {}
-    sums = shared_table(train.mapInArrow(count, "feature string, n bigint, k bigint").groupBy("feature").agg(
-        F.sum("n").alias("n"), F.sum("k").alias("k")), "toxicity-features")
-    base, p = size.k / size.n, F.col("k") / F.col("n")
-    surprise = F.col("n") * (p * F.log(p / base) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - base))).otherwise(0.0))
-    bound = (p + Z * Z / (2 * F.col("n")) - Z * F.sqrt(p * (1 - p) / F.col("n") + Z * Z / (4 * F.col("n") * F.col("n")))) \
-        / (1 + Z * Z / F.col("n"))
-    often = {r.n: r.rows for r in sums.groupBy(F.least("n", F.lit(64)).alias("n")).agg(F.count("*").alias("rows")).collect()}
-    tests = 1  # features frequent enough to pass at all, by the level that their own number asks for
-    while (more := sum(c for n, c in often.items() if n * math.log(1 / base) >= math.log(tests))) > tests:
-        tests += 1 + (more - tests) // 64
-    seen = sums.where((F.col("k") > 0) & (p > base)).where(
-        (surprise >= F.lit(math.log(max(2, tests)))) & (bound >= MIN_EVIDENCE))
-    best = seen.orderBy(F.desc("k"), "feature").limit(MAX_FEATURES).collect()
-    weight = {r.feature: (r.k + base) / (r.n + 1) for r in best}
+    # only features of toxic rows can be rules, so the others are never shuffled
+    toxic = shared_table(counted(train.where("toxic > 0")), "toxicity-features")
+    wide = {r.feature: r.n for r in toxic.where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "feature")
+            .limit(MAX_FEATURES).collect()}
+    clean = {r.feature: r.n for r in counted(train.where("toxic = 0"), sc.broadcast(set(wide))).collect()}
+    base, level, weight = size.k / size.n, math.log(max(2, toxic.count())), {}
+    for f, k in wide.items():
+        n = k + clean.get(f, 0)
+        p = k / n
+        surprise = n * (p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0.0))
+        bound = (p + Z * Z / (2 * n) - Z * math.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+        if p > base and surprise >= level and bound >= MIN_EVIDENCE:
+            weight[f] = (k + base) / (n + 1)
     names = sc.broadcast(set(weight))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
