@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flag_sketched, key_sketch, read_table, shared_table, ship_package, text_of
+from .common import SKETCH_BITS, flag_sketched, key_sketch, read_table, shared_table, ship_package, text_of
 
 # What a sign may stand for.
 LEET = {
@@ -29,8 +30,6 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 ORDER = 4
 #: Size of the language model whatever the corpus: 27^4 numbers.
 SYMBOLS = len(LETTERS) + 1
-#: Most features the classifier considers; the model is a few MB at most.
-MAX_FEATURES = 20_000
 MIN_EVIDENCE = 0.5
 #: A round of covering takes candidates in this part of the widest one's rows, and in SUPPORT rows at least.
 COVER, SUPPORT = 0.2, 3
@@ -172,6 +171,29 @@ def is_held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def sketch_bits(keys: DataFrame, column: str) -> bytes:
+    """``key_sketch`` of a column of strings as one bitmap: 1 MB whatever the input."""
+    rows = key_sketch(keys.select(F.xxhash64(column).alias("_h")), "_h").toArrow()
+    bits = np.zeros(SKETCH_BITS // 64, "<i8")
+    bits[rows["_word"].to_numpy()] = rows["_mask"].to_numpy()
+    return bits.tobytes()
+
+
+def in_sketch(key: str, bits: bytes) -> bool:
+    """False only if the key is certainly not in the sketch."""
+    i = xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), 42) % SKETCH_BITS
+    return bits[i >> 3] >> (i & 7) & 1 == 1
+
+
+def passes(k: Column, clean: Column, base: float, level: float) -> Column:
+    """Whether k toxic and some clean rows are too many toxic ones for chance and precise enough."""
+    n = k + clean
+    p = k / n
+    rest = F.when(clean > 0, clean * F.log((1 - p) / (1 - base))).otherwise(0.0)
+    bound = (p + Z * Z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+    return (p > base) & (k * F.log(p / base) + rest >= level) & (bound >= MIN_EVIDENCE)
+
+
 def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, id_col: str = "doc_id",
           text_col: str = "text") -> dict[str, float]:
     """Feature -> P(toxic | the feature occurs), from the labelled rows that are
@@ -182,8 +204,8 @@ def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, id_col: str =
     and its lower Wilson bound must reach MIN_EVIDENCE.  Rare words that merely stand in
     copies of a toxic text pass this too, so rules are taken by sequential
     covering: the most precise of the widest candidates first, then again over
-    the toxic rows that have none of them, until nothing frequent is left.  The
-    MAX_FEATURES widest features of toxic rows are considered."""
+    the toxic rows that have none of them, until nothing frequent is left.  Every
+    feature is tested, in Spark; only the rules reach the driver."""
     known = (labels.where(F.col("toxic").isNotNull() & ~is_held_out("doc_id"))
              .groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic")))
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text"))
@@ -201,8 +223,9 @@ def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, id_col: str =
             for b in batches:
                 n: Counter = Counter()
                 for t in b.column(0):
-                    found = features(restored_tokens(t.as_py(), model, memo))
-                    n.update(found if only is None else found & only.value)
+                    n.update(features(restored_tokens(t.as_py(), model, memo)))
+                if only is not None:
+                    n = {f: k for f, k in n.items() if in_sketch(f, only.value)}
                 yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(n.values(), pa.int64())], ["feature", "n"])
         return run
 
@@ -215,47 +238,47 @@ def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, id_col: str =
         return {}
     # only features of toxic rows can be rules, so the others are never shuffled
     toxic = shared_table(counted(train.where("toxic > 0")), "toxicity-features")
-    wide = {r.feature: r.n for r in toxic.where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "feature")
-            .limit(MAX_FEATURES).collect()}
-    clean = {r.feature: r.n for r in counted(train.where("toxic = 0"), sc.broadcast(set(wide))).collect()}
-    base, level, weight = size.k / size.n, math.log(max(2, toxic.count())), {}
-    for f, k in wide.items():
-        n = k + clean.get(f, 0)
-        p = k / n
-        surprise = n * (p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0.0))
-        bound = (p + Z * Z / (2 * n) - Z * math.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
-        if p > base and surprise >= level and bound >= MIN_EVIDENCE:
-            weight[f] = (k + base) / (n + 1)
-    names = sc.broadcast(set(weight))
+    base, level = size.k / size.n, math.log(max(2, toxic.count()))
+    # both tests are hardest to fail without clean rows: what fails so fails with any number of them
+    able = toxic.where((F.col("n") >= SUPPORT) & passes(F.col("n"), F.lit(0), base, level)).withColumnRenamed("n", "k")
+    clean = counted(train.where("toxic = 0"), sc.broadcast(sketch_bits(able, "feature")))
+    tested = able.join(clean, "feature", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    weight = (F.col("k") + base) / (F.col("k") + F.col("n") + 1)
+    passed = shared_table(tested.where(passes(F.col("k"), F.col("n"), base, level)).select(F.col("feature").alias("f"), weight.alias("weight")),
+                          "toxicity-passed")
+    maybe = sc.broadcast(sketch_bits(passed, "f"))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = CharModel(shared.value), {}
         for b in batches:
-            found = [sorted(names.value & features(restored_tokens(t.as_py(), model, memo))) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["found"])
+            found = [[f for f in sorted(features(restored_tokens(t.as_py(), model, memo))) if in_sketch(f, maybe.value)] for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], ["row", "found"])
 
-    left = shared_table(train.where("toxic > 0").select("text").mapInArrow(match, "found array<string>"), "toxicity-rows")
+    left = (train.where("toxic > 0").select(F.monotonically_increasing_id().alias("row"), "text")
+            .mapInArrow(match, "row bigint, found array<string>").select("row", F.explode("found").alias("f"))
+            .join(passed, "f").groupBy("row").agg(F.collect_list(F.struct("f", "weight")).alias("found")))
+    left = shared_table(left.select("found"), "toxicity-rows")
     rules: dict[str, float] = {}
     while True:
-        wide = left.select(F.explode("found").alias("f")).groupBy("f").count()
-        most = wide.agg(F.max("count")).first()[0] or 0
+        wide = left.select(F.explode("found").alias("x")).groupBy("x.f").agg(F.count("*").alias("n"), F.max("x.weight").alias("weight"))
+        most = wide.agg(F.max("n")).first()[0] or 0
         if most < SUPPORT:
             return rules
-        wide = [r.f for r in wide.where(F.col("count") >= max(SUPPORT, COVER * most)).collect()]
-        taken = [f for f in wide if weight[f] >= max(weight[f] for f in wide) - SLACK]
-        rules.update((f, weight[f]) for f in taken)
-        chosen = F.array(*[F.lit(f) for f in taken]) if len(taken) <= 200 else None
-        if chosen is None:  # many rules at once: no literal list
+        wide = wide.where(F.col("n") >= max(SUPPORT, COVER * most))
+        best = wide.agg(F.max("weight")).first()[0]
+        taken = {r.f: r.weight for r in wide.where(F.col("weight") >= best - SLACK).collect()}
+        rules.update(taken)
+        if len(taken) <= 200:
+            left = left.where(~F.arrays_overlap("found.f", F.array(*[F.lit(f) for f in taken])))
+        else:  # many rules at once: no literal list
             mine = sc.broadcast(set(taken))
 
             def rest(batches, mine=mine):
                 for b in batches:
-                    keep = [not mine.value.intersection(x) for x in b.column(0).to_pylist()]
+                    keep = [mine.value.isdisjoint(x["f"] for x in row) for row in b.column(0).to_pylist()]
                     yield b.filter(pa.array(keep, pa.bool_()))
 
-            left = shared_table(left.mapInArrow(rest, "found array<string>"), "toxicity-rows")
-        else:
-            left = left.where(~F.arrays_overlap("found", chosen))
+            left = shared_table(left.mapInArrow(rest, left.schema), "toxicity-rows")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

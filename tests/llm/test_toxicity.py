@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -89,6 +90,22 @@ def test_learns_and_sees_through_disguise(spark):
     assert [got[i] for i in (1001, 1002, 1003, 1004, 1005, None)] == [1, 1, 1, 0, 0, 0]
 
 
+def test_common_words_do_not_crowd_out_a_toxic_one(spark):
+    """20,400 features stand in every row, the toxic word in most toxic rows only."""
+    common = " ".join(a + b + c + d + "xyz" for a, b, c, d in itertools.islice(itertools.product("abcdefghij", repeat=4), 5100))
+    docs = [(i, common + (" scoundrel" if i % 3 == 0 and i % 10 else "")) for i in range(120)]
+    out = X.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(4),
+                  spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")).collect()
+    assert all(r.predicted == int(r.doc_id % 3 == 0 and r.doc_id % 10 > 0) for r in out)
+
+
+def test_sketch_holds_every_key(spark):
+    keys = [f"w:k{i}é" for i in range(500)]
+    bits = X.sketch_bits(spark.createDataFrame([(k,) for k in keys], "f string"), "f")
+    assert all(X.in_sketch(k, bits) for k in keys)
+    assert sum(X.in_sketch(f"w:other{i}", bits) for i in range(2000)) < 20
+
+
 def test_empty_tables_and_edges(spark, edges, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert X.score(no_docs, none).count() == 0
