@@ -8,6 +8,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,9 @@ PREFIXES = (4, 5, 6)
 Z = 2.0
 
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(€£])(?:[ .\-_*~·]{1,2}(?:[^\W_]|[@$!|+(€£])){2,}(?!\S)")
-_RUN = re.compile(r"(.)\1\1")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+(€£])(?:[ .\-_*~·]+(?:[^\W_]|[@$!|+(€£])){2,}(?![^\W_])")
+_GAP = re.compile(r"[ .\-_*~·]{2,}")
+_SINGLE = re.compile(r"(?:([a-z])(?!\1))+")
 _EDGE = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$|+(€£]+$")
 
 
@@ -59,63 +61,101 @@ class CharModel:
         backoff = (lower + 0.1) / (lower + 0.1).sum(axis=1, keepdims=True)
         prior = np.tile(backoff, (SYMBOLS, 1))
         self.log = np.log((table + 2.0 * prior) / (table.sum(axis=1, keepdims=True) + 2.0)).astype(np.float32)
-
-    def decode(self, signs: str) -> str:
-        """Likeliest letters for a lattice of signs: exact Viterbi over contexts."""
-        states = {0: (0.0, "")}
+        self.flat = self.log.ravel().tolist()
+
+    def decode(self, signs: str, ends: bool = False) -> str:
+        """Likeliest letters for a lattice of signs: exact Viterbi over contexts, in
+        time linear in the signs.  With ``ends`` a separator may also end a word,
+        which is a space in the result."""
+        log, size = self.flat, SYMBOLS ** (ORDER - 1)
+        states = {0: (0.0, None)}  # context -> score, (path before, letter)
         before = ""
-        for c in [*fold(signs), ""]:
-            arcs = []  # (letter or nothing, cost)
-            if c in _CODE:
-                arcs.append((c, 0.0))
-            for x in LEET.get(c, ""):
-                arcs.append((x, SWAP_COST))
-            if c and c in SEPARATORS:
-                arcs.append(("", DROP_COST))
-            if c and c == before:
-                arcs.append(("", REPEAT_COST))
-            if c and not arcs:
-                arcs.append(("", DROP_COST))  # a sign without a reading
-            nxt: dict[int, tuple[float, str]] = {}
-            for ctx, (score, path) in states.items():
-                for x, cost in arcs or [("", 0.0)]:
-                    if x or not c:
-                        code = _CODE.get(x, 0)
-                        s = score + cost + float(self.log[ctx, code])
-                        to = (ctx * SYMBOLS + code) % SYMBOLS ** (ORDER - 1)
-                    else:
+        for c in fold(signs):
+            nxt: dict[int, tuple[float, tuple | None]] = {}
+            for x, code, cost in arcs_of(c, c == before, ends):
+                for ctx, (score, path) in states.items():
+                    if code:
+                        at = ctx * SYMBOLS + code
+                        s, to = score + cost + log[at], at % size
+                    elif not x:
                         s, to = score + cost, ctx
+                    elif ctx:
+                        s, to = score + cost + log[ctx * SYMBOLS], 0
+                    else:
+                        continue  # no word to end
                     if to not in nxt or s > nxt[to][0]:
-                        nxt[to] = (s, path + x)
+                        nxt[to] = (s, (path, x) if x else path)
             states, before = nxt, c
-        return max(states.values())[1]
+        path = max(((s + log[ctx * SYMBOLS] if ctx else s, path) for ctx, (s, path) in states.items()), key=lambda x: x[0])[1]
+        out = []
+        while path:
+            path, x = path
+            out.append(x)
+        return "".join(reversed(out))
+
+
+@lru_cache(maxsize=4096)
+def arcs_of(c: str, repeated: bool, ends: bool) -> list[tuple[str, int, float]]:
+    """Readings of a sign: (letter, space or nothing, its code, cost)."""
+    arcs = [(c, _CODE[c], 0.0)] if c in _CODE else []
+    arcs += [(x, _CODE[x], SWAP_COST) for x in LEET.get(c, "")]
+    if c in SEPARATORS:
+        arcs += [("", 0, DROP_COST)] + ([(" ", 0, DROP_COST)] if ends else [])
+    if repeated:
+        arcs.append(("", 0, REPEAT_COST))
+    return arcs or [("", 0, DROP_COST)]  # a sign without a reading
 
 
 def disguised(token: str) -> bool:
-    """Whether a token's lattice may have more than one path."""
-    letters = any(c.isalpha() for c in token)
-    return letters and (any(c in LEET or c in SEPARATORS for c in token) or _RUN.search(token) is not None)
-
-
-def restored_tokens(text: str, model: CharModel, memo: dict[str, tuple[str, ...]]) -> set[str]:
-    """The different tokens of the text, folded, and restored forms of disguised ones."""
-    out: set[str] = set()
+    """Whether a token's lattice has any path but its own letters."""
+    return token != "" and _SINGLE.fullmatch(fold(token)) is None
+
+
+def readings(signs: str, model: CharModel) -> tuple[tuple[str, ...], ...]:
+    """Restored words: separators all dropped, ending words where the model says so, and only where several stand together."""
+    out = [(model.decode(signs),)]
+    if any(c in SEPARATORS for c in signs):
+        out.append(tuple(model.decode(signs, ends=True).split()))
+    if len(parts := _GAP.split(signs)) > 1:
+        out.append(tuple(map(model.decode, parts)))
+    return tuple(out)
+
+
+def widened(text: str, start: int, end: int) -> str:
+    """A spaced run with the tokens beside it: its first and last sign may belong to them."""
+    while start and text[start - 1] in SEPARATORS:
+        start -= 1
+    while start and not text[start - 1].isspace():
+        start -= 1
+    while end < len(text) and text[end] in SEPARATORS:
+        end += 1
+    while end < len(text) and not text[end].isspace():
+        end += 1
+    return text[start:end]
+
+
+def restored(text: str, model: CharModel, memo: dict[str, tuple]) -> Iterator[tuple[tuple[str, ...], ...]]:
+    """For each different token and each spaced run of the text: its readings,
+    folded, the token as it stands first.  A reading is a tuple of words."""
     for token in set(text.lower().split()):
         forms = memo.get(token)
         if forms is None:
             core = _EDGE.sub("", token)
-            plain = fold(core.strip("!"))
-            forms = (plain,) if plain else ()
-            if len(core) <= 64 and disguised(core):
-                forms += (model.decode(core),)
-                forms += (model.decode(core.rstrip("!")),) if core.endswith("!") else ()
+            forms = ((fold(core.strip("!")),),)
+            if disguised(core):
+                forms += readings(core, model)
             if len(memo) > 500_000:  # only saves time
                 memo.clear()
             memo[token] = forms
-        out.update(forms)
+        yield forms
     for m in _SPACED.finditer(text):
-        if len(m[0]) <= 128:
-            out.add(model.decode(m[0]))
+        wide = widened(text, *m.span())
+        yield readings(m[0], model) + (readings(wide, model) if wide != m[0] else ())
+
+
+def restored_tokens(text: str, model: CharModel, memo: dict[str, tuple]) -> set[str]:
+    """The words of every reading."""
+    out = {word for forms in restored(text, model, memo) for words in forms for word in words}
     out.discard("")
     return out
 
@@ -285,7 +325,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """One row (doc_id, held_out, score, predicted) per row of ``docs``.
 
     score = 1 - (1 - q1)(1 - q2 / 2) with the two strongest rules that different
-    words of the restored text meet; without any it is 0.  Empty and null
+    words of the restored text meet (of a token's readings the strongest one
+    counts); without any it is 0.  Empty and null
     texts have no features and score 0; without labels every score is 0.
     Repeated rows score alike, null ids are not held out and not learnt from;
     an empty table gives an empty result.  Only the text is read for a score."""
@@ -305,10 +346,16 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 q = seen[token] = max((weight.get(f, 0.0) for f in features({token})), default=0.0)
             return q
 
+        def strongest(words) -> list[float]:
+            return sorted(map(evidence, words), reverse=True)[:2]
+
         for b in batches:
             out = []
             for t in b.column(2):
-                best = sorted((evidence(x) for x in restored_tokens(t.as_py(), model, memo)), reverse=True)[:2]
+                words: set[str] = set()
+                for forms in restored(t.as_py(), model, memo):
+                    words.update(forms[0] if len(forms) == 1 else max(forms, key=strongest))
+                best = strongest(words)
                 q1, q2 = (*best, 0.0, 0.0)[:2]
                 out.append(1.0 - (1.0 - q1) * (1.0 - q2 / 2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["doc_id", "held_out", "score"])

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -65,6 +66,52 @@ def test_decoder_finds_the_best_path(counts):
         assert model.decode(signs) == got and np.isfinite(value)
 
 
+@pytest.mark.parametrize("seen,meant", [
+    ("a s c u m there", {"scum"}), ("m o r o n c l o w n", {"moron", "clown"}), ("is a s.c.u.m.", {"scum"}), ("'m o r o n',", {"moron"}),
+    ("mo r o n", {"moron"}), ("m o r o n   s c u m", {"moron", "scum"}), ("l o s e r . - . m o r o n", {"loser", "moron"}),
+    ("t h e  l o s e r " * 20, {"the", "loser"}), ("l" + "o" * 200 + "ser", {"loser"}), ("m.o.r.o.n." * 20, {"moron"}),
+    ("7.0", {"to"}), ("50", {"so"}), ("looser", {"loser", "looser"}), ("mor#on", {"moron"}),
+])
+def test_nothing_is_kept_from_the_decoder(counts, seen, meant):
+    """Runs of several words, with other words at their edges, of any length; tokens without letters."""
+    assert meant <= X.restored_tokens(f"there {seen} here", X.CharModel(counts), {})
+
+
+def test_long_run_decodes_in_linear_time(counts):
+    model, start = X.CharModel(counts), time.process_time()
+    words = model.decode("m o r o n  s c u m " * 10_000, ends=True).split()
+    assert words == ["moron", "scum"] * 10_000 and time.process_time() - start < 20
+
+
+def test_decoder_with_word_ends_finds_the_best_path(counts):
+    """Against all paths of small lattices whose separators drop or end a word."""
+    model, rng = X.CharModel(counts), random.Random(3)
+
+    def total(path, s):
+        for word in path.split(" "):
+            ctx = 0
+            for code in [*(X._CODE[x] for x in word), 0] if word else []:
+                s += float(model.log[ctx, code])
+                ctx = (ctx * X.SYMBOLS + code) % X.SYMBOLS ** 3
+        return s
+
+    for _ in range(60):
+        signs = "".join(rng.choice("losermn01 .") for _ in range(rng.randint(1, 8)))
+        paths, before = {"": 0.0}, ""
+        for c in signs:
+            nxt = {}
+            for p, s in paths.items():
+                arcs = ([(c, 0.0)] if c in X._CODE else []) + [(x, X.SWAP_COST) for x in X.LEET.get(c, "")]
+                if c in X.SEPARATORS:
+                    arcs += [("", X.DROP_COST)] + ([(" ", X.DROP_COST)] if p and p[-1] != " " else [])
+                arcs += [("", X.REPEAT_COST)] if c == before else []
+                for x, k in arcs:
+                    nxt[p + x] = max(nxt.get(p + x, -1e9), s + k)
+            paths, before = nxt, c
+        got = model.decode(signs, ends=True)
+        assert total(got, paths[got]) == pytest.approx(max(total(p, s) for p, s in paths.items()))
+
+
 def test_labels_of_held_out_rows_are_not_learnt(spark):
     ids = [i for i in range(400)]
     docs = [(i, "plain words " + ("badword" if zlib.crc32(str(i).encode()) % 5 == 0 else "fineword")) for i in ids]
@@ -90,6 +137,15 @@ def test_learns_and_sees_through_disguise(spark):
     assert [got[i] for i in (1001, 1002, 1003, 1004, 1005, None)] == [1, 1, 1, 0, 0, 0]
 
 
+def test_readings_of_one_word_are_one_piece_of_evidence(spark):
+    docs = [(i, "other words here " + ("worthless" if i % 4 == 0 else "there")) for i in range(400)]
+    lab = [(i, int(i % 4 == 0)) for i in range(400)]
+    out = X.score(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(lab, "doc_id long, toxic int")).collect()
+    n = sum(i % 4 == 0 and zlib.crc32(str(i).encode()) % 5 > 0 for i in range(400))
+    total = sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(400))
+    assert all(r.score == (pytest.approx((n + n / total) / (n + 1)) if r.doc_id % 4 == 0 else 0) for r in out)
+
+
 def test_common_words_do_not_crowd_out_a_toxic_one(spark):
     """20,400 features stand in every row, the toxic word in most toxic rows only."""
     common = " ".join(a + b + c + d + "xyz" for a, b, c, d in itertools.islice(itertools.product("abcdefghij", repeat=4), 5100))
