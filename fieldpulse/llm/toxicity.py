@@ -174,7 +174,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words.update(t.as_py().lower().split())
         plain: Counter = Counter()
         for w, n in words.items():
-            plain["".join(c for c in fold(w) if c in _CODE)[:64]] += n
+            plain["".join(c for c in fold(w) if c in _CODE)] += n
         plain.pop("", None)
         yield pa.RecordBatch.from_arrays([pa.array(list(plain), pa.string()), pa.array(plain.values(), pa.int64())], ["word", "n"])
 

@@ -27,6 +27,12 @@ def test_model_counts_every_word(spark):
     assert counts[at] == 4
 
 
+def test_model_counts_long_words_whole(spark):
+    counts = X.char_model(spark.createDataFrame([("ab" * 50 + "c",)], "text string"))
+    at = [X._CODE[c] for c in "bab"]
+    assert counts.sum() == 102 and counts[((at[0] * X.SYMBOLS + at[1]) * X.SYMBOLS + at[2]) * X.SYMBOLS] == 0  # "bab" ends no word
+
+
 @pytest.mark.parametrize("seen,meant", [
     ("l0ser", "loser"), ("m0r0n", "moron"), ("$cum", "scum"), ("sc.um", "scum"), ("c l o w n", "clown"), ("l.o.s.e.r", "loser"),
     ("looooser", "loser"), ("w0rthl3ss", "worthless"), ("p@th3tic", "pathetic"), ("m-o-r-o-n", "moron"), ("1oser", "loser"),
