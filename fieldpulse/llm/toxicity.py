@@ -7,7 +7,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -49,7 +49,9 @@ _EDGE = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$|+(€£]+$")
 def fold(word: str) -> str:
     """Lower case without accents."""
     word = word.lower()
-    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+    if word.isascii():
+        return word
+    return "".join([c for c in unicodedata.normalize("NFKD", word) if c < "\u0300" or not unicodedata.combining(c)])
 
 
 class CharModel:
@@ -106,9 +108,9 @@ def arcs_of(c: str, repeated: bool, ends: bool) -> list[tuple[str, int, float]]:
     return arcs or [("", 0, DROP_COST)]  # a sign without a reading
 
 
-def disguised(token: str) -> bool:
-    """Whether a token's lattice has any path but its own letters."""
-    return token != "" and _SINGLE.fullmatch(fold(token)) is None
+def disguised(signs: str) -> bool:
+    """Whether a folded token's lattice has any path but its own letters."""
+    return signs != "" and _SINGLE.fullmatch(signs) is None
 
 
 def readings(signs: str, model: CharModel) -> tuple[tuple[str, ...], ...]:
@@ -134,30 +136,35 @@ def widened(text: str, start: int, end: int) -> str:
     return text[start:end]
 
 
-def restored(text: str, model: CharModel, memo: dict[str, tuple]) -> Iterator[tuple[tuple[str, ...], ...]]:
-    """For each different token and each spaced run of the text: its readings,
-    folded, the token as it stands first.  A reading is a tuple of words."""
+def restored(text: str, model: CharModel, memo: dict[str, tuple], keep: Callable[[tuple], tuple] = tuple) -> Iterator[tuple]:
+    """For each different token and each spaced run of the text: what ``keep``
+    makes of its readings, folded, the token as it stands first.  A reading is a
+    tuple of words."""
     for token in set(text.lower().split()):
-        forms = memo.get(token)
-        if forms is None:
+        kept = memo.get(token)
+        if kept is None:
             core = _EDGE.sub("", token)
-            forms = ((fold(core.strip("!")),),)
-            if disguised(core):
-                forms += readings(core, model)
+            signs = fold(core)
+            forms = ((fold(core.strip("!")) if "!" in core else signs,),)
+            if disguised(signs):
+                forms += readings(signs, model)
             if len(memo) > 500_000:  # only saves time
                 memo.clear()
-            memo[token] = forms
-        yield forms
+            kept = memo[token] = keep(forms)
+        if kept:
+            yield kept
     for m in _SPACED.finditer(text):
         wide = widened(text, *m.span())
-        yield readings(m[0], model) + (readings(wide, model) if wide != m[0] else ())
+        yield keep(readings(m[0], model) + (readings(wide, model) if wide != m[0] else ()))
 
 
 def restored_tokens(text: str, model: CharModel, memo: dict[str, tuple]) -> set[str]:
     """The words of every reading."""
-    out = {word for forms in restored(text, model, memo) for words in forms for word in words}
-    out.discard("")
-    return out
+    return all_words(form for forms in restored(text, model, memo) for form in forms)
+
+
+def all_words(forms: Iterable[tuple[str, ...]]) -> set[str]:
+    return {word for words in forms for word in words if word}
 
 
 def features(tokens: set[str]) -> set[str]:
@@ -225,6 +232,12 @@ def in_sketch(key: str, bits: bytes) -> bool:
     return bits[i >> 3] >> (i & 7) & 1 == 1
 
 
+def sketched_features(bits: bytes) -> Callable[[tuple], tuple]:
+    """What a token's readings have in the sketch."""
+    names: dict[str, str] = {}
+    return lambda forms: tuple(names.setdefault(f, f) for f in features(all_words(forms)) if in_sketch(f, bits))
+
+
 def passes(k: Column, clean: Column, base: float, level: float) -> Column:
     """Whether k toxic and some clean rows are too many toxic ones for chance and precise enough."""
     n = k + clean
@@ -260,12 +273,11 @@ def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, id_col: str =
     def count(only):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model, memo = CharModel(shared.value), {}
+            keep = only and sketched_features(only.value)
             for b in batches:
                 n: Counter = Counter()
                 for t in b.column(0):
-                    n.update(features(restored_tokens(t.as_py(), model, memo)))
-                if only is not None:
-                    n = {f: k for f, k in n.items() if in_sketch(f, only.value)}
+                    n.update(set().union(*restored(t.as_py(), model, memo, keep)) if keep else features(restored_tokens(t.as_py(), model, memo)))
                 yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(n.values(), pa.int64())], ["feature", "n"])
         return run
 
@@ -289,9 +301,9 @@ def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, id_col: str =
     maybe = sc.broadcast(sketch_bits(passed, "f"))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memo = CharModel(shared.value), {}
+        model, memo, keep = CharModel(shared.value), {}, sketched_features(maybe.value)
         for b in batches:
-            found = [[f for f in sorted(features(restored_tokens(t.as_py(), model, memo))) if in_sketch(f, maybe.value)] for t in b.column(1)]
+            found = [sorted(set().union(*restored(t.as_py(), model, memo, keep))) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], ["row", "found"])
 
     left = (train.where("toxic > 0").select(F.monotonically_increasing_id().alias("row"), "text")
@@ -336,26 +348,23 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, weight, memo = CharModel(shared.value[0]), shared.value[1], {}
-        seen: dict[str, float] = {}
+        starts = {f[2:2 + min(PREFIXES)] for f in weight}  # of every word that can meet a rule
+
+        def evidence(word: str) -> float:
+            return max((weight.get(f, 0.0) for f in features({word})), default=0.0) if word[:min(PREFIXES)] in starts else 0.0
 
-        def evidence(token: str) -> float:
-            q = seen.get(token)
-            if q is None:
-                if len(seen) > 500_000:
-                    seen.clear()
-                q = seen[token] = max((weight.get(f, 0.0) for f in features({token})), default=0.0)
-            return q
+        def strongest(words) -> list[tuple[float, str]]:
+            return sorted(((q, w) for w in set(words) if (q := evidence(w))), reverse=True)
 
-        def strongest(words) -> list[float]:
-            return sorted(map(evidence, words), reverse=True)[:2]
+        def keep(forms):
+            """Evidence and word of the reading with the strongest two."""
+            return tuple(max(map(strongest, forms), key=lambda found: [q for q, _ in found[:2]]))
 
         for b in batches:
             out = []
             for t in b.column(2):
-                words: set[str] = set()
-                for forms in restored(t.as_py(), model, memo):
-                    words.update(forms[0] if len(forms) == 1 else max(forms, key=strongest))
-                best = strongest(words)
+                found = set().union(*restored(t.as_py(), model, memo, keep))
+                best = sorted((q for q, _ in found), reverse=True)[:2]
                 q1, q2 = (*best, 0.0, 0.0)[:2]
                 out.append(1.0 - (1.0 - q1) * (1.0 - q2 / 2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["doc_id", "held_out", "score"])
