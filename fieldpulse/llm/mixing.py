@@ -146,12 +146,17 @@ def corpus_levels(docs: DataFrame) -> dict[str, Column]:
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, all columns unchanged."""
-    chosen = mix(docs, corpus_levels(docs), id_col, text_col, **options)
-    # rows that repeat id and tokens share a place, so all of them have the same count
-    chosen = chosen.where("n_copies > 0").groupBy("doc_id", "n_tokens").agg(F.min("n_copies").alias("_copies"))
+    levels = corpus_levels(docs)
+    chosen = mix(docs, levels, id_col, text_col, **options)
+    # rows of a leaf that repeat id and tokens share a place, so all of them have the same count
+    chosen = chosen.where("n_copies > 0").groupBy("doc_id", "n_tokens", *levels).agg(F.min("n_copies").alias("_copies"))
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"),
-                       token_count(text_of(text_col)).alias("_tokens"))
-    rows = rows.join(chosen, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tokens") == F.col("n_tokens")))
+                       token_count(text_of(text_col)).alias("_tokens"),
+                       *[c.cast("string").alias(f"_{n}") for n, c in levels.items()])
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tokens") == F.col("n_tokens"))
+    for n in levels:
+        same = same & F.col(f"_{n}").eqNullSafe(F.col(n))
+    rows = rows.join(chosen, same)
     return rows.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_row.*")
 
 

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import brute
 import pandas as pd
 import pytest
@@ -63,3 +65,16 @@ def test_rows_and_odd_ids(edges, odd_ids, no_docs):
     assert M.take_mix(odd_ids, numerator=1, denominator=1).where("doc_id = 5").count() == 2
     assert M.mix(odd_ids, M.corpus_levels(odd_ids)).count() == 6
     assert M.mix(no_docs, M.corpus_levels(no_docs)).count() == 0 and M.take_mix(no_docs).count() == 0
+
+
+def test_equal_ids_and_tokens_in_different_leaves(spark):
+    """Each leaf's rows are taken as often as the mix says for that leaf."""
+    rows = [(i, "a b c", lang, "src0") for lang, n in (("en", 2), ("de", 7)) for i in [None] * n + [5]] + [(None, "x y z", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for numerator in (1, 2, 3, 5):
+        want, got = Counter(), Counter()
+        for r in M.mix(docs, M.corpus_levels(docs), numerator=numerator, denominator=4).collect():
+            want[r.doc_id, r.lang, r.source] += r.n_copies
+        for r in M.take_mix(docs, numerator=numerator, denominator=4).collect():
+            got[r.doc_id, r.lang, r.source] += 1
+        assert got == +want
