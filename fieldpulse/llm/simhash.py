@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -92,32 +93,48 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty texts have fingerprint zero and link like any other; repeated rows
     share a component; an empty table gives an empty result.  Other columns are
     not read."""
+    return _groups(docs, id_col, text_col, shingle, max_distance).select("doc_id", "fp", "component_id")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_distance: int) -> DataFrame:
+    """``simhash_groups`` with the fingerprint that stands for the component."""
     members = shared_table(fingerprints(docs, id_col, text_col, shingle), "simhash")
     fps = shared_table(members.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     roots = connected_components(shared_table(links(fps, max_distance), "simhash-links"), "a", "b")
     linked = fps.join(roots, F.col("fp") == F.col("node"))
     ids = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = linked.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id")
+    linked = linked.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id", "root")
     # fingerprints without a link keep their own first id
     # written, so that adaptive execution can split the join of a hot fingerprint
     known = fps.join(linked, F.col("fp") == F.col("_fp"), "left").select(
         F.col("fp").alias("_fp"), F.when(F.col("_fp").isNull(), F.col("first"))
-        .otherwise(F.col("component_id")).alias("component_id"))
+        .otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
     known = shared_table(known, "simhash-known")
-    return members.join(known, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    return members.join(known, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id", "root")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                shingle: int = 4, max_distance: int = 4) -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged: of each component
-    the rows with the smallest id.  Rows without an id stay."""
-    gone = (simhash_groups(docs, id_col, text_col, shingle, max_distance)
-            .where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    gone = shared_table(gone, "simhash-dropped")
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id")).withColumn("_h", F.xxhash64("_id"))
+    the rows with the smallest id; of a component without any id one row.  Rows
+    are told apart by id and fingerprint, as an id may repeat."""
+    groups = _groups(docs, id_col, text_col, shingle, max_distance)
+    stays = F.when(F.col("component_id").isNull(), F.col("fp") == F.col("root")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = shared_table(groups.where(~stays).select(F.col("doc_id").alias("_gone"), F.col("fp").alias("_gone_fp")).distinct(), "simhash-dropped")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).withColumn("_h", F.xxhash64("_id"))
     rows = flag_sketched(rows, "_h", key_sketch(gone.select(F.xxhash64("_gone").alias("_h")), "_h"), "_may")
-    checked = rows.where("_may").join(gone, F.col("_id") == F.col("_gone"), "left_anti")
-    return rows.where("not _may").select("_row.*").unionByName(checked.select("_row.*"))
+
+    @F.pandas_udf(T.LongType())
+    def fingerprint_of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: fingerprint(t, shingle)).astype("int64")
+
+    known = F.col("_id").isNotNull()
+    checked = rows.where(~known | F.col("_may")).withColumn("_fp", fingerprint_of("_text"))
+    checked = checked.join(gone, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_fp") == F.col("_gone_fp")), "left_anti")
+    # rows without an id that are left have one fingerprint in each component
+    nameless = checked.where(~known).groupBy("_fp").agg(F.min_by("_row", "_text").alias("_row"))
+    return (rows.where(known & ~F.col("_may")).select("_row.*").unionByName(checked.where(known).select("_row.*"))
+            .unionByName(nameless.select("_row.*")))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,14 @@ def test_rows_that_stay(edges, edge_pairs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, x in brute.simhash(edge_pairs).items() if x[1] == i)
 
 
+def test_rows_with_repeated_and_null_ids(spark):
+    """A dropped row takes no other row of its id along; rows without an id are dropped like others."""
+    a, b, c, d = (" ".join(f"{x}{i * 7 % 41}" for i in range(60)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (None, a), (None, b), (None, c), (None, c), (None, d), (8, "x y z"), (8, "x y z")]
+    kept = near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(3, a), (5, b), (None, c), (None, d), (8, "x y z"), (8, "x y z")]))
+
+
 def test_fingerprint_of_very_long_text():
     text = " ".join(f"w{i % 977}" for i in range(40_000))
     assert fingerprint(text) & (1 << 64) - 1 == brute.fingerprint(text)
