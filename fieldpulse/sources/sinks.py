@@ -3,9 +3,22 @@ by the executors (the dashboard built one spreadsheet in memory instead)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_root
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back: worked out
+    once, and lost executors cost nothing.  The folder is cleared with the
+    cluster's checkpoint folder."""
+    path = f"{checkpoint_root(df.sparkSession)}/fieldpulse-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def write_export(df: DataFrame, path: str, fmt: str = "csv", partition_by: list[str] | None = None,
                  mode: str = "overwrite") -> None:
