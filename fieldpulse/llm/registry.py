@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import functools
 
-from . import (bpe, chat, exact_dedup, mixing, pieces, quality_rules, simhash, site_quality, substring,
-               token_files, toxicity)
+from . import (bpe, chat, exact_dedup, importance, mixing, pieces, quality_rules, simhash, site_quality, substring,
+               token_files, toxicity, whitening)
 from .common import ship_package
 
-MODULES = (exact_dedup, bpe, toxicity, substring, chat, quality_rules, mixing, token_files, site_quality, simhash, pieces)
+MODULES = (exact_dedup, bpe, toxicity, substring, chat, quality_rules, mixing, token_files, site_quality, simhash, importance, whitening, pieces)
 
 
 def _with_code(query):
