@@ -8,7 +8,8 @@ from . import (bpe, chat, exact_dedup, importance, mixing, pieces, quality_rules
                token_files, toxicity, whitening)
 from .common import ship_package
 
-MODULES = (exact_dedup, bpe, toxicity, substring, chat, quality_rules, mixing, token_files, site_quality, simhash, importance, whitening, pieces)
+MODULES = (exact_dedup, bpe, toxicity, substring, chat, quality_rules, mixing, token_files, site_quality, simhash,
+           importance, whitening, pieces)
 
 
 def _with_code(query):

@@ -1,7 +1,7 @@
 import brute
 import pandas as pd
 
-from conftest import SF
+from corpus_rows import SF
 from fieldpulse.llm.chat import ORACLE, chat_format
 
 SCHEMA = "conv_id long, turn int, role string, text string, conv string, n int, last int"

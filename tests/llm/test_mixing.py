@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import EDGES, SF
+from corpus_rows import EDGES, SF
 from fieldpulse.llm import mixing as M
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from conftest import SF
+from corpus_rows import SF
 from fieldpulse.llm.mixing import MIXED_SQL
 from fieldpulse.llm.quality_rules import ORACLE as RULES
 

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pandas as pd
 import pytest
 
-from conftest import SF
+from corpus_rows import SF
 from fieldpulse.llm import site_quality as S
 
 PAGES = "page_id long, url string, html string, host string, path string"

@@ -1,5 +1,5 @@
 import brute
-from conftest import PASSAGE
+from corpus_rows import PASSAGE
 
 from fieldpulse.llm import substring
 from fieldpulse.llm.substring import remove_repeats

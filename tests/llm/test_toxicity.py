@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from conftest import SF
+from corpus_rows import SF
 from fieldpulse.llm import toxicity as X
 
 DATA = "/root/testdata/sf0.01"
