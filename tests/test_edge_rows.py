@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import D, ts
+from survey_rows import D, ts
 from fieldpulse.operators import geo
 from fieldpulse.operators.flatten import export_flat, leaf_paths
 from fieldpulse.operators.latest import latest_per_key

@@ -13,7 +13,7 @@ import pytest
 
 from fieldpulse.plans import queries as Q
 
-from conftest import D
+from survey_rows import D
 
 N = 4500                       # answers; every third one belongs to the hot submission
 HOT_SUB, HOT_USER = 1, 7

@@ -82,7 +82,7 @@ def test_late_rows_count_and_undated_rows_do_not(spark, make):
     import datetime as dt
     import time
 
-    from conftest import D, ts
+    from survey_rows import D, ts
     d = tempfile.mkdtemp(prefix="fieldpulse-late-")
     s = '{"value": "A"}'
     batches = [
