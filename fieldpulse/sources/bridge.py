@@ -8,10 +8,10 @@ Four consecutive events form one submission; survey 99 is out of scope.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import SUBMISSION_SCHEMA, Tables
+from .tables import ANSWER_COLUMNS, SUBMISSION_SCHEMA, Tables
 
 SPARK_K = "get_json_object(props, '$.k')"
 DUCKDB_K = "(props->>'$.k')"
@@ -58,6 +58,16 @@ USER_EXPRS = [
 ]
 
 
+# The corrected survey: some answers are edited (some on a later day), some deleted.
+EDITED = "id % 7 = 3"
+DELETED = "id % 11 = 5"
+EDIT_EXPRS = {
+    "data": f"CASE WHEN {EDITED} AND survey_question_id IN (477, 863)"
+            """ THEN '{"value": "C' || CAST(id % 5 AS STRING) || '"}' ELSE data END""",
+    "created_at": f"CASE WHEN {EDITED} THEN created_at + INTERVAL 2 DAY ELSE created_at END",
+}
+
+
 def answer_sql(k_expr: str, events: str = "events") -> str:
     base = ", ".join(BASE_SELECT).format(k=k_expr)
     return f"SELECT {', '.join(ANSWER_EXPRS)} FROM (SELECT {base} FROM {events}) e"
@@ -74,6 +84,31 @@ def duckdb_cte() -> str:
             "auth_user AS (" + user_sql() + ") ")
 
 
+def corrected_cte() -> str:
+    """The same three tables with the corrections in ``survey_answer``."""
+    cols = ", ".join(f"{EDIT_EXPRS.get(c, c)} AS {c}" for c in ANSWER_COLUMNS)
+    base = duckdb_cte().replace("WITH survey_answer AS", "WITH first_answer AS", 1).replace(
+        "FROM survey_answer GROUP BY", "FROM first_answer GROUP BY", 1)
+    return base + f", survey_answer AS (SELECT {cols} FROM first_answer WHERE NOT ({DELETED})) "
+
+
+def changes_from_answers(answers: DataFrame, arrivals: int) -> DataFrame:
+    """The change feed (before, after, arrival) that ends in the corrected
+    survey.  Changes of an answer arrive independently: an edit may come before its insert."""
+    edited = answers.selectExpr("*", *[f"{e} AS new_{c}" for c, e in EDIT_EXPRS.items()])
+    first = F.struct(*ANSWER_COLUMNS)
+    last = F.struct(*[F.col(f"new_{c}" if c in EDIT_EXPRS else c).alias(c) for c in ANSWER_COLUMNS])
+    none = F.lit(None).cast(answers.select(first.alias("a")).schema["a"].dataType)
+
+    def change(kept: str, before: Column, after: Column, order: str) -> Column:
+        arrival = F.expr(f"cast(pmod({order}, {arrivals}) as int)").alias("arrival")
+        return F.when(F.expr(kept), F.struct(before.alias("before"), after.alias("after"), arrival))
+
+    each = F.array(change("true", none, first, "id"), change(EDITED, first, last, "id div 3"),
+                   change(DELETED, last, none, "id div 2"))
+    return edited.select(F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("x.*")
+
+
 def _cast(df: DataFrame, schema) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 

@@ -8,8 +8,8 @@ daily indicators.
 
 State (RocksDB on a cluster, see ``session.CLUSTER_SETTINGS``): T1 one row per
 (day, sector), T2 one per (day, submission), T3 one fixed-size sketch per day,
-T4 one per submission, T5 one per (day, enumerator, submission).  Row updates
-in the source are not seen by an append-only stream.
+T4 one per submission, T5 one per (day, enumerator, submission).  Answers that
+are edited or deleted need ``changes``, whose counts are tables instead of state.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from ..functions.text import full_name
 from ..params import DEFAULTS, SurveyParams
 from ..session import checkpoint_root
 from ..sources.tables import ANSWER_SCHEMA
+from .runs import RunStore, Table, last_row
 
 
 def read_answer_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
@@ -97,19 +98,12 @@ class LiveTable:
     """An indicator stream and its output: ``query`` (stop it with
     ``query.stop()``) and ``view()``, the current result, read fresh on every call."""
     query: StreamingQuery
-    spark: SparkSession
-    log: str
-    keys: list[str]
-    schema: T.StructType
+    store: RunStore
 
     def view(self) -> DataFrame:
-        """The last written row of each key.  One partial aggregation: a key
-        that was updated in many batches ships one row per task."""
-        rows = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("_batch", T.LongType())])).parquet(self.log)
-        rest = [f.name for f in self.schema.fields if f.name not in self.keys]
-        last = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r"))
-        return last.select(*[F.col(f"_r.{c}") if c in rest else F.col(c)
-                             for c in rows.columns if c != "_batch"])
+        """The last written row of each key.  The store keeps fewer than twice as
+        many rows as there are keys, however many batches there were."""
+        return self.store.read("log").drop("_batch")
 
 
 def start_live(stream: DataFrame, keys: list[str], name: str, *, every: str = "10 seconds",
@@ -118,25 +112,22 @@ def start_live(stream: DataFrame, keys: list[str], name: str, *, every: str = "1
     a micro-batch at the pages' cadence, and only when new answers arrived).
 
     ``name`` under ``root`` (the shared checkpoint folder when not given) is the
-    table: ``<root>/streams/<name>/checkpoint`` and ``.../log/_batch=N``, the rows
-    each micro-batch updated.  Starting the same name again resumes from its
-    checkpoint and reads only new files.  A batch that is retried replaces its own
-    folder (dynamic partition overwrite)."""
+    table: ``<root>/streams/<name>/checkpoint`` and ``.../store``, a ``RunStore`` of the
+    rows that each micro-batch updated.  Starting the same name again resumes
+    from its checkpoint and reads only new files.  A batch that is retried counts once."""
     spark = stream.sparkSession
     base = f"{root or checkpoint_root(spark)}/streams/{name}"
-    log, schema = f"{base}/log", T.StructType(list(stream.schema.fields))
-    empty = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("_batch", T.LongType())]))
-    empty.write.mode("append").partitionBy("_batch").parquet(log)  # the folder exists before the first batch
+    log = Table(T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())]), keys, last_row(keys))
 
     def write(batch: DataFrame, batch_id: int):
-        (batch.withColumn("_batch", F.lit(batch_id).cast("bigint"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("_batch").parquet(log))
+        own = RunStore(batch.sparkSession, f"{base}/store", {"log": log})
+        if not own.has(batch_id):
+            own.commit(batch_id, {"log": own.write("log", batch.withColumn("_batch", F.lit(batch_id)))})
 
     q = (stream.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", f"{base}/checkpoint").trigger(**(trigger or {"processingTime": every}))
          .queryName(f"{name}_{uuid.uuid4().hex[:8]}").start())
-    return LiveTable(q, spark, log, keys, schema)
+    return LiveTable(q, RunStore(spark, f"{base}/store", {"log": log}))
 
 
 def run_to_table(stream: DataFrame, keys: list[str], name: str, *, root: str | None = None) -> DataFrame:

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..params import DEFAULTS
 from ..session import checkpoint_root
-from ..sources.bridge import (CUSTOMER_SCHEMA, EVENTS_SCHEMA, answers_from_events, bridge_tables, duckdb_cte,
-                              users_from_customer)
-from . import monitor
+from ..sources.bridge import (CUSTOMER_SCHEMA, EVENTS_SCHEMA, answers_from_events, bridge_tables,
+                              changes_from_answers, corrected_cte, duckdb_cte, users_from_customer)
+from . import changes, monitor
 
 #: Files that arrive one after the other, each with days from the whole period.
 ARRIVALS = 5
@@ -70,12 +70,43 @@ def stream_enumerators_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
                 lambda a: monitor.enumerators_daily(a, users, DEFAULTS))
 
 
+def _run_changes(spark: SparkSession, sf_dir: str, name: str, indicator: changes.Indicator) -> DataFrame:
+    """The bridge's change feed in ARRIVALS files, one micro-batch each."""
+    root = f"{checkpoint_root(spark)}/replay-{uuid.uuid4().hex}"
+    feed = changes_from_answers(bridge_tables(spark, sf_dir).answers, ARRIVALS)
+    feed.write.partitionBy("arrival").parquet(f"{root}/feed")
+    files = len(spark.read.parquet(f"{root}/feed").inputFiles())
+    stream = changes.read_change_stream(spark, f"{root}/feed/*", max(1, files // ARRIVALS))
+    return changes.run_changes(stream, indicator, name, root=root)
+
+
+def stream_sector_daily_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run_changes(spark, sf_dir, "sector_daily", changes.sector_daily())
+
+
+def stream_submissions_daily_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run_changes(spark, sf_dir, "submissions_daily", changes.submissions_daily())
+
+
+def stream_enumerators_daily_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = users_from_customer(spark.read.schema(CUSTOMER_SCHEMA).parquet(f"{sf_dir}/customer.parquet"))
+    return _run_changes(spark, sf_dir, "enumerators_daily", changes.enumerators_daily(users))
+
+
+def stream_latest_answer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run_changes(spark, sf_dir, "latest_answer", changes.latest_answer())
+
+
 STREAM_QUERIES = {
     "stream_sector_daily": stream_sector_daily,
     "stream_submissions_daily": stream_submissions_daily,
     "stream_households_daily_approx": stream_households_daily_approx,
     "stream_latest_answer": stream_latest_answer,
     "stream_enumerators_daily": stream_enumerators_daily,
+    "stream_sector_daily_changes": stream_sector_daily_changes,
+    "stream_submissions_daily_changes": stream_submissions_daily_changes,
+    "stream_enumerators_daily_changes": stream_enumerators_daily_changes,
+    "stream_latest_answer_changes": stream_latest_answer_changes,
 }
 
 _S = "(18, 30, 31)"
@@ -99,3 +130,7 @@ STREAM_ORACLE = {
         "SELECT per.*, (SELECT coalesce(first_name, '') || ' ' || coalesce(last_name, '') FROM auth_user u WHERE u.id = per.user_id) "
         "AS nombre_completo FROM per WHERE EXISTS (FROM auth_user u WHERE u.id = per.user_id)",
 }
+
+# over the corrected survey the batch SQL is the same
+STREAM_ORACLE |= {f"{k}_changes": STREAM_ORACLE[k].replace(duckdb_cte(), corrected_cte())
+                  for k in ("stream_sector_daily", "stream_submissions_daily", "stream_enumerators_daily", "stream_latest_answer")}
