@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..params import DEFAULTS
 from ..sources.bridge import AS_OF, RANGE_END, RANGE_START, bridge_tables
 from ..streaming.registry import STREAM_ORACLE, STREAM_QUERIES
+from .daily import DAILY_ORACLE, DAILY_QUERIES
 from .oracle import ORACLE
 from .queries import BATCH_QUERIES
 
@@ -20,8 +21,8 @@ def _run_batch(key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict:
-    return {k: partial(_run_batch, k) for k in BATCH_QUERIES} | STREAM_QUERIES
+    return {k: partial(_run_batch, k) for k in BATCH_QUERIES} | DAILY_QUERIES | STREAM_QUERIES
 
 
 def all_oracle_sql() -> dict[str, str]:
-    return ORACLE | STREAM_ORACLE
+    return ORACLE | DAILY_ORACLE | STREAM_ORACLE

@@ -1,0 +1,128 @@
+"""Daily state: range reports from the days' bitmaps, counts and sketches."""
+
+import datetime as dt
+import random
+import re
+import tempfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from fieldpulse.operators import daily
+from fieldpulse.plans import queries as Q
+from fieldpulse.sources.tables import read_answer_table, write_answer_table
+from survey_rows import D, ts
+
+HOME = '{"value": " %s "}'
+
+
+def _rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def _state(t, days=None, path=None):
+    path = path or tempfile.mkdtemp(prefix="fieldpulse-daily-")
+    daily.update_daily_state(t.answers, path, days)
+    return daily.read_daily_state(t.answers.sparkSession, path), path
+
+
+def _answers():
+    """Submissions that several days, enumerators and surveys share, ids at the bitmaps' edges."""
+    rng, out = random.Random(11), []
+    subs = [-70000, -1, 0, 1, 32767, 32768, 32769, 65536, 10 ** 12, 10 ** 12 + 1, None, *range(200, 230)]
+    for i in range(900):
+        q = rng.choice([477, 863, 614, 615, 55])
+        data = HOME % rng.randrange(40) if q in (614, 615) else rng.choice(['{"value": "A"}', '{"value": null}', "{}", '{"value": "B"}'])
+        when = None if i % 90 == 0 else ts(rng.randrange(-12, 3), h=rng.randrange(24))
+        out.append((i, rng.choice([18, 30, 31, 99, None]), rng.choice(subs), rng.choice([1, 2, 3, 9, None]), q, data, when))
+    return out
+
+
+@pytest.fixture(scope="module")
+def tables(make):
+    return make.tables(_answers(), submissions=[(1, 18, 1, ts())],
+                       users=[(1, "u1", "A", None), (2, "u2", None, None), (3, "u3", "C", "D"), (4, "u4", "E", "F")])
+
+
+RANGES = [(-12, 3), (-5, 0), (0, 0), (-40, -13), (3, -3)]
+
+
+@pytest.mark.parametrize("first,last", RANGES)
+def test_ranges_equal_the_reports_over_answers(tables, first, last):
+    state, _ = _state(tables)
+    start, end = D + dt.timedelta(first), D + dt.timedelta(last)
+    assert _rows(daily.enumerators_range(state, tables.users, start, end)) == \
+        _rows(Q.enumerators_range(tables, start=start, end=end))
+    inside = tables.answers.where(F.to_date("created_at").between(F.lit(start), F.lit(end)))
+    t = Q.Tables(inside, tables.submissions, tables.users)
+    assert _rows(daily.submissions_range(state, start, end)) == _rows(Q.submissions_all(t))
+    assert _rows(daily.sectors_range(state, start, end)) == _rows(Q.sectors_all(t))
+    exact, got = Q.households_all(t).first()[0], daily.households_range(state, start, end).first()
+    assert abs(got.estimate - exact) <= max(1, 3 * got.error)
+
+
+def test_both_bounds_are_required(tables):
+    state, _ = _state(tables)
+    for start, end in ((None, D), (D, None), ("", D)):
+        with pytest.raises(ValueError):
+            daily.enumerators_range(state, tables.users, start, end)
+
+
+def test_reads_the_days_of_the_range_and_no_answers(spark, tables):
+    state, path = _state(tables)
+    report = daily.enumerators_range(state, tables.users, D - dt.timedelta(5), D)
+    files = report.inputFiles()
+    assert files and all(f"{path}/submissions/day=" in f for f in files)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*day#\d+ >= ", plan) and "get_json_object" not in plan
+    assert "Python" not in plan
+
+
+def test_days_are_replaced(spark, make, tables):
+    """Late, edited and deleted answers: the touched days are written again, from a day-partitioned table."""
+    state, path = _state(tables)
+    late = _answers()
+    moved = [r for r in late if r[6] is None or r[6].date() != D]                      # a day loses all its answers
+    moved += [(5000, 18, 77, 4, 477, '{"value": "Z"}', ts(-60)), (5001, 18, 78, 4, 614, HOME % "new", ts(-3))]
+    folder = tempfile.mkdtemp(prefix="fieldpulse-answers-")
+    write_answer_table(make.tables(moved, users=[(1, "u", "F", "L")]).answers, folder)
+    t = read_answer_table(spark, folder, tables.submissions, tables.users)
+    daily.update_daily_state(t.answers, path, [D, str(D - dt.timedelta(60)), D - dt.timedelta(3)])
+    daily.update_daily_state(t.answers, path, [])
+    state = daily.read_daily_state(spark, path)
+    start, end = D - dt.timedelta(60), D + dt.timedelta(3)
+    assert _rows(daily.enumerators_range(state, t.users, start, end)) == _rows(Q.enumerators_range(t, start=start, end=end))
+    assert _rows(daily.sectors_range(state, start, end)) == \
+        _rows(Q.sectors_all(Q.Tables(t.answers.where("created_at is not null"), t.submissions, t.users)))
+    assert daily.submissions_range(state, D, D).first()[0] == 0
+    assert daily.households_range(state, D, D).first().estimate == 0
+
+
+def test_update_reads_only_the_given_days(spark, tables):
+    folder = tempfile.mkdtemp(prefix="fieldpulse-answers-")
+    write_answer_table(tables.answers, folder)
+    t = read_answer_table(spark, folder, tables.submissions, tables.users)
+    rows = daily.where_range(t.answers, D, D).where(F.to_date("created_at").isin([D]))
+    plan = daily.daily_frames(rows)["submissions"]._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*created_date", plan)
+
+
+def test_sketches_of_many_households(make, spark):
+    """40,000 households over four days, half of each day's also on the next."""
+    homes = spark.range(100_000).selectExpr(
+        "id", "18 AS survey_id", "id AS survey_user_id", "1L AS user_id", "614L AS survey_question_id",
+        "concat('{\"value\": \"h', cast(id div 2500 * 1000 + id % 2500 as string), '\"}') AS data",
+        f"cast(date_add(date'{D}', cast(id div 25000 as int)) as timestamp_ntz) AS created_at")
+    exact = homes.select("data", F.to_date("created_at").alias("day")).distinct()
+    state, _ = _state(Q.Tables(homes, homes, homes))
+    day = lambda n: D + dt.timedelta(n)
+    got = daily.households_range(state, day(0), day(3)).first()
+    n = exact.select("data").distinct().count()
+    assert n > 40_000 and abs(got.estimate - n) <= 3 * got.error and got.error < 0.01 * n
+    s = daily.households_shared(state, (day(0), day(1)), (day(1), day(2))).first()
+    a = {r.data for r in exact.where(F.col("day") <= F.lit(day(1))).collect()}
+    b = {r.data for r in exact.where(F.col("day").between(F.lit(day(1)), F.lit(day(2)))).collect()}
+    for estimate, truth in ((s.first, a), (s.second, b), (s.shared, a & b), (s.first_only, a - b)):
+        assert abs(estimate - len(truth)) <= 3 * s.error < 0.05 * len(a)
+    none = daily.households_shared(state, (day(0), day(0)), (day(9), day(9))).first()
+    assert none.second == none.shared == 0 and none.first == none.first_only > 0
