@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.fields import field
 from ..functions.text import full_name, joined_name
+from .order import numbered
 
 
 def count_non_null(df: DataFrame, col: str, alias: str) -> DataFrame:
@@ -80,9 +80,8 @@ def rollup_distinct(df: DataFrame, key: Column, value: str, label: str,
 
 
 def ranked(df: DataFrame, *order) -> DataFrame:
-    """Add ``rank``, the place in the given order.  The numbering runs in one
-    task, so it is for aggregated frames (a row per enumerator or sector)."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    """Add ``rank``, the place in the given order, numbered range by range."""
+    return numbered(df, *order)
 
 
 def answer_kpis(answers: DataFrame, household_qids, sector_qids) -> DataFrame:

@@ -1,10 +1,11 @@
 """Payloads of the pages as JSON text: the dashboards' KPIs with their lists, and
 the single-list answers (``to_json`` keeping NULL fields).
 
-A payload is one text, so its lists are bounded: at most ``size`` entries, the
-first in the list's order, taken by a top-k per task.  The list frames
-themselves (``sectors_*``, ``enumerators_*``) hold every entry and stay
-distributed."""
+A payload is one text, so a list inside it holds at most ``size`` entries, the first
+in the list's order, taken by a top-k per task.  A longer list is said to be so:
+the text then also has the number of its entries and pages (``entradas``,
+``paginas``), and ``list_pages`` gives every page.  The list frames themselves
+(``sectors_*``, ``enumerators_*``) hold every entry and stay distributed."""
 
 from __future__ import annotations
 
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .order import numbered
+
 
 def _json(*cols) -> Column:
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
@@ -25,23 +28,40 @@ def bounded_list(df: DataFrame, columns: list[str], order: list[Column], size: i
     return F.coalesce(rows.select(packed).scalar(), F.array())
 
 
+def _extent(df: DataFrame, columns: list[str], size: int) -> Column:
+    """(entradas, paginas) of a list; every column is counted, so that the aggregation below is the list's own."""
+    n = df.agg(F.count(F.struct(*columns)).alias("n")).scalar()
+    return F.struct(n.alias("entradas"), F.ceil(n / size).cast("bigint").alias("paginas"))
+
+
+def _text(size: int, extents: dict[str, Column], *cols) -> Column:
+    """The payload's text, with the extents of lists that do not fit."""
+    longer = F.lit(False)
+    for x in extents.values():
+        longer = longer | (x["entradas"] > size)
+    return F.when(longer, _json(*cols, *[x.alias(name) for name, x in extents.items()])).otherwise(_json(*cols))
+
+
 def dashboard_payload(kpis: DataFrame, sectors: DataFrame, enumerators: DataFrame, id_name: str, size: int,
                       total: DataFrame | None = None) -> DataFrame:
     """One row: the KPIs and the JSON payload.  ``kpis`` is the one-pass KPI row;
     ``total`` replaces its submissions count where the page counts them
-    elsewhere.  Enumerators by total DESC then id, sectors by name, NULL first."""
+    elsewhere.  Enumerators by total DESC then id, sectors by name, NULL first.
+    If a list is longer than ``size`` the text has both lists' extents."""
     k = kpis.select(F.struct("total_encuestas", "total_viviendas", "total_sectores")).scalar()
     n = k.getField("total_encuestas") if total is None else total.select("total_encuestas").scalar()
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
-    sect = bounded_list(sectors, ["sector", "total"], [F.col("sector").asc_nulls_first(), F.col("total")], size)
-    cens = bounded_list(enumerators, [id_name, "nombre_completo", "total_encuestas"],
-                        [F.desc("total_encuestas"), F.col(id_name)], size)
+    sector_columns, enumerator_columns = ["sector", "total"], [id_name, "nombre_completo", "total_encuestas"]
+    sect = bounded_list(sectors, sector_columns, [F.col("sector").asc_nulls_first(), F.col("total")], size)
+    cens = bounded_list(enumerators, enumerator_columns, [F.desc("total_encuestas"), F.col(id_name)], size)
     row = kpis.sparkSession.range(1).select(
         F.struct(zero(n).alias("total_encuestas"), zero(k.getField("total_viviendas")).alias("total_viviendas"),
                  zero(k.getField("total_sectores")).alias("total_sectores")).alias("kpis"),
-        cens.alias("censistas"), sect.alias("sectores"), cens.alias("convenciones"))
-    return row.select("kpis.total_encuestas", "kpis.total_viviendas", "kpis.total_sectores",
-                      _json("kpis", "censistas", "sectores", "convenciones").alias("payload"))
+        cens.alias("censistas"), sect.alias("sectores"), cens.alias("convenciones"),
+        _extent(sectors, sector_columns, size).alias("_s"), _extent(enumerators, enumerator_columns, size).alias("_e"))
+    text = _text(size, {"lista_sectores": F.col("_s"), "lista_censistas": F.col("_e")},
+                 "kpis", "censistas", "sectores", "convenciones")
+    return row.select("kpis.total_encuestas", "kpis.total_viviendas", "kpis.total_sectores", text.alias("payload"))
 
 
 def value_payload(df: DataFrame, **constants) -> DataFrame:
@@ -50,7 +70,26 @@ def value_payload(df: DataFrame, **constants) -> DataFrame:
 
 
 def list_payload(df: DataFrame, name: str, columns: list[str], order: list[Column], size: int, **constants) -> DataFrame:
-    """One row with ``{constants..., name: [rows]}`` (a report, the users of the day, the sectors of the day)."""
+    """One row with ``{constants..., name: [rows]}`` (a report, the users of the
+    day, the sectors of the day), and the list's extent if it is longer than ``size``."""
     rows = bounded_list(df, columns, order, size).alias(name)
-    row = df.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in constants.items()], rows)
-    return row.select(_json(*constants, name).alias("payload"))
+    fixed = [F.lit(v).alias(k) for k, v in constants.items()]
+    row = df.sparkSession.range(1).select(*fixed, rows, _extent(df, columns, size).alias("_x"))
+    return row.select(_text(size, {"lista": F.col("_x")}, *constants, name).alias("payload"))
+
+
+def list_pages(df: DataFrame, name: str, columns: list[str], order: list[Column], size: int, **constants) -> DataFrame:
+    """Every page of a list: (pagina, paginas, entradas, payload), ``size`` entries a
+    page and the rest in the last one.  Entries are numbered over ranges of the
+    order and a page is gathered by its number, so no task holds more than its
+    pages.  An empty list has one empty page."""
+    placed = numbered(df.select(*columns), *order, name="_rank")
+    page = F.floor((F.col("_rank") - 1) / size).cast("bigint") + 1
+    packed = F.transform(F.sort_array(F.collect_list(F.struct("_rank", F.struct(*columns).alias("r")))), lambda x: x["r"])
+    pages = placed.groupBy(page.alias("pagina")).agg(packed.alias(name))
+    pages = df.sparkSession.range(1).select(F.lit(1).cast("bigint").alias("pagina")).join(pages, "pagina", "full")
+    entries = F.coalesce(placed.agg(F.max("_rank")).scalar(), F.lit(0)).cast("bigint")
+    rows = F.coalesce(name, F.array().cast(pages.schema[name].dataType))
+    fixed = [F.lit(v).alias(k) for k, v in constants.items()]
+    return pages.select("pagina", F.greatest(F.lit(1), F.ceil(entries / size)).cast("bigint").alias("paginas"),
+                        entries.alias("entradas"), _json(*fixed, rows.alias(name)).alias("payload"))

@@ -51,8 +51,11 @@ class SurveyParams:
     cells_per_degree: int = 100
     zone: str = ZONE
     preview_size: int = PREVIEW_SIZE
-    # entries of a list inside a payload text; the list frames hold all of them
+    # entries of a list inside a payload text, which tells if there are more;
+    # the list frames and the pages hold all of them
     payload_list: int = 10_000
+    # entries of a page of a list
+    page_size: int = 20
 
     def __post_init__(self):
         if self.on_bad not in ("fail", "null"):

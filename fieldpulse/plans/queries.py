@@ -15,7 +15,7 @@ from ..functions.text import digits_only, to_int
 from ..operators import geo, kpis
 from ..operators.flatten import export_flat
 from ..operators.latest import latest_per_key
-from ..operators.payload import dashboard_payload, list_payload, value_payload
+from ..operators.payload import dashboard_payload, list_pages, list_payload, value_payload
 from ..operators.summary import submission_summary as _summary
 from ..operators.summary import submission_wide as _wide
 from ..params import DEFAULTS, HOUSEHOLD_PAYLOAD_QID, SurveyParams
@@ -92,6 +92,18 @@ def enumerators_all_ranked(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -
     return kpis.ranked(enumerators_all(t, params=params), F.desc("total_encuestas"), "user_id")
 
 
+def enumerators_all_pages(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
+    """Every page of the all-time enumerators, ``params.page_size`` entries each."""
+    rows = enumerators_all(t, params=params)
+    return list_pages(rows, "censistas", rows.columns, [F.desc("total_encuestas"), F.col("user_id")], params.page_size)
+
+
+def sectors_all_pages(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
+    """Every page of the all-time sectors."""
+    rows = sectors_all(t, params=params)
+    return list_pages(rows, "sectores", rows.columns, [F.col("sector").asc_nulls_first()], params.page_size)
+
+
 # ------------------------------------------------------------------ report by date range
 
 def enumerators_range(t: Tables, *, start=None, end=None, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
@@ -291,6 +303,8 @@ BATCH_QUERIES = {
     "enumerators_all": enumerators_all,
     "dashboard_all": dashboard_all,
     "enumerators_all_ranked": enumerators_all_ranked,
+    "enumerators_all_pages": enumerators_all_pages,
+    "sectors_all_pages": sectors_all_pages,
     "range_payload": range_payload,
     "enumerators_range": enumerators_range,
     "export_all": export_all,

@@ -1,0 +1,94 @@
+"""Long lists: numbered over ranges, in pages, and payloads that tell when they hold a part."""
+
+import dataclasses
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from fieldpulse.operators import kpis, payload
+from fieldpulse.operators.order import numbered
+from fieldpulse.plans import queries as Q
+from survey_rows import D, ts
+
+
+@pytest.fixture(scope="module")
+def tables(make):
+    """47 enumerators with 1 to 4 submissions, 23 sectors and the NULL sector."""
+    rng, rows = random.Random(2), []
+    for u in range(1, 48):
+        for k in range(rng.randrange(1, 5)):
+            n = len(rows)
+            data = '{"value": null}' if n % 24 == 0 else json.dumps({"value": f"S{n % 24:02}"})
+            rows.append((n, 18, 1000 * u + k, u, 477, data, ts()))
+    return make.tables(rows)
+
+
+def _order(rows):
+    return sorted(rows, key=lambda r: (-r[2], r[0]))
+
+
+@pytest.fixture(scope="module")
+def enumerators(tables):
+    return _order(tuple(r) for r in Q.enumerators_all(tables).collect())
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 5000])
+def test_numbered(spark, n):
+    df = spark.range(n).select(((F.col("id") * 7919) % 1009).alias("v"), "id").repartition(6)
+    got = [(r.v, r.id, r["rank"]) for r in numbered(df, F.desc("v"), "id").collect()]
+    assert sorted(got, key=lambda r: r[2]) == [(v, i, k) for k, (v, i) in enumerate(
+        sorted((((i * 7919) % 1009, i) for i in range(n)), key=lambda r: (-r[0], r[1])), 1)]
+
+
+def test_numbered_with_nulls_and_ties(spark):
+    df = spark.createDataFrame([(None,)] * 40 + [(1,)] * 200 + [(2,)] * 3, "v int").repartition(5)
+    got = sorted((r["rank"], r.v) for r in numbered(df, F.asc_nulls_first("v")).collect())
+    assert [r for r, _ in got] == list(range(1, 244)) and [v for _, v in got] == [None] * 40 + [1] * 200 + [2] * 3
+
+
+def test_no_task_numbers_all_rows(spark):
+    ranks = numbered(spark.range(20_000).repartition(4), "id")
+    plan = ranks._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [row_number()" in line]
+    assert windows and all("_range" in w.split("row_number()")[1] for w in windows)
+    assert ranks.agg(F.max("rank"), F.count_distinct("rank")).first()[:] == (20_000, 20_000)
+
+
+def test_ranked_keys(tables, enumerators):
+    got = sorted((r["rank"], r.user_id) for r in Q.enumerators_all_ranked(tables).collect())
+    assert got == [(k, r[0]) for k, r in enumerate(enumerators, 1)]
+    rollup = Q.sectors_rollup_ranked(tables, as_of=D).orderBy("rank").collect()
+    assert [(r.sector, r.level) for r in rollup] == sorted((r.sector, r.level) for r in rollup)
+
+
+@pytest.mark.parametrize("size", [1, 10, 47, 48, 1000])
+def test_pages_hold_every_entry(tables, enumerators, size):
+    p = dataclasses.replace(Q.DEFAULTS, page_size=size)
+    pages = Q.enumerators_all_pages(tables, params=p).orderBy("pagina").collect()
+    assert [r.pagina for r in pages] == list(range(1, -(-47 // size) + 1))
+    assert {(r.paginas, r.entradas) for r in pages} == {(len(pages), 47)}
+    lists = [json.loads(r.payload)["censistas"] for r in pages]
+    assert [len(x) for x in lists[:-1]] == [size] * (len(pages) - 1)
+    assert [(e["user_id"], e["nombre_completo"], e["total_encuestas"]) for x in lists for e in x] == enumerators
+
+
+def test_page_of_an_empty_list(tables):
+    empty = kpis.group_count(tables.answers.where("false"), F.col("data"), "sector")
+    got = payload.list_pages(empty, "sectores", ["sector", "total"], [F.col("sector")], 10, pregunta_id=477).collect()
+    assert [tuple(r) for r in got] == [(1, 1, 0, '{"pregunta_id":477,"sectores":[]}')]
+
+
+def test_payload_tells_that_it_holds_a_part(tables, enumerators):
+    whole = json.loads(Q.dashboard_all(tables).first().payload)
+    assert set(whole) == {"kpis", "censistas", "sectores", "convenciones"}
+    assert len(whole["censistas"]) == 47 and len(whole["sectores"]) == 24
+    p = dataclasses.replace(Q.DEFAULTS, payload_list=30)
+    part = json.loads(Q.dashboard_all(tables, params=p).first().payload)
+    assert part["kpis"] == whole["kpis"] and part["censistas"] == whole["censistas"][:30] and part["sectores"] == whole["sectores"]
+    assert part["lista_censistas"] == {"entradas": 47, "paginas": 2} and part["lista_sectores"] == {"entradas": 24, "paginas": 1}
+    one = json.loads(Q.range_payload(tables, start=D, end=D, params=p).first().payload)
+    assert len(one["resultados"]) == 30 and one["lista"] == {"entradas": 47, "paginas": 2}
+    exact = dataclasses.replace(Q.DEFAULTS, payload_list=47)
+    assert set(json.loads(Q.range_payload(tables, start=D, end=D, params=exact).first().payload)) == {"resultados"}
