@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from ..sources.tables import ANSWER_COLUMNS
 
 LEVELS = 8
-#: Columns an export may have; more paths (ids or dates as keys) are an error, not a cut.
+#: Paths that are looked for at plan time; more (ids or dates as keys) are an error, and
+#: ``profile`` keeps and exports layouts of any width.
 MAX_PATHS = 10_000
 
 
@@ -30,16 +31,20 @@ def _as_map(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def _row_paths(v: Column, prefix: Column, levels: int) -> Column:
-    """array<struct<path, rest>>: leaf paths under ``v``; ``rest`` is the text of an
-    object below the last level."""
-    def leaf(path, rest=None):
-        return F.array(F.struct(path.alias("path"), (F.lit(None).cast("string") if rest is None else rest).alias("rest")))
+def row_paths(v: Column, prefix: Column, levels: int, kinds: bool = True) -> Column:
+    """array<struct<path, rest[, kind]>>: leaf paths under ``v``; ``rest`` is the
+    text of an object below the last level, ``kind`` the name of a leaf's type."""
+    none = F.lit(None).cast("string")
+
+    def leaf(path, value, rest=none):
+        kind = [F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0).alias("kind")] if kinds else []
+        return F.array(F.struct(path.alias("path"), rest.alias("rest"), *kind))
 
     def entry(e):
         path = F.concat(prefix, F.array(e["key"]))
-        deeper = leaf(path, F.to_json(e["value"])) if levels <= 1 else _row_paths(e["value"], path, levels - 1)
-        return F.when(_as_map(e["value"]).isNotNull(), deeper).otherwise(leaf(path))
+        deeper = (leaf(path, e["value"], F.to_json(e["value"])) if levels <= 1
+                  else row_paths(e["value"], path, levels - 1, kinds))
+        return F.when(_as_map(e["value"]).isNotNull(), deeper).otherwise(leaf(path, e["value"]))
     return F.flatten(F.transform(F.map_entries(_as_map(v)), entry))
 
 
@@ -48,7 +53,7 @@ def leaf_paths(df: DataFrame, col: str = "data", levels: int = LEVELS, max_paths
     rows = df.select(F.array().cast("array<string>").alias("prefix"), F.col(col).alias("text"))
     found: set[tuple[str, ...]] = set()
     while True:
-        paths = _row_paths(F.try_parse_json("text"), F.col("prefix"), levels)
+        paths = row_paths(F.try_parse_json("text"), F.col("prefix"), levels, kinds=False)
         rows = rows.select(F.explode(F.array_distinct(paths)).alias("p")).select("p.*")
         more = (rows.select("path", F.col("rest").isNotNull().alias("deeper")).distinct()
                 .limit(2 * max_paths + 1).collect())
@@ -78,12 +83,16 @@ def column_names(paths, prefix: str = "data.") -> list[str]:
 
 
 def flatten_json(df: DataFrame, paths, col: str = "data", prefix: str = "data.",
-                 keep: list[str] | None = None) -> DataFrame:
+                 keep: list[str] | None = None, layout=None) -> DataFrame:
     """Answers with ``col`` replaced by one text column per leaf path; the prefix
-    keeps a JSON key such as ``id`` from clashing with a table column."""
+    keeps a JSON key such as ``id`` from clashing with a table column.  ``layout``
+    has all paths where ``paths`` are a part of them."""
     keep = [c for c in (keep or ANSWER_COLUMNS) if c != col]
     paths = [tuple(p) for p in paths]
-    inner = sorted({p[:i] for p in paths for i in range(1, len(p))}, key=len)  # objects on the way to a leaf
+    layout = paths if layout is None else [tuple(p) for p in layout]
+    objects = {p[:i] for p in layout for i in range(1, len(p))}
+    inner = sorted({p[:i] for p in paths for i in range(1, len(p))} | objects.intersection(paths), key=len)  # on the way to a leaf
+    names = dict(zip(layout, column_names(layout, prefix), strict=True))
     out = df.select(*keep, F.col(col).alias("_j"))
     out = out.select(*keep, _text_map(F.col("_j")).alias("_m"),
                      *([_variant_map(F.col("_j")).alias("_v")] if inner else []))
@@ -95,11 +104,11 @@ def flatten_json(df: DataFrame, paths, col: str = "data", prefix: str = "data.",
         out = out.withColumn(maps[p], F.when(F.col(kinds[p]).isNotNull(),
                                              _text_map(F.try_element_at(F.col(maps[p[:-1]]), F.lit(p[-1])))))
     cols = [F.col(c) for c in keep]
-    for path, name in zip(paths, column_names(paths, prefix), strict=True):
+    for path in paths:
         text = F.try_element_at(F.col(maps[path[:-1]]), F.lit(path[-1]))
         if path in kinds:  # an object in some rows
             text = F.when(F.col(kinds[path]).isNull(), text)
-        cols.append(text.alias(name))
+        cols.append(text.alias(names[path]))
     return out.select(*cols)
 
 

@@ -26,6 +26,8 @@ CLOSE_ZOOM = 14                      # zoom when every point is within 0.05
 HOUSEHOLD_PAYLOAD_QID = 122          # question id that the households answer states
 NO_SECTOR = "SIN SECTOR"             # label of a missing sector and of the total
 HOUSEHOLD_RADIUS = 5                 # marker radius of the household layer
+HEAT_RADIUS = 12                     # pixels of a heat point, and of its blurred edge
+HEAT_BLUR = 8
 PERSON_BASE_RADIUS = 3               # person layer radius = 3 + persons
 ZONE = "America/Bogota"               # the project's clock: "today" is its date
 PREVIEW_SIZE = 50                     # rows of the consolidated page's preview
@@ -54,6 +56,10 @@ class SurveyParams:
     # entries of a list inside a payload text, which tells if there are more;
     # the list frames and the pages hold all of them
     payload_list: int = 10_000
+    # zooms of the heat layer: those that the page opens with
+    heat_zooms: tuple[int, ...] = (DEFAULT_ZOOM, 11, 13, CLOSE_ZOOM)
+    heat_radius: int = HEAT_RADIUS
+    heat_blur: int = HEAT_BLUR
     # entries of a page of a list
     page_size: int = 20
 

@@ -1,5 +1,5 @@
-"""Driver keys over the daily state: it is built from the bridge's answers, day by
-day partitions, and the reports read it alone."""
+"""Driver keys over kept daily tables (state of the reports, path profile): they are
+built from the bridge's answers, and the reports read them alone."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import daily
+from ..operators import daily, profile
+from ..operators.flatten import export_flat
 from ..params import DEFAULTS
 from ..session import checkpoint_root
 from ..sources.bridge import RANGE_END, RANGE_START, bridge_tables, duckdb_cte
@@ -73,8 +74,17 @@ def households_shared_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(*[f"n_{n}" for n in names], *[_within(n, f"n_{n}").alias(f"{n}_within_error") for n in names])
 
 
+def export_all_profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole export, its columns taken from the kept path profile."""
+    t = bridge_tables(spark, sf_dir)
+    answers = t.answers.where(F.col("survey_id").isin(*DEFAULTS.survey_ids))
+    path = f"{checkpoint_root(spark)}/paths-{uuid.uuid4().hex}"
+    profile.update_path_profile(answers, path)
+    return export_flat(answers, profile.known_paths(profile.read_path_profile(spark, path)))
+
+
 DAILY_QUERIES = {f.__name__: f for f in (enumerators_range_bitmap, submissions_range_bitmap, sectors_range_state,
-                                         households_range_sketch, households_shared_sketch)}
+                                         households_range_sketch, households_shared_sketch, export_all_profiled)}
 
 
 def _between(start: str, end: str) -> str:
@@ -84,6 +94,7 @@ def _between(start: str, end: str) -> str:
 _RANGE = _between(RANGE_START, RANGE_END)
 _HOME = f"SELECT DISTINCT trim(data->>'$.value') AS home FROM survey_answer WHERE survey_question_id IN {oracle.HOMES} AND "
 DAILY_ORACLE = {
+    "export_all_profiled": oracle.ORACLE["export_all"],
     "enumerators_range_bitmap": oracle.ORACLE["enumerators_range"],
     "submissions_range_bitmap": duckdb_cte() +
         f"SELECT count(DISTINCT survey_user_id)::BIGINT AS total_encuestas FROM survey_answer WHERE {_RANGE}",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.filters import in_ids, where_day, where_range
 from ..functions.fields import field
 from ..functions.text import digits_only, to_int
-from ..operators import geo, kpis
+from ..operators import geo, kpis, zoom
 from ..operators.flatten import export_flat
 from ..operators.latest import latest_per_key
 from ..operators.payload import dashboard_payload, list_pages, list_payload, value_payload
@@ -256,6 +256,17 @@ def person_density_grid(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> D
     return geo.density_grid(household_person_points(t, params=params), params)
 
 
+def density_pyramid(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
+    """Household clusters of the map at every zoom."""
+    return zoom.density_pyramid(household_person_points(t, params=params))
+
+
+def heat_kernel(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
+    """The heat layer at the zooms that the page opens with."""
+    return zoom.heat_kernel(household_person_points(t, params=params), params.heat_zooms, radius=params.heat_radius,
+                            blur=params.heat_blur)
+
+
 def heat_points(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
     return geo.heat_points(household_person_points(t, params=params))
 
@@ -329,6 +340,8 @@ BATCH_QUERIES = {
     "map_zoom": map_zoom,
     "sector_polygons": sector_polygons,
     "person_density_grid": person_density_grid,
+    "density_pyramid": density_pyramid,
+    "heat_kernel": heat_kernel,
     "heat_points": heat_points,
     "geojson_features": geojson_features,
     "geojson_bounds": geojson_bounds,
