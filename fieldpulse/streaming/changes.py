@@ -72,6 +72,13 @@ def signed(changes: DataFrame) -> DataFrame:
     return each.select("x.a.*", F.col("x.sign").cast("bigint").alias("sign"))
 
 
+def inserted(answers: DataFrame) -> DataFrame:
+    """New answers as change rows, for sources that only append.  The indicators
+    then hold no state either: what ``monitor`` keeps open in Spark's state store for
+    every day, because an answer may be late, is here a row of a table."""
+    return answers.select(F.lit(None).cast(ANSWER_SCHEMA).alias("before"), F.struct(*ANSWER_COLUMNS).alias("after"))
+
+
 # --------------------------------------------------------------------------- what is kept
 
 def _schema(*fields: str) -> T.StructType:

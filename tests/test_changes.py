@@ -220,3 +220,28 @@ def test_other_survey_set(spark):
     p = dataclasses.replace(Q.DEFAULTS, survey_ids=(99,), sector_qids=(477,))
     got = changes.run_changes(_feed(spark, BATCHES), changes.sector_daily(p), "o", root=tempfile.mkdtemp())
     assert [tuple(r) for r in got.collect()] == [(D, "A", 1)]
+
+
+@pytest.mark.parametrize("name", ["sector", "submissions", "enumerators"])
+def test_appended_answers_without_state(spark, make, name):
+    """An append-only stream: an answer 60 days late corrects its day, and Spark's state store holds no row of any day."""
+    import os
+    d = tempfile.mkdtemp(prefix="fieldpulse-append-")
+    batches = [[answer(10 * b + k, 200 + 4 * b + k // 3, -b * 7, user=1 + k % 2) for k in range(8)] for b in range(5)]
+    batches.append([answer(90, 204, -60), answer(91, 205, -7, 2), answer(92, 300, None)])
+    for i, rows in enumerate(batches):
+        make.tables(rows).answers.coalesce(1).write.parquet(f"{d}/b{i}")
+        for f in os.listdir(f"{d}/b{i}"):
+            os.utime(f"{d}/b{i}/{f}", (1_700_000_000 + 100 * i,) * 2)
+    t = make.tables([r for b in batches for r in b])
+    own, batch = {"sector": (changes.sector_daily(), monitor.sector_daily(t.answers)),
+                  "submissions": (changes.submissions_daily(), monitor.submissions_daily(t.answers)),
+                  "enumerators": (changes.enumerators_daily(t.users), monitor.enumerators_daily(t.answers, t.users))}[name]
+    stream = changes.inserted(monitor.read_answer_stream(spark, f"{d}/b*", max_files_per_trigger=1))
+    live = changes.start_changes(stream, own, name, root=tempfile.mkdtemp(prefix="fieldpulse-append-out-"), trigger={"availableNow": True})
+    live.query.awaitTermination()
+    progress = [p for p in live.query.recentProgress if p["numInputRows"]]
+    assert len(progress) == 6 and not any(p["stateOperators"] for p in progress)
+    got = live.view()
+    assert _rows(got.select(*batch.columns)) == _rows(batch)
+    assert D - dt.timedelta(60) in {r.day for r in got.collect()}
