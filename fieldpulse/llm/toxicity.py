@@ -9,6 +9,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import count as count_from
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,15 @@ COVER, SUPPORT = 0.2, 3
 SLACK = 0.02
 PREFIXES = (4, 5, 6)
 Z = 2.0
+#: Rounds of covering after which the rows that are left are written.
+WRITTEN = 4
+#: Words are hashed into so many buckets for the evidence of rows without a rule.
+BUCKETS = 1 << 20
+#: Rows a bucket's share of toxic rows is shrunk by, the least evidence (a log odds ratio) that counts,
+#: how many words count, and the evidence at which the score is 63 % of what such rows can reach.
+SHRINK, LEAST, WORDS, SCALE = 2.0, 0.5, 3, 4.0
+#: Rows without a rule score below a half.
+GRADED = 0.49
 
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+(€£])(?:[ .\-_*~·]+(?:[^\W_]|[@$!|+(€£])){2,}(?![^\W_])")
@@ -232,6 +242,24 @@ def in_sketch(key: str, bits: bytes) -> bool:
     return bits[i >> 3] >> (i & 7) & 1 == 1
 
 
+def bucket_of(feature: str) -> int:
+    return xxhash.xxh64_intdigest(feature.encode("utf-8", "surrogatepass"), 42) % BUCKETS
+
+
+def by_bucket(rows: DataFrame, bucket: Column) -> np.ndarray:
+    """Sum of ``n`` per bucket: BUCKETS numbers whatever the input."""
+    out, sums = np.zeros(BUCKETS), rows.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).toArrow()
+    out[sums["b"].to_numpy()] = sums["n"].to_numpy()
+    return out
+
+
+def word_evidence(toxic: np.ndarray, clean: np.ndarray, base: float) -> np.ndarray:
+    """Log odds ratio of a row with a bucket's words, shrunk towards the base rate; 0 below LEAST."""
+    p = (toxic + SHRINK * base) / (toxic + clean + SHRINK)
+    found = np.log(p / (1 - p)) - math.log(base / (1 - base))
+    return np.where(found >= LEAST, found, 0.0).astype(np.float32)
+
+
 def sketched_features(bits: bytes) -> Callable[[tuple], tuple]:
     """What a token's readings have in the sketch."""
     names: dict[str, str] = {}
@@ -248,9 +276,10 @@ def passes(k: Column, clean: Column, base: float, level: float) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, id_col: str = "doc_id",
-          text_col: str = "text") -> dict[str, float]:
-    """Feature -> P(toxic | the feature occurs), from the labelled rows that are
-    not held out.  Labels that disagree on an id count as toxic.
+          text_col: str = "text") -> tuple[dict[str, float], np.ndarray]:
+    """Rules, feature -> P(toxic | the feature occurs), and the evidence of each
+    bucket of words, from the labelled rows that are not held out.  Labels that
+    disagree on an id count as toxic.
 
     A candidate must be too frequent among toxic rows for chance: by the Chernoff
     bound, less than one of the toxic rows' features would pass at the base rate;
@@ -258,7 +287,10 @@ def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, id_col: str =
     copies of a toxic text pass this too, so rules are taken by sequential
     covering: the most precise of the widest candidates first, then again over
     the toxic rows that have none of them, until nothing frequent is left.  Every
-    feature is tested, in Spark; only the rules reach the driver."""
+    feature is tested, in Spark; only the rules reach the driver.
+
+    Words too rare for a rule still tell rows without one apart: their shares of
+    toxic rows, by bucket, give ``word_evidence``."""
     known = (labels.where(F.col("toxic").isNotNull() & ~is_held_out("doc_id"))
              .groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic")))
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text"))
@@ -281,19 +313,40 @@ def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, id_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(n.values(), pa.int64())], ["feature", "n"])
         return run
 
+    def count_clean(able, seen):
+        """As ``count``, and "#bucket" for the words of buckets that toxic rows have."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model, memo, known = CharModel(shared.value), {}, np.frombuffer(seen.value, bool)
+            names = sketched_features(able.value)
+
+            def keep(forms):
+                buckets = {bucket_of("w:" + w) for w in all_words(forms)}
+                return names(forms) + tuple(f"#{b}" for b in buckets if known[b])
+
+            for b in batches:
+                n: Counter = Counter()
+                for t in b.column(0):
+                    n.update(set().union(*restored(t.as_py(), model, memo, keep)))
+                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(n.values(), pa.int64())], ["feature", "n"])
+        return run
+
     def counted(rows: DataFrame, only=None) -> DataFrame:
         return (rows.select("text").mapInArrow(count(only), "feature string, n bigint")
                 .groupBy("feature").agg(F.sum("n").alias("n")))
 
     size = train.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).first()
     if not 0 < size.k < size.n:
-        return {}
+        return {}, np.zeros(BUCKETS, np.float32)
     # only features of toxic rows can be rules, so the others are never shuffled
     toxic = shared_table(counted(train.where("toxic > 0")), "toxicity-features")
     base, level = size.k / size.n, math.log(max(2, toxic.count()))
     # both tests are hardest to fail without clean rows: what fails so fails with any number of them
     able = toxic.where((F.col("n") >= SUPPORT) & passes(F.col("n"), F.lit(0), base, level)).withColumnRenamed("n", "k")
-    clean = counted(train.where("toxic = 0"), sc.broadcast(sketch_bits(able, "feature")))
+    words = by_bucket(toxic.where("feature like 'w:%'"), F.pmod(F.xxhash64("feature"), F.lit(BUCKETS)))
+    clean = train.where("toxic = 0").select("text").mapInArrow(
+        count_clean(sc.broadcast(sketch_bits(able, "feature")), sc.broadcast((words > 0).tobytes())), "feature string, n bigint")
+    clean = shared_table(clean.groupBy("feature").agg(F.sum("n").alias("n")), "toxicity-clean")
+    evidence = word_evidence(words, by_bucket(clean.where("feature like '#%'"), F.expr("cast(substring(feature, 2) as int)")), base)
     tested = able.join(clean, "feature", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     weight = (F.col("k") + base) / (F.col("k") + F.col("n") + 1)
     passed = shared_table(tested.where(passes(F.col("k"), F.col("n"), base, level)).select(F.col("feature").alias("f"), weight.alias("weight")),
@@ -311,26 +364,25 @@ def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, id_col: str =
             .join(passed, "f").groupBy("row").agg(F.collect_list(F.struct("f", "weight")).alias("found")))
     left = shared_table(left.select("found"), "toxicity-rows")
     rules: dict[str, float] = {}
-    while True:
+    for turn in count_from(1):
         wide = left.select(F.explode("found").alias("x")).groupBy("x.f").agg(F.count("*").alias("n"), F.max("x.weight").alias("weight"))
         most = wide.agg(F.max("n")).first()[0] or 0
         if most < SUPPORT:
-            return rules
+            return rules, evidence
         wide = wide.where(F.col("n") >= max(SUPPORT, COVER * most))
         best = wide.agg(F.max("weight")).first()[0]
         taken = {r.f: r.weight for r in wide.where(F.col("weight") >= best - SLACK).collect()}
         rules.update(taken)
-        if len(taken) <= 200:
-            left = left.where(~F.arrays_overlap("found.f", F.array(*[F.lit(f) for f in taken])))
-        else:  # many rules at once: no literal list
-            mine = sc.broadcast(set(taken))
+        mine = sc.broadcast(set(taken))
 
-            def rest(batches, mine=mine):
-                for b in batches:
-                    keep = [mine.value.isdisjoint(x["f"] for x in row) for row in b.column(0).to_pylist()]
-                    yield b.filter(pa.array(keep, pa.bool_()))
+        def rest(batches, mine=mine):
+            for b in batches:
+                keep = [mine.value.isdisjoint(x["f"] for x in row) for row in b.column(0).to_pylist()]
+                yield b.filter(pa.array(keep, pa.bool_()))
 
-            left = shared_table(left.mapInArrow(rest, left.schema), "toxicity-rows")
+        left = left.mapInArrow(rest, left.schema)
+        if turn % WRITTEN == 0:  # the chain of filters stays short
+            left = shared_table(left, "toxicity-rows")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,8 +390,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     score = 1 - (1 - q1)(1 - q2 / 2) with the two strongest rules that different
     words of the restored text meet (of a token's readings the strongest one
-    counts); without any it is 0.  Empty and null
-    texts have no features and score 0; without labels every score is 0.
+    counts).  Without any it is below GRADED and grows with the evidence of its
+    WORDS strongest words, 0 if there is none.  Empty and null texts have no
+    features and score 0; without labels every score is 0.
     Repeated rows score alike, null ids are not held out and not learnt from;
     an empty table gives an empty result.  Only the text is read for a score."""
     counts = char_model(docs, text_col)
@@ -347,7 +400,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shared = sc.broadcast((counts, learn(docs, labels, counts, id_col, text_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, weight, memo = CharModel(shared.value[0]), shared.value[1], {}
+        model, (weight, graded), memo = CharModel(shared.value[0]), shared.value[1], {}
         starts = {f[2:2 + min(PREFIXES)] for f in weight}  # of every word that can meet a rule
 
         def evidence(word: str) -> float:
@@ -357,16 +410,22 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             return sorted(((q, w) for w in set(words) if (q := evidence(w))), reverse=True)
 
         def keep(forms):
-            """Evidence and word of the reading with the strongest two."""
-            return tuple(max(map(strongest, forms), key=lambda found: [q for q, _ in found[:2]]))
+            """Evidence and word of the reading with the strongest two, and the token's strongest bucket."""
+            rules = max(map(strongest, forms), key=lambda found: [q for q, _ in found[:2]])
+            bucket = max((bucket_of("w:" + w) for w in all_words(forms)), key=graded.__getitem__, default=None)
+            return (*rules, (float(graded[bucket]), bucket)) if bucket is not None and graded[bucket] else tuple(rules)
 
         for b in batches:
             out = []
             for t in b.column(2):
                 found = set().union(*restored(t.as_py(), model, memo, keep))
-                best = sorted((q for q, _ in found), reverse=True)[:2]
-                q1, q2 = (*best, 0.0, 0.0)[:2]
-                out.append(1.0 - (1.0 - q1) * (1.0 - q2 / 2))
+                best = sorted((q for q, w in found if isinstance(w, str)), reverse=True)[:2]
+                if best:
+                    q1, q2 = (*best, 0.0)[:2]
+                    out.append(1.0 - (1.0 - q1) * (1.0 - q2 / 2))
+                else:
+                    some = sum(sorted((e for e, _ in found), reverse=True)[:WORDS])
+                    out.append(GRADED * (1.0 - math.exp(-some / SCALE)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["doc_id", "held_out", "score"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
