@@ -28,6 +28,8 @@ SEPARATORS = " .-_*~·"
 #: Log costs of the channel: a sign for a letter, a dropped separator, a dropped repetition.
 SWAP_COST, DROP_COST, REPEAT_COST = -1.0, -0.5, -1.5
 
+#: Up to so many readings of a token of letters are scored one by one.
+FEW = 16
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 ORDER = 4
 #: Size of the language model whatever the corpus: 27^4 numbers.
@@ -50,7 +52,11 @@ SHRINK, LEAST, WORDS, SCALE = 2.0, 0.5, 3, 4.0
 GRADED = 0.49
 
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
+_NO_LETTERS = {i: None for i in range(128) if chr(i) not in _CODE}
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+(€£])(?:[ .\-_*~·]+(?:[^\W_]|[@$!|+(€£])){2,}(?![^\W_])")
+_RUN = re.compile(r"(([a-z])\2*)")
+_DOUBLE = re.compile(r"([a-z])\1")
+_PLAIN = re.compile(r"[a-z]+")
 _GAP = re.compile(r"[ .\-_*~·]{2,}")
 _SINGLE = re.compile(r"(?:([a-z])(?!\1))+")
 _EDGE = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$|+(€£]+$")
@@ -79,10 +85,15 @@ class CharModel:
         """Likeliest letters for a lattice of signs: exact Viterbi over contexts, in
         time linear in the signs.  With ``ends`` a separator may also end a word,
         which is a space in the result."""
+        signs = fold(signs)
+        if (runs := _RUN.findall(signs)) and sum(len(run) for run, _ in runs) == len(signs):
+            ways = math.prod(len(run) for run, _ in runs)
+            if ways <= FEW:
+                return self._among(runs)
         log, size = self.flat, SYMBOLS ** (ORDER - 1)
         states = {0: (0.0, None)}  # context -> score, (path before, letter)
         before = ""
-        for c in fold(signs):
+        for c in signs:
             nxt: dict[int, tuple[float, tuple | None]] = {}
             for x, code, cost in arcs_of(c, c == before, ends):
                 for ctx, (score, path) in states.items():
@@ -106,6 +117,26 @@ class CharModel:
         return "".join(reversed(out))
 
 
+    def _among(self, runs: list[tuple[str, str]]) -> str:
+        """``decode`` of letters alone: they only differ in how often each is repeated,
+        so the few paths are scored one by one."""
+        log, size = self.flat, SYMBOLS ** (ORDER - 1)
+        paths = [(0.0, 0, "")]
+        for run, c in runs:
+            code, most = _CODE[c], len(run)
+            if most == 1:
+                paths = [(score + log[at], at % size, word + c) for score, ctx, word in paths for at in (ctx * SYMBOLS + code,)]
+                continue
+            longer = []
+            for score, ctx, word in paths:
+                for kept in range(1, most + 1):
+                    at = ctx * SYMBOLS + code
+                    score, ctx, word = score + log[at], at % size, word + c
+                    longer.append((score + (most - kept) * REPEAT_COST, ctx, word))
+            paths = longer
+        return max((score + log[ctx * SYMBOLS], word) for score, ctx, word in paths)[1]
+
+
 @lru_cache(maxsize=4096)
 def arcs_of(c: str, repeated: bool, ends: bool) -> list[tuple[str, int, float]]:
     """Readings of a sign: (letter, space or nothing, its code, cost)."""
@@ -153,11 +184,14 @@ def restored(text: str, model: CharModel, memo: dict[str, tuple], keep: Callable
     for token in set(text.lower().split()):
         kept = memo.get(token)
         if kept is None:
-            core = _EDGE.sub("", token)
-            signs = fold(core)
-            forms = ((fold(core.strip("!")) if "!" in core else signs,),)
-            if disguised(signs):
-                forms += readings(signs, model)
+            core = token if token.isalnum() else _EDGE.sub("", token)
+            if _PLAIN.fullmatch(core):
+                forms = ((core,),) if _DOUBLE.search(core) is None else ((core,), (model.decode(core),))
+            else:
+                signs = fold(core)
+                forms = ((fold(core.strip("!")) if "!" in core else signs,),)
+                if disguised(signs):
+                    forms += readings(signs, model)
             if len(memo) > 500_000:  # only saves time
                 memo.clear()
             kept = memo[token] = keep(forms)
@@ -191,7 +225,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words.update(t.as_py().lower().split())
         plain: Counter = Counter()
         for w, n in words.items():
-            plain["".join(c for c in fold(w) if c in _CODE)] += n
+            plain[w.translate(_NO_LETTERS) if w.isascii() else "".join(c for c in fold(w) if c in _CODE)] += n
         plain.pop("", None)
         yield pa.RecordBatch.from_arrays([pa.array(list(plain), pa.string()), pa.array(plain.values(), pa.int64())], ["word", "n"])
 
