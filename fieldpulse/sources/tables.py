@@ -124,3 +124,41 @@ def read_answer_table(spark: SparkSession, path: str, submissions: DataFrame, us
     cols += [raw[n] for n in FIELD_NAMES if n in raw.columns]
     return Tables(raw.select(*cols, F.col("created_date").cast("date").alias("created_date")),
                   submissions, users)
+
+
+# --------------------------------------------------------------------------- co-located answers and submissions
+
+#: Suffixes of the tables that ``write_colocated`` makes.
+ANSWERS, SUBMISSIONS = "answers", "submissions"
+
+
+def write_colocated(answers: DataFrame, submissions: DataFrame, name: str, buckets: int, path: str | None = None,
+                    mode: str = "overwrite", parsed: bool = False) -> None:
+    """Catalog tables ``name_answers`` and ``name_submissions``, both dealt by the
+    submission into ``buckets`` buckets and sorted by it.
+
+    Whatever is worked out per submission (the households of the map, the latest
+    answers, the wide rows, the joins with submissions) then needs no shuffle of
+    answers: Spark reads a bucket of each table in one task.  Choose ``buckets`` so
+    that a bucket's narrow columns fit a task (some 1 GB of answers); a submission
+    is always in one bucket.  A task writes one file per bucket that it holds, so
+    the rows are dealt by the submission once, here, and appended loads
+    (``mode="append"``) add a file per bucket.  Files go under ``path`` or into the
+    warehouse."""
+    if parsed:
+        from ..functions.fields import parse_fields
+        answers = parse_fields(answers)
+    for df, kind, key in ((answers, ANSWERS, "survey_user_id"), (submissions, SUBMISSIONS, "id")):
+        w = df.repartition(buckets, key).write.mode(mode).bucketBy(buckets, key).sortBy(key)
+        if path:
+            w = w.option("path", f"{path.rstrip('/')}/{kind}")
+        w.saveAsTable(f"{name}_{kind}")
+
+
+def read_colocated(spark: SparkSession, name: str, users: DataFrame) -> Tables:
+    """The tables of ``write_colocated``, with the stored answer fields when written parsed."""
+    from ..functions.fields import FIELD_NAMES
+    raw = spark.table(f"{name}_{ANSWERS}")
+    cols = [raw[f.name].cast(f.dataType).alias(f.name) for f in ANSWER_SCHEMA.fields]
+    return Tables(raw.select(*cols, *[raw[n] for n in FIELD_NAMES if n in raw.columns]),
+                  _conform(spark.table(f"{name}_{SUBMISSIONS}"), SUBMISSION_SCHEMA), users)
