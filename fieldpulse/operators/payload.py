@@ -3,9 +3,9 @@ the single-list answers (``to_json`` keeping NULL fields).
 
 A payload is one text, so a list inside it holds at most ``size`` entries, the first
 in the list's order, taken by a top-k per task.  A longer list is said to be so:
-the text then also has the number of its entries and pages (``entradas``,
-``paginas``), and ``list_pages`` gives every page.  The list frames themselves
-(``sectors_*``, ``enumerators_*``) hold every entry and stay distributed."""
+the text then names it under ``incompletas``, and ``list_pages`` gives every page
+with the number of entries and pages.  The list frames themselves (``sectors_*``,
+``enumerators_*``) hold every entry and stay distributed."""
 
 from __future__ import annotations
 
@@ -21,25 +21,22 @@ def _json(*cols) -> Column:
 
 
 def bounded_list(df: DataFrame, columns: list[str], order: list[Column], size: int) -> Column:
-    """The first ``size`` rows in ``order`` as one array of structs, in that order."""
-    top = df.orderBy(*order).limit(size)
+    """The first ``size`` rows in ``order``, and one more if there is one, as one array
+    of structs in that order: the one more shows that the list is longer."""
+    top = df.orderBy(*order).limit(size + 1)
     rows = top.select(F.struct(*columns).alias("r"), F.row_number().over(Window.orderBy(*order)).alias("i"))
     packed = F.transform(F.sort_array(F.collect_list(F.struct("i", "r"))), lambda x: x["r"])
     return F.coalesce(rows.select(packed).scalar(), F.array())
 
 
-def _extent(df: DataFrame, columns: list[str], size: int) -> Column:
-    """(entradas, paginas) of a list; every column is counted, so that the aggregation below is the list's own."""
-    n = df.agg(F.count(F.struct(*columns)).alias("n")).scalar()
-    return F.struct(n.alias("entradas"), F.ceil(n / size).cast("bigint").alias("paginas"))
-
-
-def _text(size: int, extents: dict[str, Column], *cols) -> Column:
-    """The payload's text, with the extents of lists that do not fit."""
-    longer = F.lit(False)
-    for x in extents.values():
-        longer = longer | (x["entradas"] > size)
-    return F.when(longer, _json(*cols, *[x.alias(name) for name, x in extents.items()])).otherwise(_json(*cols))
+def _text(size: int, lists: dict[str, list[str]], *cols: str) -> Column:
+    """The payload's text: ``lists`` are columns made by ``bounded_list`` with the
+    names they have in it, cut to ``size``; those that are longer are named."""
+    parts = {name: F.slice(c, 1, size).alias(name) for c, names in lists.items() for name in names}
+    body = [parts.get(c, F.col(c)) for c in cols]
+    longer = [F.when(F.size(c) > size, F.lit(name)) for c, names in lists.items() for name in names]
+    named = F.array_compact(F.array(*longer))
+    return F.when(F.size(named) > 0, _json(*body, named.alias("incompletas"))).otherwise(_json(*body))
 
 
 def dashboard_payload(kpis: DataFrame, sectors: DataFrame, enumerators: DataFrame, id_name: str, size: int,
@@ -47,20 +44,17 @@ def dashboard_payload(kpis: DataFrame, sectors: DataFrame, enumerators: DataFram
     """One row: the KPIs and the JSON payload.  ``kpis`` is the one-pass KPI row;
     ``total`` replaces its submissions count where the page counts them
     elsewhere.  Enumerators by total DESC then id, sectors by name, NULL first.
-    If a list is longer than ``size`` the text has both lists' extents."""
+    A list that is longer than ``size`` is named under ``incompletas``."""
     k = kpis.select(F.struct("total_encuestas", "total_viviendas", "total_sectores")).scalar()
     n = k.getField("total_encuestas") if total is None else total.select("total_encuestas").scalar()
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
-    sector_columns, enumerator_columns = ["sector", "total"], [id_name, "nombre_completo", "total_encuestas"]
-    sect = bounded_list(sectors, sector_columns, [F.col("sector").asc_nulls_first(), F.col("total")], size)
-    cens = bounded_list(enumerators, enumerator_columns, [F.desc("total_encuestas"), F.col(id_name)], size)
+    sect = bounded_list(sectors, ["sector", "total"], [F.col("sector").asc_nulls_first(), F.col("total")], size)
+    cens = bounded_list(enumerators, [id_name, "nombre_completo", "total_encuestas"],
+                        [F.desc("total_encuestas"), F.col(id_name)], size)
     row = kpis.sparkSession.range(1).select(
         F.struct(zero(n).alias("total_encuestas"), zero(k.getField("total_viviendas")).alias("total_viviendas"),
-                 zero(k.getField("total_sectores")).alias("total_sectores")).alias("kpis"),
-        cens.alias("censistas"), sect.alias("sectores"), cens.alias("convenciones"),
-        _extent(sectors, sector_columns, size).alias("_s"), _extent(enumerators, enumerator_columns, size).alias("_e"))
-    text = _text(size, {"lista_sectores": F.col("_s"), "lista_censistas": F.col("_e")},
-                 "kpis", "censistas", "sectores", "convenciones")
+                 zero(k.getField("total_sectores")).alias("total_sectores")).alias("kpis"), sect.alias("_s"), cens.alias("_e"))
+    text = _text(size, {"_e": ["censistas", "convenciones"], "_s": ["sectores"]}, "kpis", "censistas", "sectores", "convenciones")
     return row.select("kpis.total_encuestas", "kpis.total_viviendas", "kpis.total_sectores", text.alias("payload"))
 
 
@@ -71,11 +65,10 @@ def value_payload(df: DataFrame, **constants) -> DataFrame:
 
 def list_payload(df: DataFrame, name: str, columns: list[str], order: list[Column], size: int, **constants) -> DataFrame:
     """One row with ``{constants..., name: [rows]}`` (a report, the users of the
-    day, the sectors of the day), and the list's extent if it is longer than ``size``."""
-    rows = bounded_list(df, columns, order, size).alias(name)
+    day, the sectors of the day); a list longer than ``size`` is named under ``incompletas``."""
     fixed = [F.lit(v).alias(k) for k, v in constants.items()]
-    row = df.sparkSession.range(1).select(*fixed, rows, _extent(df, columns, size).alias("_x"))
-    return row.select(_text(size, {"lista": F.col("_x")}, *constants, name).alias("payload"))
+    row = df.sparkSession.range(1).select(*fixed, bounded_list(df, columns, order, size).alias("_list"))
+    return row.select(_text(size, {"_list": [name]}, *constants, name).alias("payload"))
 
 
 def list_pages(df: DataFrame, name: str, columns: list[str], order: list[Column], size: int, **constants) -> DataFrame:

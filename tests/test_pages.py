@@ -87,8 +87,8 @@ def test_payload_tells_that_it_holds_a_part(tables, enumerators):
     p = dataclasses.replace(Q.DEFAULTS, payload_list=30)
     part = json.loads(Q.dashboard_all(tables, params=p).first().payload)
     assert part["kpis"] == whole["kpis"] and part["censistas"] == whole["censistas"][:30] and part["sectores"] == whole["sectores"]
-    assert part["lista_censistas"] == {"entradas": 47, "paginas": 2} and part["lista_sectores"] == {"entradas": 24, "paginas": 1}
+    assert part["convenciones"] == part["censistas"] and part["incompletas"] == ["censistas", "convenciones"]
     one = json.loads(Q.range_payload(tables, start=D, end=D, params=p).first().payload)
-    assert len(one["resultados"]) == 30 and one["lista"] == {"entradas": 47, "paginas": 2}
+    assert len(one["resultados"]) == 30 and one["incompletas"] == ["resultados"]
     exact = dataclasses.replace(Q.DEFAULTS, payload_list=47)
     assert set(json.loads(Q.range_payload(tables, start=D, end=D, params=exact).first().payload)) == {"resultados"}
