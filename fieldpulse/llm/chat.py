@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read_table
+from .common import read_table, shared_table
 
 # The chat template.
 TURN = ("<|", "|>\n", "<|end|>\n")
@@ -48,16 +48,15 @@ def chat_format(conversations: DataFrame) -> DataFrame:
 
     Turns are ordered by (turn, role, hash of the text), nulls first; null role
     or text is empty.  Rows with null conv_id form one conversation.  Repeated
-    rows are turns of their own.  A rendered conversation is one value, so a
+    rows are turns of their own.  Only turns of maximal conversations are gathered.  A rendered conversation is one value, so a
     conversation has to fit one row (2 GB).  Empty input: empty result."""
-    kept = maximal_conversations(conversations)
-    turns = _turns(conversations).withColumn("line", F.concat(
+    kept = shared_table(maximal_conversations(conversations), "chat")
+    turns = _turns(conversations).withColumnRenamed("conv", "conv_id")
+    turns = turns.join(kept, F.col("conv_id").eqNullSafe(F.col("conv"))).withColumn("line", F.concat(
         F.lit(TURN[0]), F.col("role"), F.lit(TURN[1]), F.col("text"), F.lit(TURN[2])))
-    rendered = (turns.groupBy("conv")
-                .agg(F.array_sort(F.collect_list(F.struct(
-                    F.col("turn").isNotNull().alias("known"), "turn", "role", "h1", "h2", "line"))).alias("lines"))
-                .select(F.col("conv").alias("conv_id"), F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("rendered")))
-    return rendered.join(kept, F.col("conv_id").eqNullSafe(F.col("conv"))).select("conv_id", "n_turns", "n_copies", "rendered")
+    lines = F.array_sort(F.collect_list(F.struct(F.col("turn").isNotNull().alias("known"), "turn", "role", "h1", "h2", "line")))
+    return turns.groupBy("conv_id", "n_turns", "n_copies").agg(lines.alias("lines")).select(
+        "conv_id", "n_turns", "n_copies", F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("rendered"))
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
