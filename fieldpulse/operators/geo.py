@@ -16,7 +16,8 @@ from ..functions.fields import field
 from ..functions.text import is_digits, python_timestamp_text, to_decimal, to_int
 from ..params import (CLOSE_ZOOM, DEFAULTS, HOUSEHOLD_RADIUS, MIN_POLYGON_POINTS,
                       PERSON_BASE_RADIUS, ZOOM_STEPS, SurveyParams)
-
+from ..sources.sinks import geojson_feature
+from .order import numbered
 
 #: Parts of a sector's rows in the polygon join.
 SALTS = 16
@@ -225,6 +226,17 @@ def feature_popups(features: DataFrame, *extra) -> DataFrame:
                            text.alias("popup"))
 
 
+def feature_documents(points: DataFrame, properties: list[str], order: str, size: int = 50_000) -> DataFrame:
+    """(page, text): the points as GeoJSON FeatureCollection documents of ``size``
+    features, in the given order.  Points are numbered over ranges of the order and a
+    document is gathered by its number, so no task holds more than its documents."""
+    placed = numbered(points, order, name="_rank")
+    features = F.sort_array(F.collect_list(F.struct("_rank", geojson_feature(properties).alias("f"))))
+    pages = placed.groupBy((F.floor((F.col("_rank") - 1) / size) + 1).cast("bigint").alias("page")).agg(features.alias("_f"))
+    document = F.struct(F.lit("FeatureCollection").alias("type"), F.transform("_f", lambda x: x["f"]).alias("features"))
+    return pages.select("page", F.to_json(document, {"ignoreNullFields": "false"}).alias("text"))
+
+
 def feature_bounds(features: DataFrame) -> DataFrame:
     """Bounding box of all feature coordinates (``getBounds``): one row
     (min_lat, min_lon, max_lat, max_lon).  Vertices are exploded first so the

@@ -13,8 +13,11 @@ from ..operators.flatten import export_flat
 from ..params import DEFAULTS
 from ..session import checkpoint_root
 from ..sources.bridge import RANGE_END, RANGE_START, bridge_tables, duckdb_cte
+from ..sources.geojson import read_geojson
+from ..sources.sinks import write_documents
 from ..sources.tables import Tables
 from . import oracle
+from . import queries as Q
 
 #: Two ranges that overlap in some days, for the households visited in both.
 FIRST = (RANGE_START, "2024-01-15")
@@ -83,8 +86,16 @@ def export_all_profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export_flat(answers, profile.known_paths(profile.read_path_profile(spark, path)))
 
 
+def geojson_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Households written as FeatureCollection documents, read back in byte ranges: the popups of all features."""
+    path = f"{checkpoint_root(spark)}/geojson-{uuid.uuid4().hex}"
+    write_documents(Q.household_documents(bridge_tables(spark, sf_dir)), path)
+    return Q.household_popups(read_geojson(spark, path))
+
+
 DAILY_QUERIES = {f.__name__: f for f in (enumerators_range_bitmap, submissions_range_bitmap, sectors_range_state,
-                                         households_range_sketch, households_shared_sketch, export_all_profiled)}
+                                         households_range_sketch, households_shared_sketch, export_all_profiled,
+                                         geojson_documents)}
 
 
 def _between(start: str, end: str) -> str:
@@ -94,6 +105,7 @@ def _between(start: str, end: str) -> str:
 _RANGE = _between(RANGE_START, RANGE_END)
 _HOME = f"SELECT DISTINCT trim(data->>'$.value') AS home FROM survey_answer WHERE survey_question_id IN {oracle.HOMES} AND "
 DAILY_ORACLE = {
+    "geojson_documents": oracle.ORACLE["geojson_features"],
     "export_all_profiled": oracle.ORACLE["export_all"],
     "enumerators_range_bitmap": oracle.ORACLE["enumerators_range"],
     "submissions_range_bitmap": duckdb_cte() +

@@ -273,18 +273,34 @@ def heat_points(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame
 
 def _household_geojson(t: Tables, params: SurveyParams) -> DataFrame:
     """Households as GeoJSON feature texts, parsed as the GeoJSON source does."""
-    prof = geo.household_profile(t.answers, t.submissions, params)
-    pts = prof.select("vivienda_id", "latitud", "longitud",
-                      F.coalesce("sector", F.lit(params.no_sector)).alias("sector"),
-                      F.coalesce("total_personas", F.lit(0)).alias("personas"))
-    text = pts.select("vivienda_id", geojson_text(["vivienda_id", "sector", "personas"]).alias("text"))
+    text = _households(t, params).select("vivienda_id", geojson_text(HOUSEHOLD_PROPERTIES).alias("text"))
     return features_from_text(text, "text", "vivienda_id")
 
 
+#: Properties of a household's feature.
+HOUSEHOLD_PROPERTIES = ["vivienda_id", "sector", "personas"]
+
+
+def _households(t: Tables, params: SurveyParams) -> DataFrame:
+    prof = geo.household_profile(t.answers, t.submissions, params)
+    return prof.select("vivienda_id", "latitud", "longitud",
+                       F.coalesce("sector", F.lit(params.no_sector)).alias("sector"),
+                       F.coalesce("total_personas", F.lit(0)).alias("personas"))
+
+
+def household_documents(t: Tables, *, params: SurveyParams = DEFAULTS, size: int = 50_000) -> DataFrame:
+    """Households as GeoJSON FeatureCollection documents (for ``sinks.write_documents``)."""
+    return geo.feature_documents(_households(t, params), HOUSEHOLD_PROPERTIES, "vivienda_id", size)
+
+
 def geojson_features(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
     """Household features with their popup text (``<b>key:</b> value<br>...``)."""
+    return household_popups(_household_geojson(t, params))
+
+
+def household_popups(features: DataFrame) -> DataFrame:
     vid = F.col("properties")["vivienda_id"].cast("bigint").alias("vivienda_id")
-    return geo.feature_popups(_household_geojson(t, params), vid).select("vivienda_id", "geometry_type", "popup")
+    return geo.feature_popups(features, vid).select("vivienda_id", "geometry_type", "popup")
 
 
 def geojson_bounds(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:

@@ -44,14 +44,23 @@ def write_payload(payload: DataFrame, path: str, mode: str = "overwrite") -> Non
     payload.select("payload").write.mode(mode).text(path)
 
 
-def geojson_text(properties: list[str], lat: str = "latitud", lon: str = "longitud") -> Column:
-    """A row's point as GeoJSON text (``[lon, lat]`` order)."""
-    feature = F.struct(
+def geojson_feature(properties: list[str], lat: str = "latitud", lon: str = "longitud") -> Column:
+    """A row's point as a GeoJSON feature (``[lon, lat]`` order)."""
+    return F.struct(
         F.lit("Feature").alias("type"),
         F.struct(*[F.col(c) for c in properties]).alias("properties"),
         F.struct(F.lit("Point").alias("type"),
                  F.array(F.col(lon).cast("double"), F.col(lat).cast("double")).alias("coordinates")).alias("geometry"))
-    return F.to_json(feature, {"ignoreNullFields": "false"})
+
+
+def geojson_text(properties: list[str], lat: str = "latitud", lon: str = "longitud") -> Column:
+    """A row's point as GeoJSON text."""
+    return F.to_json(geojson_feature(properties, lat, lon), {"ignoreNullFields": "false"})
+
+
+def write_documents(documents: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write each ``text`` as a file of its own (``operators.geo.feature_documents``)."""
+    documents.select("text").write.mode(mode).option("maxRecordsPerFile", 1).text(path)
 
 
 def write_geojson_points(points: DataFrame, path: str, properties: list[str],

@@ -110,3 +110,20 @@ def test_numbers_and_missing_geometry(spark):
     got = {r.feature_id: r.vertices and [tuple(v) for v in r.vertices] for r in feats.collect()}
     assert got == {"1": None, "2": None, "3": None, "4": [(-0.2, 15.0)], "5": []}
     assert feats.select(F.explode("vertices")).count() == 1
+
+
+def test_documents_are_written_by_many_tasks_and_read_back(spark, tmp_path):
+    from fieldpulse.operators.geo import feature_documents
+    from fieldpulse.sources.sinks import write_documents
+    points = spark.range(230).selectExpr("id AS vivienda_id", "cast(id / 10 as decimal(12,6)) AS latitud",
+                                         "cast(-id / 4 as decimal(12,6)) AS longitud", "concat('S}\"', id % 7) AS sector").repartition(4)
+    documents = feature_documents(points, ["vivienda_id", "sector"], "vivienda_id", size=50)
+    write_documents(documents, f"{tmp_path}/d")
+    files = [f for f in (tmp_path / "d").iterdir() if f.name.startswith("part-")]
+    loaded = sorted((json.loads(f.read_text()) for f in files), key=lambda d: d["features"][0]["properties"]["vivienda_id"])
+    assert [len(d["features"]) for d in loaded] == [50, 50, 50, 50, 30]
+    assert [f["properties"]["vivienda_id"] for d in loaded for f in d["features"]] == list(range(230))
+    back = read_geojson(spark, f"{tmp_path}/d")
+    got = {int(r.properties["vivienda_id"]): (r.properties["sector"], tuple(r.vertices[0])) for r in back.collect()}
+    assert got == {i: (f'S}}"{i % 7}', (i / 10, -i / 4)) for i in range(230)}
+    assert feature_documents(points.where("false"), ["vivienda_id"], "vivienda_id").count() == 0
