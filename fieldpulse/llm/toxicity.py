@@ -295,9 +295,30 @@ def word_evidence(toxic: np.ndarray, clean: np.ndarray, base: float) -> np.ndarr
 
 
 def sketched_features(bits: bytes) -> Callable[[tuple], tuple]:
-    """What a token's readings have in the sketch."""
-    names: dict[str, str] = {}
-    return lambda forms: tuple(names.setdefault(f, f) for f in features(all_words(forms)) if in_sketch(f, bits))
+    """What a token's readings have in the sketch.  Beginnings are shared by many
+    words, so what the sketch says of them is remembered."""
+    known: dict[str, str | None] = {}
+
+    def keep(forms: tuple) -> tuple:
+        out = []
+        for words in forms:
+            for word in words:
+                if not word:
+                    continue
+                if in_sketch(name := "w:" + word, bits):
+                    out.append(name)
+                for n in PREFIXES:
+                    if len(word) <= n:
+                        break
+                    name = "p:" + word[:n]
+                    if name not in known:
+                        if len(known) > 500_000:  # only saves time
+                            known.clear()
+                        known[name] = name if in_sketch(name, bits) else None
+                    if known[name]:
+                        out.append(known[name])
+        return tuple(out)
+    return keep
 
 
 def passes(k: Column, clean: Column, base: float, level: float) -> Column:
@@ -350,12 +371,12 @@ def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, id_col: str =
     def count_clean(able, seen):
         """As ``count``, and "#bucket" for the words of buckets that toxic rows have."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model, memo, known = CharModel(shared.value), {}, np.frombuffer(seen.value, bool)
+            model, memo, known = CharModel(shared.value), {}, seen.value
             names = sketched_features(able.value)
 
             def keep(forms):
-                buckets = {bucket_of("w:" + w) for w in all_words(forms)}
-                return names(forms) + tuple(f"#{b}" for b in buckets if known[b])
+                buckets = (bucket_of("w:" + w) for words in forms for w in words if w)
+                return names(forms) + tuple([f"#{b}" for b in buckets if known[b]])
 
             for b in batches:
                 n: Counter = Counter()
@@ -437,17 +458,26 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         model, (weight, graded), memo = CharModel(shared.value[0]), shared.value[1], {}
         starts = {f[2:2 + min(PREFIXES)] for f in weight}  # of every word that can meet a rule
 
-        def evidence(word: str) -> float:
-            return max((weight.get(f, 0.0) for f in features({word})), default=0.0) if word[:min(PREFIXES)] in starts else 0.0
+        seen, least = (graded > 0).tobytes(), min(PREFIXES)
 
-        def strongest(words) -> list[tuple[float, str]]:
-            return sorted(((q, w) for w in set(words) if (q := evidence(w))), reverse=True)
+        def evidence(word: str) -> float:
+            return max(weight.get("w:" + word, 0.0), *[weight.get("p:" + word[:n], 0.0) for n in PREFIXES if len(word) > n], 0.0)
 
         def keep(forms):
             """Evidence and word of the reading with the strongest two, and the token's strongest bucket."""
-            rules = max(map(strongest, forms), key=lambda found: [q for q, _ in found[:2]])
-            bucket = max((bucket_of("w:" + w) for w in all_words(forms)), key=graded.__getitem__, default=None)
-            return (*rules, (float(graded[bucket]), bucket)) if bucket is not None and graded[bucket] else tuple(rules)
+            rules, bucket, most = [], None, 0.0
+            for words in forms:
+                found = set()
+                for w in words:
+                    if w and seen[at := bucket_of("w:" + w)] and graded[at] > most:
+                        bucket, most = at, float(graded[at])
+                    if w[:least] in starts and (q := evidence(w)):
+                        found.add((q, w))
+                if found:
+                    found = sorted(found, reverse=True)
+                    if [q for q, _ in found[:2]] > [q for q, _ in rules[:2]]:
+                        rules = found
+            return tuple(rules) if bucket is None else (*rules, (most, bucket))
 
         for b in batches:
             out = []
