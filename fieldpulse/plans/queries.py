@@ -20,7 +20,7 @@ from ..operators.summary import submission_summary as _summary
 from ..operators.summary import submission_wide as _wide
 from ..params import DEFAULTS, HOUSEHOLD_PAYLOAD_QID, SurveyParams
 from ..sources.geojson import features_from_text
-from ..sources.sinks import geojson_text
+from ..sources.sinks import geojson_text, scratch_table
 from ..sources.tables import ANSWER_COLUMNS, Tables
 
 
@@ -249,7 +249,8 @@ def map_zoom(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
 
 
 def sector_polygons(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
-    return geo.sector_polygons(household_sector_points(t, params=params))
+    """The points are written once: they are counted per sector and joined with the counts."""
+    return geo.sector_polygons(scratch_table(household_sector_points(t, params=params), "sector-points"))
 
 
 def person_density_grid(t: Tables, *, params: SurveyParams = DEFAULTS, **_) -> DataFrame:
