@@ -54,8 +54,10 @@ GRADED = 0.49
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 _NO_LETTERS = {i: None for i in range(128) if chr(i) not in _CODE}
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+(€£])(?:[ .\-_*~·]+(?:[^\W_]|[@$!|+(€£])){2,}(?![^\W_])")
-_RUN = re.compile(r"(([a-z])\2*)")
+# every spaced run has its second and third sign, which few texts have
+_PAIR = re.compile(r"[ .\-_*~·](?:[^\W_]|[@$!|+(€£])[ .\-_*~·]+(?:[^\W_]|[@$!|+(€£])(?![^\W_])")
 _DOUBLE = re.compile(r"([a-z])\1")
+_DOUBLES = re.compile(r"([a-z])\1+")
 _PLAIN = re.compile(r"[a-z]+")
 _GAP = re.compile(r"[ .\-_*~·]{2,}")
 _SINGLE = re.compile(r"(?:([a-z])(?!\1))+")
@@ -86,10 +88,10 @@ class CharModel:
         time linear in the signs.  With ``ends`` a separator may also end a word,
         which is a space in the result."""
         signs = fold(signs)
-        if (runs := _RUN.findall(signs)) and sum(len(run) for run, _ in runs) == len(signs):
-            ways = math.prod(len(run) for run, _ in runs)
-            if ways <= FEW:
-                return self._among(runs)
+        if signs.isalpha() and _PLAIN.fullmatch(signs):
+            runs = [(m.start(), m.end()) for m in _DOUBLES.finditer(signs)]
+            if math.prod([b - a for a, b in runs]) <= FEW:
+                return self._among(signs, runs)
         log, size = self.flat, SYMBOLS ** (ORDER - 1)
         states = {0: (0.0, None)}  # context -> score, (path before, letter)
         before = ""
@@ -117,24 +119,26 @@ class CharModel:
         return "".join(reversed(out))
 
 
-    def _among(self, runs: list[tuple[str, str]]) -> str:
-        """``decode`` of letters alone: they only differ in how often each is repeated,
-        so the few paths are scored one by one."""
+    def _among(self, signs: str, runs: list[tuple[int, int]]) -> str:
+        """``decode`` of letters alone: readings only differ in how often the letter of
+        a run is repeated, so the few there are get scored one by one."""
         log, size = self.flat, SYMBOLS ** (ORDER - 1)
-        paths = [(0.0, 0, "")]
-        for run, c in runs:
-            code, most = _CODE[c], len(run)
-            if most == 1:
-                paths = [(score + log[at], at % size, word + c) for score, ctx, word in paths for at in (ctx * SYMBOLS + code,)]
-                continue
-            longer = []
+        paths, done = [(0.0, 0, "")], 0
+        for start, end in [*runs, (len(signs), len(signs))]:
+            longer, code = [], _CODE[signs[start]] if start < end else 0
             for score, ctx, word in paths:
-                for kept in range(1, most + 1):
+                for c in signs[done:start]:
+                    at = ctx * SYMBOLS + _CODE[c]
+                    score, ctx = score + log[at], at % size
+                word += signs[done:start]
+                for left in range(end - start - 1, -1, -1):
                     at = ctx * SYMBOLS + code
-                    score, ctx, word = score + log[at], at % size, word + c
-                    longer.append((score + (most - kept) * REPEAT_COST, ctx, word))
-            paths = longer
-        return max((score + log[ctx * SYMBOLS], word) for score, ctx, word in paths)[1]
+                    score, ctx, word = score + log[at], at % size, word + signs[start]
+                    longer.append((score + left * REPEAT_COST, ctx, word))
+                if start == end:
+                    longer.append((score + log[ctx * SYMBOLS], ctx, word))
+            paths, done = longer, end
+        return max(paths)[2]
 
 
 @lru_cache(maxsize=4096)
@@ -184,7 +188,12 @@ def restored(text: str, model: CharModel, memo: dict[str, tuple], keep: Callable
     for token in set(text.lower().split()):
         kept = memo.get(token)
         if kept is None:
-            core = token if token.isalnum() else _EDGE.sub("", token)
+            if token.isalnum():
+                core = token
+            elif token[-1] in ".,;:" and token[:-1].isalnum():
+                core = token[:-1]
+            else:
+                core = _EDGE.sub("", token)
             if _PLAIN.fullmatch(core):
                 forms = ((core,),) if _DOUBLE.search(core) is None else ((core,), (model.decode(core),))
             else:
@@ -197,7 +206,7 @@ def restored(text: str, model: CharModel, memo: dict[str, tuple], keep: Callable
             kept = memo[token] = keep(forms)
         if kept:
             yield kept
-    for m in _SPACED.finditer(text):
+    for m in _SPACED.finditer(text) if _PAIR.search(text) else ():
         wide = widened(text, *m.span())
         yield keep(readings(m[0], model) + (readings(wide, model) if wide != m[0] else ()))
 
