@@ -9,9 +9,11 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 import zstandard
@@ -30,6 +32,8 @@ ENTRY = 16
 BLOCK = 1 << 20
 #: A task passes on its word counts when it holds so many words.
 HELD = 400_000
+#: Words of the head that are Python objects at a time while it is indexed.
+SLICE = 1 << 15
 
 _SPLIT = re.compile(r"\n[^ \n]*| +[^ \n]*")
 
@@ -80,22 +84,76 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+def _byte_strings(a: pa.Array) -> list[bytes]:
+    """``to_pylist`` of a binary array without nulls, without a scalar each."""
+    if not len(a):
+        return []
+    ends = np.frombuffer(a.buffers()[1], np.int64 if pa.types.is_large_binary(a.type) else np.int32)[a.offset:a.offset + len(a) + 1]
+    flat, first = a.buffers()[2], int(ends[0])
+    flat = flat.slice(first, int(ends[-1]) - first).to_pybytes() if flat is not None else b""
+    ends = (ends - first).tolist()
+    return [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _distinct(texts: list[list[str]]) -> list[str]:
+    """Their words once each, in their order (so neighbours in memory)."""
+    return list(dict.fromkeys(chain.from_iterable(texts)))
+
+
+class HeadIds:
+    """Ids of the head's words, in about the bytes of its Arrow table: a dict of
+    its words would take five times that, in every worker.
+
+    Rows are found by Python's hash of the word (fixed within a worker) in a
+    sorted array, and the words compared.  Of two words with one hash one isn't
+    found; the block that holds it segments it, as any word that it isn't given."""
+
+    def __init__(self, table: pa.Table):
+        self.words, self.packed = (c.chunk(0) if c.num_chunks == 1 else c.combine_chunks() for c in table.columns)
+        hashes = np.empty(len(self.words), np.int64)
+        for start in range(0, len(hashes), SLICE):
+            part = self.words.slice(start, SLICE).to_pylist()
+            hashes[start:start + len(part)] = [hash(w) for w in part]
+        self.rows = np.argsort(hashes).astype(np.int32)
+        self.hashes = hashes[self.rows]
+
+    def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the words the head holds, and the rows of those."""
+        held = np.zeros(len(words), bool)
+        if not words or not len(self.hashes):
+            return held, np.empty(0, np.int32)
+        hashes = np.fromiter(map(hash, words), np.int64, len(words))
+        order = np.argsort(hashes)  # neighbours are looked up together
+        at = np.empty(len(words), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.hashes, hashes[order]), len(self.hashes) - 1)
+        alike = self.hashes[at] == hashes
+        like, rows = np.flatnonzero(alike), self.rows[at[alike]]
+        asked = pa.array(list(compress(words, alike.tolist())), self.words.type)
+        same = pc.equal(self.words.take(pa.array(rows)), asked).to_numpy(zero_copy_only=False)
+        held[like[same]] = True
+        return held, rows[same]
+
+    def ids(self, words: list[str]) -> dict[str, bytes]:
+        """word -> ids of those of the words that the head holds."""
+        held, rows = self.find(words)
+        return dict(zip(compress(words, held.tolist()), _byte_strings(self.packed.take(pa.array(rows))), strict=True))
+
+
 @dataclass(frozen=True)
 class Head:
     """The table's most frequent words as a broadcast Arrow stream."""
     key: str
     stream: Broadcast
 
-    def words(self) -> dict[str, bytes]:
-        """word -> ids, made once per worker."""
+    def words(self) -> HeadIds:
+        """Its words and ids, made once per worker."""
         if self.key not in _heads:
             _heads.clear()
-            table = pa.ipc.open_stream(self.stream.value).read_all()
-            _heads[self.key] = dict(zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True))
+            _heads[self.key] = HeadIds(pa.ipc.open_stream(self.stream.value).read_all())
         return _heads[self.key]
 
 
-_heads: dict[str, dict[str, bytes]] = {}
+_heads: dict[str, HeadIds] = {}
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +201,7 @@ def _head(table: DataFrame) -> tuple[Head, int | None]:
             break
         least, room = r["_level"], room - r["size"]
     head = table.where(F.col("_level") >= least) if least is not None else table.limit(0)
-    found = head.select("word", "ids").toArrow()
+    found = head.select("word", "ids").toArrow().combine_chunks()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, found.schema) as w:
         w.write_table(found)
@@ -174,10 +232,8 @@ def _words_to_ask(shared: Head):
         for b in batches:
             for _, _, texts in _blocks(b):
                 block = _block_id("".join(texts).encode())
-                words: set[str] = set()
-                for t in texts:
-                    words.update(marked_words(t))
-                rest = [w for w in words if w not in head]
+                words = _distinct([marked_words(t) for t in texts])
+                rest = list(compress(words, (~head.find(words)[0]).tolist()))
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(rest), pa.int64()), pa.array(rest, pa.string())],
                                                  ["block", "word"])
     return run
@@ -205,12 +261,12 @@ def _ids_by_position(path: str, shared: Head):
         for b in batches:
             for i in range(b.num_rows):
                 raw, given = expand.decompress(b.column(2)[i].as_py()), b.column(3)[i].values
-                known = {} if given is None else dict(zip(given.field(0).to_pylist(), given.field(1).to_pylist(), strict=True))
+                known = {} if given is None else dict(zip(given.field(0).to_pylist(), _byte_strings(given.field(1)), strict=True))
                 ends = np.cumsum([0, *b.column(1)[i].as_py()]).tolist()
                 texts = [marked_words(raw[x:y].decode()) for x, y in zip(ends[:-1], ends[1:], strict=True)]
-                once = {w for t in texts for w in t if w not in head and w not in known}
-                known |= own.segment(once)
-                ids = [b"".join([head[w] if w in head else known[w] for w in t]) + own.end for t in texts]
+                known |= head.ids(words := _distinct(texts))
+                known |= own.segment([w for w in words if w not in known])
+                ids = [b"".join([known[w] for w in t]) + own.end for t in texts]
                 yield pa.RecordBatch.from_arrays([b.column(0)[i].values, pa.array(ids, pa.large_binary())], ["doc_id", "ids"])
     return run
 

@@ -1,7 +1,10 @@
 import hashlib
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -59,3 +62,44 @@ def test_each_shared_word_is_in_the_table_once(spark):
     docs = spark.createDataFrame([(1, "a b a\nb c"), (2, "c d b"), (3, None)], "doc_id long, text string")
     rows = P.word_table(docs, PATH).collect()
     assert sorted((r.word, r.n) for r in rows) == [("a", 2), ("b", 2), ("c", 2)]  # "\nb" has no marker: another word, once
+
+
+def head_of(words, monkeypatch):
+    """A worker's head of the words, each with its own text as ids."""
+    monkeypatch.setattr(P, "_heads", {})
+    table = pa.table({"word": pa.array(words, pa.string()), "ids": pa.array([w.encode() for w in words], pa.binary())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return P.Head("k", SimpleNamespace(value=sink.getvalue().to_pybytes()))
+
+
+def test_a_worker_holds_the_head_in_a_few_bytes_a_word(monkeypatch):
+    """A dict of these words took 125 bytes a word in every worker, besides the stream."""
+    n = 200_000
+    head = head_of([f"w{i}" for i in range(n)], monkeypatch)
+    tracemalloc.start()
+    before, arrow = tracemalloc.get_traced_memory()[0], pa.total_allocated_bytes()
+    words = head.words()
+    taken = tracemalloc.get_traced_memory()[0] - before + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert taken < 40 * n
+    assert head.words() is words
+
+
+def test_words_of_one_hash_and_empty_heads(monkeypatch):
+    monkeypatch.setattr(P, "hash", len, raising=False)
+    words = head_of(["a", "bb", "", "cc", "é"], monkeypatch).words()
+    asked = ["bb", "cc", "a", "é", "zzz", "", "x"]
+    held = words.ids(asked)
+    assert all(held[w] == w.encode() for w in held) and held.keys() <= {"a", "bb", "", "cc", "é"}
+    assert "" in held and len(held.keys() & {"bb", "cc"}) == 1 and len(held.keys() & {"a", "é"}) == 1
+    assert words.find(asked)[0].tolist() == [w in held for w in asked]
+    assert words.ids([]) == {} == head_of([], monkeypatch).words().ids(["a"])
+
+
+def test_byte_strings_of_slices():
+    for kind in (pa.binary(), pa.large_binary()):
+        a = pa.array([b"ab", b"", b"c", b"def"], kind)
+        assert [P._byte_strings(a.slice(i)) for i in range(5)] == [a.slice(i).to_pylist() for i in range(5)]
+        assert P._byte_strings(a.slice(1, 1)) == [b""] and P._byte_strings(pa.array([], kind)) == []
