@@ -6,7 +6,7 @@ import hashlib
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain, compress
@@ -35,6 +35,9 @@ HELD = 400_000
 #: Words of the head that are Python objects at a time while it is indexed.
 SLICE = 1 << 15
 
+#: A step of a task over its batches.
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 _SPLIT = re.compile(r"\n[^ \n]*| +[^ \n]*")
 
 
@@ -254,9 +257,9 @@ def _packed_blocks(id_type: pa.DataType):
     return run
 
 
-def _ids_by_position(path: str, shared: Head):
-    """Blocks with the (word, ids) pairs they asked for -> (doc_id, ids)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ids_by_position(path: str, shared: Head, then: Step | None = None):
+    """Blocks with the (word, ids) pairs they asked for -> (doc_id, ids), or what ``then`` makes of these batches."""
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, own, expand = shared.words(), pieces(path), zstandard.ZstdDecompressor()
         for b in batches:
             for i in range(b.num_rows):
@@ -268,10 +271,11 @@ def _ids_by_position(path: str, shared: Head):
                 known |= own.segment([w for w in words if w not in known])
                 ids = [b"".join([known[w] for w in t]) + own.end for t in texts]
                 yield pa.RecordBatch.from_arrays([b.column(0)[i].values, pa.array(ids, pa.large_binary())], ["doc_id", "ids"])
-    return run
+    return (lambda batches: then(found(batches))) if then else found
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", then: Step | None = None,
+           columns: str = "ids binary") -> DataFrame:
     """One row (doc_id, ids) per row of ``docs``: the ids of the whole text and
     the end id, as the ``sentencepiece`` library gives them for the model at
     ``path`` (on every node), packed little-endian in ``Pieces.dtype``.
@@ -284,6 +288,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     word, so it does no harm if two blocks have the same key or a block is cut
     anew after a lost executor.
 
+    ``then`` is a step over the batches of (doc_id, ids) that gives batches of doc_id and
+    ``columns`` instead.  It runs in the worker that makes them: by ``mapInArrow``
+    on the result, every task would hold two workers at once and pass the ids between them.
+
     Null is the empty text (the end id only).  Repeated rows give repeated rows,
     null ids stay null, an empty table gives an empty result; other columns are
     not read.  A block must fit a task: some BLOCK bytes or one text."""
@@ -297,7 +305,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     blocks = rows.mapInArrow(_packed_blocks(_arrow_type(docs, id_col)),
                              f"block bigint, rows array<{id_type}>, sizes array<bigint>, texts binary")
     return blocks.join(found, "block", "left").select("rows", "sizes", "texts", "known").mapInArrow(
-        _ids_by_position(path, head), f"doc_id {id_type}, ids binary")
+        _ids_by_position(path, head, then), f"doc_id {id_type}, {columns}")
 
 
 def _arrow_type(docs: DataFrame, id_col: str) -> pa.DataType:
@@ -318,8 +326,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, text string")
 
 
-def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of (doc_id, ids)."""
+DIGESTS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+
+
+def digests(path: str) -> Step:
+    """(doc_id, ids) -> doc_id and DIGESTS."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)
         numeral = own.numerals.__getitem__
@@ -333,13 +344,10 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    id_type = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(
-        run, f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return run
 
 
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return digests(encode(read_table(spark, sf_dir, "documents"), path), path)
+    return encode(read_table(spark, sf_dir, "documents"), path, then=digests(path), columns=DIGESTS)

@@ -103,3 +103,17 @@ def test_byte_strings_of_slices():
         a = pa.array([b"ab", b"", b"c", b"def"], kind)
         assert [P._byte_strings(a.slice(i)) for i in range(5)] == [a.slice(i).to_pylist() for i in range(5)]
         assert P._byte_strings(a.slice(1, 1)) == [b""] and P._byte_strings(pa.array([], kind)) == []
+
+
+def test_a_task_holds_one_worker(spark, library, edges, edge_pairs):
+    """Two steps of one stage are two workers for every running task, each with its own model and head."""
+    row = P.encode(edges, PATH, then=P.digests(PATH), columns=P.DIGESTS)
+    want = [(i, len(k := library.encode(t or "", add_eos=True)), hashlib.sha256(" ".join(map(str, k)).encode()).hexdigest(),
+             hashlib.sha256(library.decode(k).encode()).hexdigest()) for i, t in edge_pairs]
+    assert sorted((tuple(r) for r in row.collect()), key=str) == sorted(want, key=str)
+    for df in (row, P.op13_pieces(spark, SF)):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        steps = [line.lstrip(" :+-") for line in plan.splitlines()]
+        steps = [s.split("(")[0].split(" ")[0] for s in steps if not s.startswith("Project")]
+        assert "MapInArrow" in steps
+        assert ("MapInArrow", "MapInArrow") not in zip(steps, steps[1:])
