@@ -52,6 +52,7 @@ SHRINK, LEAST, WORDS, SCALE = 2.0, 0.5, 3, 4.0
 GRADED = 0.49
 
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
+_END = chr(ord(LETTERS[0]) - 1)
 _NO_LETTERS = {i: None for i in range(128) if chr(i) not in _CODE}
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+(€£])(?:[ .\-_*~·]+(?:[^\W_]|[@$!|+(€£])){2,}(?![^\W_])")
 # every spaced run has its second and third sign, which few texts have
@@ -64,12 +65,25 @@ _SINGLE = re.compile(r"(?:([a-z])(?!\1))+")
 _EDGE = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$|+(€£]+$")
 
 
+class _Folded(dict):
+    """Character -> its parts without accents (with ``only``, those of them it has), found when first asked for."""
+
+    def __init__(self, only: Iterable[str] | None = None):
+        self.only = only
+
+    def __missing__(self, c: int) -> str:
+        parts = [x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)]
+        self[c] = "".join(x for x in parts if self.only is None or x in self.only)
+        return self[c]
+
+
+_FOLDED, _FOLDED_LETTERS = _Folded(), _Folded(_CODE)
+
+
 def fold(word: str) -> str:
     """Lower case without accents."""
     word = word.lower()
-    if word.isascii():
-        return word
-    return "".join([c for c in unicodedata.normalize("NFKD", word) if c < "\u0300" or not unicodedata.combining(c)])
+    return word if word.isascii() else word.translate(_FOLDED)
 
 
 class CharModel:
@@ -121,24 +135,36 @@ class CharModel:
 
     def _among(self, signs: str, runs: list[tuple[int, int]]) -> str:
         """``decode`` of letters alone: readings only differ in how often the letter of
-        a run is repeated, so the few there are get scored one by one."""
+        a run is repeated, so the few there are get scored one by one, up to where
+        they have the same context again."""
         log, size = self.flat, SYMBOLS ** (ORDER - 1)
         paths, done = [(0.0, 0, "")], 0
         for start, end in [*runs, (len(signs), len(signs))]:
-            longer, code = [], _CODE[signs[start]] if start < end else 0
+            between = signs[done:start]
+            if len(paths) > 1:
+                codes, longer = [_CODE[c] for c in between[:ORDER - 1]], []
+                for score, ctx, word in paths:
+                    for code in codes:
+                        at = ctx * SYMBOLS + code
+                        score, ctx = score + log[at], at % size
+                    longer.append((score, ctx, word))
+                paths = longer if len(between) < ORDER - 1 else [max(longer)]
+            if len(paths) == 1:  # what comes before a choice has no part in it
+                _, ctx, word = paths[0]
+                for c in between[1 - ORDER:]:
+                    ctx = (ctx * SYMBOLS + _CODE[c]) % size
+                paths = [(0.0, ctx, word)]
+            if start == end:
+                return max([(score + log[ctx * SYMBOLS], ctx, word) for score, ctx, word in paths])[2] + between
+            longer, code = [], _CODE[signs[start]]
             for score, ctx, word in paths:
-                for c in signs[done:start]:
-                    at = ctx * SYMBOLS + _CODE[c]
-                    score, ctx = score + log[at], at % size
-                word += signs[done:start]
+                word += between
                 for left in range(end - start - 1, -1, -1):
                     at = ctx * SYMBOLS + code
                     score, ctx, word = score + log[at], at % size, word + signs[start]
                     longer.append((score + left * REPEAT_COST, ctx, word))
-                if start == end:
-                    longer.append((score + log[ctx * SYMBOLS], ctx, word))
             paths, done = longer, end
-        return max(paths)[2]
+        raise AssertionError("the last stretch ends the word")
 
 
 @lru_cache(maxsize=4096)
@@ -194,16 +220,19 @@ def restored(text: str, model: CharModel, memo: dict[str, tuple], keep: Callable
                 core = token[:-1]
             else:
                 core = _EDGE.sub("", token)
-            if _PLAIN.fullmatch(core):
-                forms = ((core,),) if _DOUBLE.search(core) is None else ((core,), (model.decode(core),))
+            signs = fold(core)
+            if len(memo) > 500_000:  # only saves time
+                memo.clear()
+            if _PLAIN.fullmatch(signs):
+                kept = memo.get(signs)  # as the token that has no other signs
+                if kept is None:
+                    kept = memo[signs] = keep(((signs,),) if _DOUBLE.search(signs) is None else ((signs,), (model.decode(signs),)))
             else:
-                signs = fold(core)
                 forms = ((fold(core.strip("!")) if "!" in core else signs,),)
                 if disguised(signs):
                     forms += readings(signs, model)
-            if len(memo) > 500_000:  # only saves time
-                memo.clear()
-            kept = memo[token] = keep(forms)
+                kept = keep(forms)
+            memo[token] = kept
         if kept:
             yield kept
     for m in _SPACED.finditer(text) if _PAIR.search(text) else ():
@@ -234,7 +263,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words.update(t.as_py().lower().split())
         plain: Counter = Counter()
         for w, n in words.items():
-            plain[w.translate(_NO_LETTERS) if w.isascii() else "".join(c for c in fold(w) if c in _CODE)] += n
+            plain[w.translate(_FOLDED_LETTERS) if not w.isascii() else w if w.isalpha() else w.translate(_NO_LETTERS)] += n
         plain.pop("", None)
         yield pa.RecordBatch.from_arrays([pa.array(list(plain), pa.string()), pa.array(plain.values(), pa.int64())], ["word", "n"])
 
@@ -242,12 +271,14 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = SYMBOLS ** ORDER
     for b in batches:
-        counts = np.zeros(size, np.float64)
-        for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ctx = 0
-            for code in [*(_CODE[c] for c in w), 0]:
-                ctx = (ctx * SYMBOLS + code) % size
-                counts[ctx] += n
+        words = b.column(0).to_pylist()
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1  # with the word's end, 0
+        codes = np.frombuffer("".join([w + _END for w in words]).encode(), np.uint8).astype(np.int64) - ord(_END)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        grams = codes.copy()
+        for back in range(1, ORDER):
+            grams[back:] += np.where(place[back:] >= back, codes[:-back], 0) * SYMBOLS ** back
+        counts = np.bincount(grams, np.repeat(b.column(1).to_numpy(), sizes), size)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at].astype(np.int64))], ["gram", "n"])
 
@@ -279,14 +310,22 @@ def sketch_bits(keys: DataFrame, column: str) -> bytes:
     return bits.tobytes()
 
 
+def hash_of(key: str) -> int:
+    return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), 42)
+
+
 def in_sketch(key: str, bits: bytes) -> bool:
     """False only if the key is certainly not in the sketch."""
-    i = xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), 42) % SKETCH_BITS
+    return has_bit(hash_of(key), bits)
+
+
+def has_bit(h: int, bits: bytes) -> bool:
+    i = h % SKETCH_BITS
     return bits[i >> 3] >> (i & 7) & 1 == 1
 
 
 def bucket_of(feature: str) -> int:
-    return xxhash.xxh64_intdigest(feature.encode("utf-8", "surrogatepass"), 42) % BUCKETS
+    return hash_of(feature) % BUCKETS
 
 
 def by_bucket(rows: DataFrame, bucket: Column) -> np.ndarray:
@@ -303,10 +342,23 @@ def word_evidence(toxic: np.ndarray, clean: np.ndarray, base: float) -> np.ndarr
     return np.where(found >= LEAST, found, 0.0).astype(np.float32)
 
 
-def sketched_features(bits: bytes) -> Callable[[tuple], tuple]:
-    """What a token's readings have in the sketch.  Beginnings are shared by many
-    words, so what the sketch says of them is remembered."""
-    known: dict[str, str | None] = {}
+def sketched_features(bits: bytes, seen: bytes | None = None) -> Callable[[tuple], tuple]:
+    """What a token's readings have in the sketch, and "#bucket" for their words in
+    buckets that are ``seen``.  Beginnings are shared by many words, so what the
+    sketch says of them is remembered."""
+    known: dict[str, tuple[str, ...]] = {}
+    least, most = min(PREFIXES), max(PREFIXES)
+
+    def beginnings(start: str) -> tuple[str, ...]:
+        """Of words that go on after ``start``, or are longer than any beginning."""
+        shorter = known.get(start[:-1])
+        if shorter is None:
+            shorter = beginnings(start[:-1]) if len(start) > least else ()
+        own = ("p:" + start,) if len(start) in PREFIXES and in_sketch("p:" + start, bits) else ()
+        if len(known) > 500_000:  # only saves time
+            known.clear()
+        known[start] = shorter + own
+        return known[start]
 
     def keep(forms: tuple) -> tuple:
         out = []
@@ -314,18 +366,14 @@ def sketched_features(bits: bytes) -> Callable[[tuple], tuple]:
             for word in words:
                 if not word:
                     continue
-                if in_sketch(name := "w:" + word, bits):
+                h = hash_of(name := "w:" + word)
+                if has_bit(h, bits):
                     out.append(name)
-                for n in PREFIXES:
-                    if len(word) <= n:
-                        break
-                    name = "p:" + word[:n]
-                    if name not in known:
-                        if len(known) > 500_000:  # only saves time
-                            known.clear()
-                        known[name] = name if in_sketch(name, bits) else None
-                    if known[name]:
-                        out.append(known[name])
+                if seen is not None and seen[at := h % BUCKETS]:
+                    out.append(f"#{at}")
+                if len(word) > least:
+                    found = known.get(start := word[:min(most, len(word) - 1)])
+                    out += beginnings(start) if found is None else found
         return tuple(out)
     return keep
 
@@ -380,13 +428,7 @@ def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, id_col: str =
     def count_clean(able, seen):
         """As ``count``, and "#bucket" for the words of buckets that toxic rows have."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model, memo, known = CharModel(shared.value), {}, seen.value
-            names = sketched_features(able.value)
-
-            def keep(forms):
-                buckets = (bucket_of("w:" + w) for words in forms for w in words if w)
-                return names(forms) + tuple([f"#{b}" for b in buckets if known[b]])
-
+            model, memo, keep = CharModel(shared.value), {}, sketched_features(able.value, seen.value)
             for b in batches:
                 n: Counter = Counter()
                 for t in b.column(0):

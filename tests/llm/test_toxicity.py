@@ -1,10 +1,13 @@
 import itertools
 import random
 import time
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from corpus_rows import SF
@@ -184,3 +187,44 @@ def test_held_out_accuracy(spark):
         pos, neg = part[part.toxic == 1].score.to_numpy(), part[part.toxic == 0].score.to_numpy()
         auc = (pos[:, None] > neg).mean() + 0.5 * (pos[:, None] == neg).mean()
         assert auc >= least
+
+
+def test_tokens_of_one_word_are_restored_once(counts):
+    """Punctuation and accents around the same letters cost neither a decoding nor an evidence of their own."""
+    asked, model, memo = [], X.CharModel(counts), {}
+    found = list(X.restored("boook, Boook bóook. 'boook' boook!", model, memo, lambda forms: asked.append(forms) or forms))
+    assert len(asked) == 1 and found == asked * 5
+    assert asked[0] == (("boook",), (model.decode("boook"),))
+
+
+def test_letters_are_folded_and_counted_as_one_by_one():
+    def plain(word):
+        return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if c < "\u0300" or not unicodedata.combining(c))
+
+    words = ["a", "abcde", "Éá̧z", "ﬁnﬂ", "İx", "ẞß", "Ǆ™", "한글", "ΑΣ", "x̀́y", "no-1", "\ud800e", "😀é"]
+    assert [X.fold(w) for w in words] == [plain(w) for w in words]
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(w for w in words if w.isprintable())])], ["text"])
+    counted = next(X._count_words(iter([batch])))
+    letters = Counter("".join(c for c in plain(w) if "a" <= c <= "z") for w in words if w.isprintable())
+    del letters[""]
+    assert dict(zip(counted["word"].to_pylist(), counted["n"].to_pylist())) == letters
+    grams = Counter()
+    for w, n in letters.items():
+        for i in range(len(w) + 1):
+            codes = [0, 0, 0, *(ord(c) - 96 for c in w), 0][i:i + 4]
+            grams[sum(c * 27 ** k for k, c in enumerate(reversed(codes)))] += n
+    out = list(X._count_grams(iter([counted, counted.slice(0, 0), counted.slice(1, 1)])))
+    assert dict(zip(out[0]["gram"].to_pylist(), out[0]["n"].to_pylist())) == grams
+    assert out[1].num_rows == 0 and sum(out[2]["n"].to_pylist()) == (len(counted["word"][1].as_py()) + 1) * counted["n"][1].as_py()
+
+
+def test_readings_of_letters_are_the_lattices(counts):
+    """Scored up to where they meet again, readings of letters alone are the Viterbi decoder's."""
+    model, rng = X.CharModel(counts), random.Random(5)
+    words = ["".join(rng.choice("aoetns") * rng.choice((1, 1, 1, 2, 2, 3)) for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    few, X.FEW = X.FEW, 0
+    try:
+        wanted = [model.decode(w) for w in words]
+    finally:
+        X.FEW = few
+    assert [model.decode(w) for w in words] == wanted
