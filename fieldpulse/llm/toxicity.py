@@ -48,6 +48,8 @@ BUCKETS = 1 << 20
 #: Rows a bucket's share of toxic rows is shrunk by, the least evidence (a log odds ratio) that counts,
 #: how many words count, and the evidence at which the score is 63 % of what such rows can reach.
 SHRINK, LEAST, WORDS, SCALE = 2.0, 0.5, 3, 4.0
+#: Tokens, and the words of letters in them, that a task remembers at a time; this only saves time.
+KEPT = 700_000
 #: Rows without a rule score below a half.
 GRADED = 0.49
 
@@ -221,7 +223,7 @@ def restored(text: str, model: CharModel, memo: dict[str, tuple], keep: Callable
             else:
                 core = _EDGE.sub("", token)
             signs = fold(core)
-            if len(memo) > 500_000:  # only saves time
+            if len(memo) > KEPT:
                 memo.clear()
             if _PLAIN.fullmatch(signs):
                 kept = memo.get(signs)  # as the token that has no other signs
